@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm import decontaminate, exact_dedup, minhash
+from barweave.llm import decontaminate, exact_dedup, minhash, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +25,19 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op6_exact_dedup, op7_minhash)}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    spans, base = F.col("spans"), secrets.digest(F.col("spans"), base_only=True)
+    kinds = [secrets.count_kind(spans, k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *kinds, F.sha2(base, 256).alias("base_sha256"), secrets.digest(spans, base_only=False).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op3_decontamination, op6_exact_dedup, op7_minhash, op8_secrets)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op8_secrets": secrets.oracle_sql(),
     "op6_exact_dedup": f"""
 WITH n AS (SELECT doc_id, {LOWERED} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
