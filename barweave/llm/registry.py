@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm import decontaminate, exact_dedup, minhash, secrets
+from barweave.llm import decontaminate, exact_dedup, minhash, secrets, sentencepiece_sampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where the public tokenizers lie; the files stay there.
+TOKENIZERS = "/opt/tokenizers"
+MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str, model_file: str = MODEL) -> DataFrame:
+    """Sampled segmentations of every document: pieces, their number, and whether they decode to the text (null as empty)."""
+    docs = table(spark, sf_dir, "documents")
+    coded = sentencepiece_sampling.sample_encode(docs, model_file, with_text=True)
+    return coded.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("lossless"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10, spans=False)
     return found.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -32,7 +44,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, F.sha2(base, 256).alias("base_sha256"), secrets.digest(spans, base_only=False).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontamination, op6_exact_dedup, op7_minhash, op8_secrets)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_decontamination, op6_exact_dedup, op7_minhash, op8_secrets)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
