@@ -5,13 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm import decontaminate, exact_dedup, minhash, secrets, sentencepiece_sampling
+from barweave.llm import decontaminate, exact_dedup, minhash, secrets, sentencepiece_sampling, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A document is rejected from this score on.
+TOXIC_FROM = 0.7
+
+
+def toxicity_machine(docs: DataFrame, labels: DataFrame) -> toxicity.Machine:
+    """Trained on the labels of documents whose crc32(doc_id as text) mod 3 is not 1."""
+    return toxicity.train(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_machine(docs, table(spark, sf_dir, "labels")))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 #: Where the public tokenizers lie; the files stay there.
 TOKENIZERS = "/opt/tokenizers"
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -44,7 +60,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, F.sha2(base, 256).alias("base_sha256"), secrets.digest(spans, base_only=False).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_decontamination, op6_exact_dedup, op7_minhash, op8_secrets)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op6_exact_dedup, op7_minhash, op8_secrets)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
