@@ -110,7 +110,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     Words are runs of other than ASCII white space, lower-cased A-Z only. A set holds the distinct shingles of
     ``shingle_words`` words; a text of fewer words is one shingle; without words (or null) the set is empty and linked with
     nothing. Two documents are linked if 100 * intersection >= ``percent`` * union on full sets. A pair is a candidate if one
-    of 25 bands of 5 minima agrees (missed with a chance of 5e-7 at a similarity of 0.85, 2e-5 at 0.8) and its estimate is not
+    of 25 bands of 5 minima agrees (missed with a chance of 5e-7 at a similarity of 0.85, 5e-5 at 0.8) and its estimate is not
     ``slack`` (six standard deviations) below the threshold. Ids must be unique integers; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -236,26 +236,46 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r[1] for r in found], [r[2] for r in found], **options)
 
 
-def _score(machine: Machine):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
-        floor = min(machine.bias, -1.0)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                found = [set(words_of(t)) for t in part.column(1).to_pylist()]
-                if len(known) > CACHE_WORDS:
-                    known.clear()
-                fresh = list(set().union(*found).difference(known))
-                known.update(zip(fresh, machine.decide(fresh).tolist(), strict=True))
-                worst = np.array([max(map(known.__getitem__, f), default=floor) for f in found])
-                yield pa.record_batch([part.column(0), pa.array(machine.probability(worst), pa.float64())], names=["id", "score"])
+def _worst(machine: Machine):
+    """A function from texts to the decisions of their worst words, which remembers words it has met."""
+    known: dict[str, float] = {}
+    floor = min(machine.bias, -1.0)
+
+    def worst(texts: list[str | None]) -> np.ndarray:
+        found = [set(words_of(t)) for t in texts]
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        fresh = list(set().union(*found).difference(known))
+        known.update(zip(fresh, machine.decide(fresh).tolist(), strict=True))
+        return np.array([max(map(known.__getitem__, f), default=floor) for f in found])
 
-    return run
+    return worst
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id and ``score``, 0 to 1, from its whole text alone. Null and empty texts, and texts without words,
     get the score of the lowest decision; ids may repeat; other columns are ignored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worst = _worst(machine)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                yield pa.record_batch([part.column(0), pa.array(machine.probability(worst(part.column(1).to_pylist())), pa.float64())], names=["id", "score"])
+
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_score(machine), "id long, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+
+
+def clean(docs: DataFrame, machine: Machine, reject_from: float, text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, whose score is under ``reject_from``."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worst = _worst(machine)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                yield part.filter(pa.array(machine.probability(worst(part.column(place).to_pylist())) < reject_from))
+
+    return docs.mapInArrow(run, docs.schema)
