@@ -4,10 +4,12 @@ Each text's set of word shingles gives 128 minima. Bands of the full minima give
 bits are kept, packed into four longs, and the similarity of a candidate pair is estimated from the equal two-bit fields by
 ``bit_count``, corrected for chance collisions (``p = J + (1 - J) / 4``). Pairs that pass are confirmed on the full sets.
 
-Hot groups: rows with equal sets are folded into one representative first. A band's bucket is never turned into all its pairs:
-in each round, every bucket compares its members with one pivot, links are confirmed and connected components taken; members
-that already are in one component need no more comparisons with each other. After ``pivot_rounds`` what is left (members of one
-bucket in different components) is compared in full, so no candidate is dropped.
+Hot groups: rows with equal sets are folded into one representative first. A band's bucket is never turned into all its pairs.
+Shingles that only one candidate has can be in no intersection, so with ``m`` the least number of other shingles of two
+sets, their similarity is at most ``m / (a + b - m)``; this bound is exact and drops most pairs of a crowd of edited copies. Every
+bucket first compares its members with one pivot, the one with the smallest share of such private shingles; links are
+confirmed and connected components taken. Members that are in one component then need no comparison with each other, and
+those in different ones are compared unless the bound or the estimate rules it out, so no link is lost.
 """
 
 from __future__ import annotations
@@ -104,7 +106,7 @@ def estimate(a: str, b: str):
     return (equal - 0.25) / 0.75
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivot_rounds: int = 3, slack: float = 0.25) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", slack: float = 0.22) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Words are runs of other than ASCII white space, lower-cased A-Z only. A set holds the distinct shingles of
@@ -129,34 +131,39 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     texts = rows.join(broadcast_if_small(wanted), "id", "left_semi")
     sets = materialise(texts.mapInArrow(_sets(shingle_words), "id long, shingles array<long>"), "minhash-sets")
 
+    # How many of a candidate's shingles another candidate has too.
+    single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+    private = single.groupBy("id").agg(F.count("*").alias("private"))
+    open_rows = open_rows.join(private.withColumnRenamed("id", "rep"), "rep", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("private", F.lit(0)))
+    open_rows = open_rows.where(100 * F.col("shared") >= percent * F.col("n_shingles")).select("band", "rep", "sig", "n_shingles", "shared")
+    open_rows = materialise(open_rows, "minhash-open")
+
     floor = percent / 100 - slack
+    side = lambda rows, x: rows.select("band", F.col("rep").alias(x), F.col("label").alias(f"label_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("shared").alias(f"shared_{x}"))
+    most = F.least("shared_a", "shared_b", "n_a", "n_b")
+    possible = (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)) & (estimate("sig_a", "sig_b") >= floor)
     links, label = None, None
-    for turn in range(pivot_rounds + 1):
+    for turn in ("pivots", "rest"):
         if label is None:
             now = open_rows.withColumn("label", F.col("rep"))
         else:
             now = open_rows.join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        if turn:
             mixed = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-            now = now.join(mixed, "band", "left_semi")
-        right = now.select("band", F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
-        if turn < pivot_rounds:
-            mark = F.struct((F.xxhash64(F.lit(turn), F.col("rep")) if turn else F.col("rep")).alias("place"), "rep", "label", "sig", "n_shingles")
-            pivot = now.groupBy("band").agg(F.min(mark).alias("p")).select("band", F.col("p.rep").alias("a"), F.col("p.label").alias("label_a"), F.col("p.sig").alias("sig_a"), F.col("p.n_shingles").alias("n_a"))
-            pivot = materialise(pivot, "minhash-pivots")
-            pairs = right.join(pivot, "band").where("label_a <> label_b")
+            now = materialise(now.join(mixed, "band", "left_semi"), "minhash-rest")
+        if turn == "pivots":
+            central = F.struct((-F.col("shared") / F.col("n_shingles")).alias("place"), "rep", "label", "sig", "n_shingles", "shared")
+            pivot = now.groupBy("band").agg(F.min(central).alias("p"), F.count("*").alias("n")).where("n > 1").select("band", "p.*")
+            pairs = side(now, "b").join(materialise(side(pivot, "a"), "minhash-pivots"), "band").where((F.col("label_a") != F.col("label_b")) & possible)
         else:
-            left = now.select("band", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
-            pairs = right.join(left, "band").where("a < b and label_a <> label_b")
-        likely = pairs.where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (estimate("sig_a", "sig_b") >= floor))
-        pairs = materialise(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
+            pairs = side(now, "b").join(side(now, "a"), "band").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & possible)
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
         if pairs.isEmpty():
-            if turn >= pivot_rounds:
-                break
-            continue
+            break
         both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "set_1"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "set_2"}), "b")
         common = F.size(F.array_intersect("set_1", "set_2"))
         confirmed = materialise(both.where(100 * common >= percent * (F.size("set_1") + F.size("set_2") - common)).select("a", "b"), "minhash-links")
+        if turn == "rest" and confirmed.isEmpty():
+            break
         links = confirmed if links is None else links.unionByName(confirmed)
         label = connected_components(links).withColumnsRenamed({"node": "rep", "component": "label"})
     joined = member if label is None else member.join(label, "rep", "left")
