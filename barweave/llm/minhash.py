@@ -158,12 +158,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
             pairs = side(now, "b").join(side(now, "a"), "band").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & possible)
         pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
         if pairs.isEmpty():
-            break
+            continue
         both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "set_1"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "set_2"}), "b")
         common = F.size(F.array_intersect("set_1", "set_2"))
         confirmed = materialise(both.where(100 * common >= percent * (F.size("set_1") + F.size("set_2") - common)).select("a", "b"), "minhash-links")
-        if turn == "rest" and confirmed.isEmpty():
-            break
+        if confirmed.isEmpty():
+            continue
         links = confirmed if links is None else links.unionByName(confirmed)
         label = connected_components(links).withColumnsRenamed({"node": "rep", "component": "label"})
     joined = member if label is None else member.join(label, "rep", "left")
