@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm import decontaminate, exact_dedup, html_text, minhash, secrets, sentencepiece_sampling, toxicity
+from barweave.llm import decontaminate, exact_dedup, html_text, line_dedup, minhash, secrets, sentencepiece_sampling, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def span_list(spans):
+    """start:end of the spans, comma-joined."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))))
+
+
 #: A document is rejected from this score on.
 TOXIC_FROM = 0.7
 
@@ -50,6 +55,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_units", "n_removed", "n_removed_chars", span_list(F.col("spans")).alias("spans"), "text")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -65,7 +74,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, F.sha2(base, 256).alias("base_sha256"), secrets.digest(spans, base_only=False).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_html_text, op6_exact_dedup, op7_minhash, op8_secrets)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_html_text, op5_line_dedup, op6_exact_dedup, op7_minhash, op8_secrets)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -76,6 +85,16 @@ WITH n AS (SELECT doc_id, {LOWERED} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n""",
+    "op5_line_dedup": rf"""
+WITH u AS (SELECT doc_id, generate_subscripts(l, 1) AS p, unnest(l) AS u FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+n AS (SELECT doc_id, p, u, trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t FROM u),
+r AS (SELECT doc_id, p, u, t <> '' AND len(string_split(t, ' ')) >= 4
+        AND row_number() OVER (PARTITION BY t ORDER BY doc_id, p) > 1 AS gone,
+        sum(length(u) + 1) OVER (PARTITION BY doc_id ORDER BY p) - length(u) - 1 AS s FROM n)
+SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(u)) FILTER (gone), 0) AS n_removed_chars,
+  coalesce(string_agg(CAST(s AS BIGINT) || ':' || CAST(s + length(u) AS BIGINT), ',' ORDER BY p) FILTER (gone), '') AS spans,
+  coalesce(string_agg(u, chr(10) ORDER BY p) FILTER (NOT gone), '') AS text
+FROM r GROUP BY doc_id""",
     "op3_decontamination": rf"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
