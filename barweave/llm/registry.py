@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm import decontaminate, exact_dedup, html_text, line_dedup, minhash, secrets, sentencepiece_sampling, toxicity
+from barweave.llm import backoff_lm, decontaminate, exact_dedup, html_text, line_dedup, minhash, secrets, sentencepiece_sampling, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *kinds, F.sha2(base, 256).alias("base_sha256"), secrets.digest(spans, base_only=False).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_html_text, op5_line_dedup, op6_exact_dedup, op7_minhash, op8_secrets)}
+def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100, with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_html_text, op5_line_dedup, op6_exact_dedup, op7_minhash, op8_secrets, op9_backoff_lm, op10_suffix_dedup)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
