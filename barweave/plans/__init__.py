@@ -1,0 +1,6 @@
+"""Named queries and their SQL."""
+
+from barweave.plans import indicators_q
+from barweave.plans.catalogue import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "indicators_q"]

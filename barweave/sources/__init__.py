@@ -1,0 +1 @@
+"""Where bars, ticks and other inputs come from."""
