@@ -8,8 +8,9 @@ Hot groups: rows with equal sets are folded into one representative first. A ban
 Shingles that only one candidate has can be in no intersection, so with ``m`` the least number of other shingles of two
 sets, their similarity is at most ``m / (a + b - m)``; this bound is exact and drops most pairs of a crowd of edited copies. Every
 bucket first compares its members with one pivot, the one with the smallest share of such private shingles; links are
-confirmed and connected components taken. Members that are in one component then need no comparison with each other, and
-those in different ones are compared unless the bound or the estimate rules it out, so no link is lost.
+confirmed and connected components taken. Members that are in one component then need no comparison with each other. Of
+those in different ones, two that share a rare shingle are compared, and all others unless the bound, with rare shingles in
+the place of private ones, or the estimate rules it out; so no link is lost.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from barweave.llm.common import LOWER, NON_SPACE, broadcast_if_small, materialise, mix, prefix_sums, sequence_hashes, span_hashes, text_chunks, word_spans
 from barweave.llm.components import connected_components
 
+#: A shingle is rare among the members left to compare if so many of them hold it at most.
+RARE = 16
 HASHES, BAND_ROWS = 128, 5
 BANDS = HASHES // BAND_ROWS
 #: Fixed odd multipliers and offsets of the 128 permutations of 32-bit values.
@@ -155,7 +158,17 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
             pivot = now.groupBy("band").agg(F.min(central).alias("p"), F.count("*").alias("n")).where("n > 1").select("band", "p.*")
             pairs = side(now, "b").join(materialise(side(pivot, "a"), "minhash-pivots"), "band").where((F.col("label_a") != F.col("label_b")) & possible)
         else:
-            pairs = side(now, "b").join(side(now, "a"), "band").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & possible)
+            apart = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
+            members = materialise(now.drop("band", "shared").distinct(), "minhash-members")
+            grams = materialise(sets.join(members.select(F.col("rep").alias("id")), "id").select(F.col("id").alias("rep"), F.explode("shingles").alias("s")), "minhash-grams")
+            rare = grams.groupBy("s").agg(F.count("*").alias("holders")).where(F.col("holders") <= RARE)
+            rare = materialise(grams.join(materialise(rare, "minhash-rare"), "s"), "minhash-rare-grams")
+            kept = now.join(rare.groupBy("rep").agg(F.count("*").alias("rare")), "rep", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("rare", F.lit(0)))
+            kept = materialise(kept.where(100 * F.col("shared") >= percent * F.col("n_shingles")), "minhash-kept")
+            pairs = side(kept, "b").join(side(kept, "a"), "band").where(apart & possible).select("a", "b")
+            held = rare.where("holders > 1").select("s", "rep").join(members, "rep").withColumns({"band": F.col("s"), "shared": F.col("n_shingles")})
+            held = materialise(held, "minhash-held")
+            pairs = pairs.unionByName(side(held, "b").join(side(held, "a"), "band").where(apart & possible).select("a", "b"))
         pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
         if pairs.isEmpty():
             continue
