@@ -41,7 +41,7 @@ _simple("in02_bollinger", {"lower": lambda: w.bollinger()[0], "upper": lambda: w
 _simple("in03_true_range", {"tr": w.true_range}, f"greatest(high - low, abs(high - {q.lag(C)}), abs(low - {q.lag(C)}))")
 VW = "PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts"
 _simple("in04_session_vwap", {"vwap": w.session_vwap}, f"sum((high + low + close) / 3 * volume) OVER ({VW}) / nullif(sum(volume) OVER ({VW}), 0)", intraday=True)
-_simple("in05_prior_channel", {"top": lambda: w.highest(H, 20, True), "bottom": lambda: w.lowest(L, 20, True)}, f"{q.roll('max', H, 20, True)};{q.roll('min', L, 20, True)}")
+_simple("in05_prior_channel", {"top": lambda: w.highest(H, 20, True), "bottom": lambda: w.lowest(L, 20, True)}, f"{q.roll('max', H, 20, True)};{q.roll('min', L, 20, True)}", plain=("top", "bottom"))
 _simple("in10_volume_confirm", {"busy": lambda: F.coalesce(stances.busy(1.5), F.lit(False))}, f"coalesce(volume > {q.sma(20, 'volume')} * 1.5, false)", plain=("busy",))
 _simple("in11_change", {"r_1": lambda: w.change(1), "r_20": lambda: w.change(20)}, f"close / {q.lag(C)} - 1;close / {q.lag(C, 20)} - 1")
 _simple("in12_range_position", {"place": lambda: stances.range_position(14)}, f"(close - ({q.roll('min', L, 14)})) / nullif(({q.roll('max', H, 14)}) - ({q.roll('min', L, 14)}), 0)")
@@ -69,7 +69,7 @@ def streak(spark, d):
 
 @query("in13_night_session", DAYS + f"SELECT symbol, ts, round({q.roll('sum', 'night', 5)}, 4) AS night_5, round({q.roll('sum', 'session', 5)}, 4) AS session_5 FROM {NIGHT}")
 def night_session(spark, d):
-    bars = stances.prepare(daily_bars(spark, d)).withColumn("session", F.col("night") - F.col("tug"))
+    bars = stances.prepare(daily_bars(spark, d)).withColumn("session", F.col("close") / F.col("open") - 1)
     return bars.select("symbol", "ts", r4(w.rolling_sum("night", 5), "night_5"), r4(w.rolling_sum("session", 5), "session_5"))
 
 
@@ -157,7 +157,7 @@ for _i, _n in zip((38, 39, 40, 43), stances.TRADEABLE, strict=True):
     _named(f"st{_i}_{_n}_signals", {_n: stances.TRADEABLE[_n]}, {_n: q.TRADEABLE[_n]})
 
 
-@query("st42_signal_frame", FOLDED + f"SELECT symbol, ts, CAST(s AS DOUBLE) AS score, s AS direction, CASE WHEN s <> 0 THEN 1.0 ELSE 0.0 END AS confidence, s <> 0 AS entered FROM (SELECT symbol, ts, {q.boll(20, 2.0)} AS s FROM base)")
+@query("st42_signal_frame", FOLDED + f"SELECT symbol, ts, CAST(s AS DOUBLE) AS score, s AS direction, CAST(CASE WHEN s <> 0 THEN 1 ELSE 0 END AS DOUBLE) AS confidence, s <> 0 AS entered FROM (SELECT symbol, ts, {q.boll(20, 2.0)} AS s FROM base)")
 def signal_frame(spark, d):
     return stances.signals(daily_bars(spark, d), stances.boll_reversion())
 

@@ -9,7 +9,7 @@ bars AS (SELECT symbol, ts, arg_min(price, k) AS open, max(price) AS high, min(p
 
 
 def intraday(minutes: int = 60, name: str = "bars") -> str:
-    return f"""{name} AS (SELECT event_type AS symbol, to_timestamp(epoch(ts)::BIGINT // {60 * minutes} * {60 * minutes}) AT TIME ZONE 'UTC' AS ts, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS volume FROM events GROUP BY ALL)"""
+    return f"""{name} AS (SELECT event_type AS symbol, make_timestamp(CAST(floor(epoch(ts) / {60 * minutes}) AS BIGINT) * {60 * minutes} * 1000000) AS ts, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS volume FROM events GROUP BY ALL)"""
 
 
 #: Recursive indicators, one bar a step, over numbered bars.
