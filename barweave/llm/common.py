@@ -37,11 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+def materialise(df: DataFrame, label: str, release: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives lost executors. ``release`` asks the
+    driver's JVM to collect garbage, upon which Spark deletes the shuffle files of steps that are over."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

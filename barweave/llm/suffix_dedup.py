@@ -2,7 +2,7 @@
 
 A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a document with a smaller id, or before
 in the same one. The suffixes that are indexed start at anchors: each window of ``length`` bytes belongs to the smallest hashed
-20-gram in it, so equal windows have their anchor at the same place wherever they stand, and about one suffix in 37 is kept.
+32-gram in it, so equal windows have their anchor at the same place wherever they stand, and about one suffix in 35 is kept.
 
 Documents come in batches by id. A batch's suffix array lists its suffixes in the order of their leading gram's hash, equal heads
 folded, with the range of contexts and the count; only equality matters here, so hash order serves as well as byte order. It is
@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from barweave.llm.common import materialise, mix, prefix_sums, span_hashes, text_chunks
 
-GRAM = 20
+GRAM = 32
 
 
 def anchors(raw: np.ndarray, starts: np.ndarray, length: int, gram: int):
@@ -111,18 +111,18 @@ class SuffixFamily:
 
     def add(self, suffixes: DataFrame) -> DataFrame:
         new = suffixes.groupBy("head").agg(F.min("context").alias("low"), F.max("context").alias("high"), F.count("*").alias("n"))
-        new = materialise(new, "suffix-level")
+        new = materialise(new, "suffix-level", release=True)
         found = new.where("n > 1")
         for _, level in self.levels:
             other = level.withColumnsRenamed({"low": "low_2", "high": "high_2", "n": "n_2"})
             met = new.join(other, "head").select("head", F.least("low", "low_2").alias("low"), F.greatest("high", "high_2").alias("high"), (F.col("n") + F.col("n_2")).alias("n"))
             found = found.unionByName(met)
-        found = materialise(found, "suffix-found")
+        found = materialise(found, "suffix-found", release=True)
         size = 1
         while self.levels and self.levels[-1][0] == size:
             new = self._merge(self.levels.pop()[1], new)
             size *= 2
-        self.levels.append((size, new if size == 1 else materialise(new, "suffix-level")))
+        self.levels.append((size, new if size == 1 else materialise(new, "suffix-level", release=True)))
         return found
 
 
@@ -195,20 +195,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 2, id_col:
             part = part.where(F.col("id") <= int(high))
         met = family.add(part.mapInArrow(_scan(length, full=False), "head long, context long, id long"))
         found = met if found is None else found.unionByName(met)
-    repeated = materialise(found.groupBy("head").agg((F.min("low") < F.max("high")).alias("several")), "suffix-repeated")
+    repeated = materialise(found.groupBy("head").agg((F.min("low") < F.max("high")).alias("several")), "suffix-repeated", release=True)
 
     suffixes = rows.mapInArrow(_scan(length, full=True), "head long, context long, id long, lo int, hi int, again boolean")
-    hits = materialise(suffixes.join(repeated, "head"), "suffix-hits")
-    holder = materialise(hits.groupBy("head", "context").agg(F.min("id").alias("holder")), "suffix-holders")
-    hits = materialise(hits.join(holder, ["head", "context"]).select("id", "lo", "hi", "several", (F.col("again") | (F.col("id") > F.col("holder"))).alias("gone")), "suffix-decided")
+    hits = materialise(suffixes.join(repeated, "head"), "suffix-hits", release=True)
+    holder = materialise(hits.groupBy("head", "context").agg(F.min("id").alias("holder")), "suffix-holders", release=True)
+    hits = materialise(hits.join(holder, ["head", "context"]).select("id", "lo", "hi", "several", (F.col("again") | (F.col("id") > F.col("holder"))).alias("gone")), "suffix-decided", release=True)
 
     run = F.struct("lo", "hi")
-    edges = materialise(hits.where("several and not gone").groupBy("id").agg(F.collect_list(run).alias("runs")), "suffix-edges")  # of one document
+    edges = materialise(hits.where("several and not gone").groupBy("id").agg(F.collect_list(run).alias("runs")), "suffix-edges", release=True)  # of one document
     windows = rows.join(edges, "id").select("id", "text", "runs").mapInArrow(_windows(length), "key long, id long, place int, again boolean")
     first = F.min("id").over(Window.partitionBy("key"))
     later = windows.withColumn("first", first).where(F.col("again") | (F.col("id") > F.col("first"))).select("id", F.col("place").alias("lo"), F.col("place").alias("hi"))
     gone = hits.where("gone").select("id", "lo", "hi").unionByName(later)
-    gone = materialise(gone.groupBy("id").agg(F.collect_list(run).alias("runs")), "suffix-gone")  # of one document
+    gone = materialise(gone.groupBy("id").agg(F.collect_list(run).alias("runs")), "suffix-gone", release=True)  # of one document
     out = rows.join(gone, "id", "left").select("id", "text", "runs").mapInArrow(_remove(length, with_text), "id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary")
     return out.withColumnRenamed("id", id_col)
 
