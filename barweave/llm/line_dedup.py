@@ -64,7 +64,8 @@ def remove_repeats(docs: DataFrame, unit: str = "line", min_words: int = 4, id_c
     later = units.join(first, ["a", "b"]).where(F.struct("id", "place") != F.col("first"))
     removed = later.groupBy("id").agg(F.collect_list("place").alias("removed"))  # no more than the document's own units
     removed = materialise(removed, "lines-removed")
-    return rows.join(removed, "id", "left").select("id", "text", "removed").mapInPandas(_cut(separator), SCHEMA).withColumnRenamed("id", id_col)
+    # A merge join whatever the sizes: the texts are shuffled once by id, and the plan is the same for a small and a large corpus.
+    return rows.join(removed.hint("merge"), "id", "left").select("id", "text", "removed").mapInPandas(_cut(separator), SCHEMA).withColumnRenamed("id", id_col)
 
 
 def brute_force(docs: list[tuple], separator: str = "\n", min_words: int = 4) -> list[tuple]:
