@@ -3,6 +3,7 @@ and byte-level word arithmetic on Arrow batches."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,7 @@ def materialise(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if release:
+        gc.collect()
         spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

@@ -5,7 +5,7 @@ in the same one. The suffixes that are indexed start at anchors: each window of
 32-gram in it, so equal windows have their anchor at the same place wherever they stand, and about one suffix in 35 is kept.
 
 Documents come in batches by id. A batch's suffix array lists its suffixes in the order of their leading gram's hash, equal heads
-folded, with the range of contexts and the count; only equality matters here, so hash order serves as well as byte order. It is
+folded, with whether their contexts differ and the count; only equality matters here, so hash order serves as well as byte order. It is
 merge-scanned (a sort-merge join) against each level of the family, then becomes a level; levels of equal size merge, so a suffix
 moves a number of times that grows with the logarithm of the number of batches.
 
@@ -99,31 +99,29 @@ def _scan(length: int, full: bool):
 
 
 class SuffixFamily:
-    """Levels of suffix tables (head, least and greatest context, count); ``add`` returns the heads that the new batch has twice or
-    shares with a level."""
+    """Levels of suffix tables (head, a context, whether it has several, count); ``add`` returns the heads that the new batch has
+    twice or shares with a level. Levels of equal size merge before the next batch comes."""
 
     def __init__(self):
         self.levels: list[tuple[int, DataFrame]] = []
 
-    @staticmethod
-    def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.unionByName(b).groupBy("head").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    def _settle(self) -> None:
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, a), (_, b) = self.levels.pop(), self.levels.pop()
+            both = a.unionByName(b).groupBy("head").agg(F.min("context").alias("context"), (F.max("several") | (F.min("context") < F.max("context"))).alias("several"), F.sum("n").alias("n"))
+            self.levels.append((2 * size, materialise(both, "suffix-level", release=True)))
 
     def add(self, suffixes: DataFrame) -> DataFrame:
-        new = suffixes.groupBy("head").agg(F.min("context").alias("low"), F.max("context").alias("high"), F.count("*").alias("n"))
+        self._settle()
+        new = suffixes.groupBy("head").agg(F.min("context").alias("context"), (F.min("context") < F.max("context")).alias("several"), F.count("*").alias("n"))
         new = materialise(new, "suffix-level", release=True)
-        found = new.where("n > 1")
+        found = new.where("n > 1").select("head", "several")
         for _, level in self.levels:
-            other = level.withColumnsRenamed({"low": "low_2", "high": "high_2", "n": "n_2"})
-            met = new.join(other, "head").select("head", F.least("low", "low_2").alias("low"), F.greatest("high", "high_2").alias("high"), (F.col("n") + F.col("n_2")).alias("n"))
+            other = level.withColumnsRenamed({"context": "context_2", "several": "several_2", "n": "n_2"})
+            met = new.join(other, "head").select("head", (F.col("several") | F.col("several_2") | (F.col("context") != F.col("context_2"))).alias("several"))
             found = found.unionByName(met)
-        found = materialise(found, "suffix-found", release=True)
-        size = 1
-        while self.levels and self.levels[-1][0] == size:
-            new = self._merge(self.levels.pop()[1], new)
-            size *= 2
-        self.levels.append((size, new if size == 1 else materialise(new, "suffix-level", release=True)))
-        return found
+        self.levels.append((1, new))
+        return materialise(found, "suffix-found", release=True)
 
 
 def _windows(length: int):
@@ -195,7 +193,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 2, id_col:
             part = part.where(F.col("id") <= int(high))
         met = family.add(part.mapInArrow(_scan(length, full=False), "head long, context long, id long"))
         found = met if found is None else found.unionByName(met)
-    repeated = materialise(found.groupBy("head").agg((F.min("low") < F.max("high")).alias("several")), "suffix-repeated", release=True)
+    repeated = materialise(found.groupBy("head").agg(F.max("several").alias("several")), "suffix-repeated", release=True)
 
     suffixes = rows.mapInArrow(_scan(length, full=True), "head long, context long, id long, lo int, hi int, again boolean")
     hits = materialise(suffixes.join(repeated, "head"), "suffix-hits", release=True)
