@@ -36,7 +36,7 @@ LONG_RUN = re.compile(r"(\w)\1{2,}")
 #: Distinct words whose decisions a task remembers.
 CACHE_WORDS = 300_000
 #: Labelled documents of each label that training reads at most, chosen by a hash of their ids.
-MAX_LABELLED = 3000
+MAX_LABELLED = 1500
 
 
 def words_of(text: str | None) -> list[str]:
