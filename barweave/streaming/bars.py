@@ -36,6 +36,16 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -
     return stream.sparkSession.table(name)
 
 
+def to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Appends what a stream emits to Parquet files, once each, until it has read what there is."""
+    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def bar_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Closed bars as they appear in a folder."""
+    return spark.readStream.schema("symbol string, ts timestamp, open double, high double, low double, close double, volume double").parquet(path)
+
+
 def each_batch(stream: DataFrame, act, checkpoint: str):
     """Hands every batch of closed bars to ``act(frame, batch_id)``."""
     return stream.writeStream.foreachBatch(act).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
