@@ -131,26 +131,26 @@ def _kernel(parts: list[str], landmarks: list[str]) -> np.ndarray:
     dense = np.zeros((len(columns), len(landmarks)), np.float32)
     np.add.at(dense, (index, lw), lv)
     out = np.zeros((len(parts), len(landmarks)), np.float32)
-    for a in range(0, len(parts), 20_000):
-        some = parts[a : a + 20_000]
+    for a in range(0, len(parts), 4000):
+        some = parts[a : a + 4000]
         where, key, weight = subsequences(some)
         pos = np.minimum(np.searchsorted(columns, key), len(columns) - 1)
         hit = columns[pos] == key
         w, p, v = where[hit], pos[hit], weight[hit].astype(np.float32)
-        for b in range(0, len(w), 200_000):
-            rows = w[b : b + 200_000]
+        for b in range(0, len(w), 20_000):
+            rows = w[b : b + 20_000]
             first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            out[a + rows[first]] += np.add.reduceat(dense[p[b : b + 200_000]] * v[b : b + 200_000, None], first, axis=0)
+            out[a + rows[first]] += np.add.reduceat(dense[p[b : b + 20_000]] * v[b : b + 20_000, None], first, axis=0)
     return out
 
 
 def fit(texts: list[str | None], toxic: list[int], landmarks: int = 160, rounds: int = 4, seed: int = 7) -> Machine:
     """Fits a machine on labelled documents in the driver; its caller bounds their number. Without documents of both labels it
     holds everything for clean."""
-    docs = []
+    docs, same = [], {}
     for text in texts:
-        found, of = windows(list(dict.fromkeys(words_of(text))))
-        docs.append(list(dict.fromkeys(found)))
+        found, _ = windows(list(dict.fromkeys(words_of(text))))
+        docs.append([same.setdefault(w, w) for w in dict.fromkeys(found)])  # one string for each distinct word
     y = np.array(toxic)
     clean = Counter(w for d, t in zip(docs, toxic, strict=True) if not t for w in d)
     suspects = [[w for w in d if w not in clean and len(w) > LENGTH] for d, t in zip(docs, toxic, strict=True) if t]
@@ -196,8 +196,8 @@ def fit(texts: list[str | None], toxic: list[int], landmarks: int = 160, rounds:
         # The next witnesses, and the clean words that come nearest to them.
         decided = {}
         for words in (pool, sorted({x for s in suspects for x in s})):
-            for a in range(0, len(words), 50_000):
-                some = words[a : a + 50_000]
+            for a in range(0, len(words), 4000):
+                some = words[a : a + 4000]
                 where, key, weight = subsequences(some)
                 decided.update(zip(some, (np.bincount(where, weight * weights[key], minlength=len(some)) + w[-1]).tolist(), strict=True))
         witness = [max(s, key=lambda x: (decided[x], x)) for s in suspects]
