@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barweave.llm.common import materialise, mix, prefix_sums, span_hashes, text_chunks
+from barweave.llm.common import discard, materialise, mix, prefix_sums, span_hashes, text_chunks
 
 GRAM = 32
 
@@ -110,6 +110,7 @@ class SuffixFamily:
             (size, a), (_, b) = self.levels.pop(), self.levels.pop()
             both = a.unionByName(b).groupBy("head").agg(F.min("context").alias("context"), (F.max("several") | (F.min("context") < F.max("context"))).alias("several"), F.sum("n").alias("n"))
             self.levels.append((2 * size, materialise(both, "suffix-level", release=True)))
+            discard(a, b)
 
     def add(self, suffixes: DataFrame) -> DataFrame:
         self._settle()
@@ -184,30 +185,37 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 2, id_col:
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cuts = sorted(set(rows.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
-    family, found = SuffixFamily(), None
+    family, parts = SuffixFamily(), []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows
         if low is not None:
             part = part.where(F.col("id") > int(low))
         if high is not None:
             part = part.where(F.col("id") <= int(high))
-        met = family.add(part.mapInArrow(_scan(length, full=False), "head long, context long, id long"))
-        found = met if found is None else found.unionByName(met)
+        parts.append(family.add(part.mapInArrow(_scan(length, full=False), "head long, context long, id long")))
+    found = parts[0]
+    for met in parts[1:]:
+        found = found.unionByName(met)
     repeated = materialise(found.groupBy("head").agg(F.max("several").alias("several")), "suffix-repeated", release=True)
+    discard(*parts, *(level for _, level in family.levels))
 
     suffixes = rows.mapInArrow(_scan(length, full=True), "head long, context long, id long, lo int, hi int, again boolean")
     hits = materialise(suffixes.join(repeated, "head"), "suffix-hits", release=True)
     holder = materialise(hits.groupBy("head", "context").agg(F.min("id").alias("holder")), "suffix-holders", release=True)
-    hits = materialise(hits.join(holder, ["head", "context"]).select("id", "lo", "hi", "several", (F.col("again") | (F.col("id") > F.col("holder"))).alias("gone")), "suffix-decided", release=True)
+    decided = hits.join(holder, ["head", "context"]).select("id", "lo", "hi", "several", (F.col("again") | (F.col("id") > F.col("holder"))).alias("gone"))
+    decided = materialise(decided, "suffix-decided", release=True)
+    discard(repeated, hits, holder)
 
     run = F.struct("lo", "hi")
-    edges = materialise(hits.where("several and not gone").groupBy("id").agg(F.collect_list(run).alias("runs")), "suffix-edges", release=True)  # of one document
-    windows = rows.join(edges, "id").select("id", "text", "runs").mapInArrow(_windows(length), "key long, id long, place int, again boolean")
+    edges = materialise(decided.where("several and not gone").groupBy("id").agg(F.collect_list(run).alias("runs")), "suffix-edges", release=True)  # of one document
+    windows = rows.join(edges.hint("merge"), "id").select("id", "text", "runs").mapInArrow(_windows(length), "key long, id long, place int, again boolean")
     first = F.min("id").over(Window.partitionBy("key"))
     later = windows.withColumn("first", first).where(F.col("again") | (F.col("id") > F.col("first"))).select("id", F.col("place").alias("lo"), F.col("place").alias("hi"))
-    gone = hits.where("gone").select("id", "lo", "hi").unionByName(later)
+    gone = decided.where("gone").select("id", "lo", "hi").unionByName(later)
     gone = materialise(gone.groupBy("id").agg(F.collect_list(run).alias("runs")), "suffix-gone", release=True)  # of one document
-    out = rows.join(gone, "id", "left").select("id", "text", "runs").mapInArrow(_remove(length, with_text), "id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary")
+    discard(decided, edges)
+    # A merge join whatever the sizes: the plan is the same for a small and a large corpus.
+    out = rows.join(gone.hint("merge"), "id", "left").select("id", "text", "runs").mapInArrow(_remove(length, with_text), "id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 
