@@ -108,11 +108,11 @@ def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text
     return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut(text_col, "_spans"))).select(*[F.col(c) for c in docs.columns])
 
 
-def _cut(text: str | None, spans: list) -> str | None:
+def _cut(text: str | None, spans: list | None) -> str | None:
     if text is None:
         return None
     raw, at, out = text.encode(), 0, []
-    for s in spans:
+    for s in spans or ():
         out.append(raw[at : s["begin"]])
         at = s["end"]
     return b"".join([*out, raw[at:]]).decode()
