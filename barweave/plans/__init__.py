@@ -1,6 +1,6 @@
 """Named queries and their SQL."""
 
-from barweave.plans import evaluate_q, indicators_q, misc_q, strategy_q
+from barweave.plans import evaluate_q, indicators_q, misc_q, more_q, strategy_q
 from barweave.plans.catalogue import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "evaluate_q", "indicators_q", "misc_q", "strategy_q"]
+__all__ = ["QUERIES", "SQL", "evaluate_q", "indicators_q", "misc_q", "more_q", "strategy_q"]
