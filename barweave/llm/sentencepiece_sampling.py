@@ -24,7 +24,9 @@ from barweave.llm.common import CHUNK_BYTES, mix
 SPACE = "▁"
 UNIT = re.compile(r" *[^ ]+| +")
 #: Distinct units whose lattices a task keeps at most.
-CACHE_UNITS = 200_000
+CACHE_UNITS = 150_000
+#: Units whose lattices are built at once.
+BLOCK_UNITS = 16_000
 
 SCHEMA = "id long, pieces array<int>, lossless boolean, decoded string"
 
@@ -64,10 +66,23 @@ class Lattices:
 
     def clear(self) -> None:
         self.end: dict[str, int] = {}
-        self.cum, self.back, self.what, self.first = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.cum, self.back, self.what, self.first = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def add(self, units: list[str]) -> None:
-        """Forward filtering for new units, all at once, place by place."""
+        """Adds the lattices of new units, block by block, so that working arrays stay small."""
+        base, parts = len(self.first) - 1, [(self.cum, self.back, self.what, self.first)]
+        edges = self.first[-1]
+        for a in range(0, len(units), BLOCK_UNITS):
+            block = units[a : a + BLOCK_UNITS]
+            cum, back, what, count, ends = self._forward(block, base)
+            parts.append((cum, back, what, edges + np.cumsum(count)))
+            self.end.update(zip(block, ends.tolist(), strict=True))
+            base, edges = base + len(count), edges + len(cum)
+        self.cum, self.back, self.what, self.first = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _forward(self, units: list[str], base: int):
+        """Forward filtering of a block, place by place: its edges in order of nodes (cumulative probability plus node, source, piece),
+        the edges of each node, and each unit's last node."""
         text = "".join(units)
         code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
         literal, code = code == ord(SPACE), np.where(code == 32, ord(SPACE), code)
@@ -94,7 +109,6 @@ class Lattices:
         a, b, what, weight = (np.concatenate(x) for x in zip(*found, strict=True))
         # Nodes: one before each unit's first character and one after each character.
         unit = np.repeat(np.arange(len(units)), size)
-        base = len(self.first) - 1
         after = base + np.arange(len(code)) + unit + 1  # the node after a character
         source, target = after[a] - 1, after[b - 1]
         order = np.lexsort((target, rank[b - 1]))
@@ -113,10 +127,7 @@ class Lattices:
             cum[lo:hi] = (run - np.repeat(run[head] - e[head], many)) / np.repeat(total, many)
         order = np.argsort(target, kind="stable")
         count = np.bincount(target - base, minlength=len(code) + len(units))
-        self.first = np.append(self.first, self.first[-1] + np.cumsum(count))
-        self.cum = np.append(self.cum, target[order] + np.minimum(cum[order], 1.0))
-        self.back, self.what = np.append(self.back, source[order]), np.append(self.what, what[order])
-        self.end.update(zip(units, (base + np.cumsum(size + 1) - 1).tolist(), strict=True))
+        return target[order] + np.minimum(cum[order], 1.0), source[order].astype(np.int32), what[order].astype(np.int32), count, base + np.cumsum(size + 1) - 1
 
     def sample(self, ids: np.ndarray, texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of all texts in order, number of pieces of each)."""
