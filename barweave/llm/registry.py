@@ -59,6 +59,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_units", "n_removed", "n_removed_chars", span_list(F.col("spans")).alias("spans"), "text")
 
 
+def op5_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op5_line_dedup``, but every line that is not blank is judged, whatever its number of words."""
+    found = line_dedup.remove_repeats(table(spark, sf_dir, "documents"), min_words=1)
+    return found.select("doc_id", "n_units", "n_removed", "n_removed_chars", span_list(F.col("spans")).alias("spans"), "text")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -83,7 +89,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_html_text, op5_line_dedup, op6_exact_dedup, op7_minhash, op8_secrets, op9_backoff_lm, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_html_text, op5_line_dedup, op5_line_dedup_all, op6_exact_dedup, op7_minhash, op8_secrets, op9_backoff_lm, op10_suffix_dedup)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -133,3 +139,4 @@ SELECT dw.doc_id, coalesce(n.n, 0) AS n_shingles, least(dw.doc_id, coalesce(top.
        dw.doc_id <= coalesce(top.m, dw.doc_id) AS kept
 FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN top ON top.a = dw.doc_id""",
 }
+ORACLES["op5_line_dedup_all"] = ORACLES["op5_line_dedup"].replace("len(string_split(t, ' ')) >= 4", "len(string_split(t, ' ')) >= 1")
