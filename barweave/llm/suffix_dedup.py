@@ -4,20 +4,21 @@ A byte is removed if a string of ``length`` bytes that covers it also starts ear
 in the same one. The suffixes that are indexed start at anchors: each window of ``length`` bytes belongs to the smallest hashed
 32-gram in it, so equal windows have their anchor at the same place wherever they stand, and about one suffix in 35 is kept.
 
-Documents come in batches by id. A batch's suffix array lists its suffixes in the order of their leading gram's hash, equal heads
-folded, with whether their contexts differ and the count; only equality matters here, so hash order serves as well as byte order. It is
-merge-scanned (a sort-merge join) against each level of the family, then becomes a level; levels of equal size merge, so a suffix
-moves a number of times that grows with the logarithm of the number of batches.
-
-Suffixes whose heads repeat are then decided exactly. An anchor whose whole range of windows stood in an earlier place is
-removed at once; only the first holder of a range that shares its head with other ranges has its windows compared one by one.
-Windows are compared by 64-bit hashes of all their bytes.
+Documents come in batches by id, of a fixed number of bytes. A batch's suffix array holds the earliest suffix of each leading gram
+(head) and range of windows (context), in hash order; only equality matters here, so hash order serves as well as byte order. It becomes
+a level of the family. Levels of equal size are merged after each batch by one scan over both (a sort-merge join), so a suffix moves a
+number of times that grows with the logarithm of the number of batches; any two suffixes meet in one scan, at the latest in the one
+that joins the last levels. A scan yields the matched ranges: the later of two suffixes with equal head and context is removed.
+
+What is left in the last level are first holders. Those that share their head with other ranges may still have some windows in common
+with them, so their windows are compared one by one. Windows are compared by 64-bit hashes of all their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,9 @@ from pyspark.sql.window import Window
 from barweave.llm.common import discard, materialise, mix, prefix_sums, span_hashes, text_chunks
 
 GRAM = 32
+#: Bytes of text in a batch, on average, and the least number of batches.
+BATCH, LEAST_BATCHES = 128 << 20, 4
+SUFFIXES = "head long, context long, id long, span long, again boolean"
 
 
 def anchors(raw: np.ndarray, starts: np.ndarray, length: int, gram: int):
@@ -86,43 +90,55 @@ def _seen_before(text: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return again
 
 
-def _scan(length: int, full: bool):
+def _scan(length: int):
+    """(head, context, id, span, again) of each anchor; span is the first window << 32 | the last one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, raw, starts in text_chunks(batches):
             text, at, lo, hi, head, context = anchors(raw, starts, length, GRAM)
-            columns = {"head": head.view(np.int64), "context": context.view(np.int64), "id": ids[text].astype(np.int64)}
-            if full:
-                columns |= {"lo": (lo - starts[text]).astype(np.int32), "hi": (hi - starts[text]).astype(np.int32), "again": _seen_before(text, context, head)}
+            span = (lo - starts[text]).astype(np.int64) << 32 | (hi - starts[text]).astype(np.int64)
+            columns = {"head": head.view(np.int64), "context": context.view(np.int64), "id": ids[text].astype(np.int64), "span": span, "again": _seen_before(text, context, head)}
             yield pa.record_batch([pa.array(v) for v in columns.values()], names=list(columns))
 
     return run
 
 
 class SuffixFamily:
-    """Levels of suffix tables (head, a context, whether it has several, count); ``add`` returns the heads that the new batch has
-    twice or shares with a level. Levels of equal size merge before the next batch comes."""
+    """Levels of suffix tables (head, context, id, span): the earliest holder of each head and context. Batches are added in the order
+    of their ids; ``gone`` collects the ranges (id, span) that an earlier suffix was found to have."""
 
     def __init__(self):
         self.levels: list[tuple[int, DataFrame]] = []
-
-    def _settle(self) -> None:
+        self.gone: list[DataFrame] = []
+
+    def _merge(self) -> None:
+        (size, later), (other, first) = self.levels.pop(), self.levels.pop()
+        met = first.hint("merge").join(later.withColumnsRenamed({"id": "id_2", "span": "span_2"}), ["head", "context"], "full")
+        both = met.select("head", "context", F.coalesce("id", "id_2").alias("id"), F.coalesce("span", "span_2").alias("span"), F.when(F.col("id").isNotNull(), F.col("id_2")).alias("id_2"), F.when(F.col("id").isNotNull(), F.col("span_2")).alias("span_2"))
+        both = materialise(both, "suffix-level", release=True)
+        discard(first, later)
+        self.gone.append(materialise(both.where("id_2 is not null").select(F.col("id_2").alias("id"), F.col("span_2").alias("span")), "suffix-met"))
+        level = both.select("head", "context", "id", "span")
+        level.stored_at = both.stored_at
+        self.levels.append((size + other, level))
+
+    def add(self, suffixes: DataFrame) -> None:
+        span = F.min_by("span", F.when(~F.col("again"), F.col("id")))
+        new = materialise(suffixes.groupBy("head", "context").agg(F.min("id").alias("id"), span.alias("span"), F.count("*").alias("n")), "suffix-level", release=True)
+        holders = new.where("n > 1").select("head", "context", F.col("id").alias("holder"))
+        again = suffixes.join(holders.hint("merge"), ["head", "context"]).where(F.col("again") | (F.col("id") > F.col("holder")))
+        self.gone.append(materialise(again.select("id", "span"), "suffix-met", release=True))
+        level = new.select("head", "context", "id", "span")
+        level.stored_at = new.stored_at
+        self.levels.append((1, level))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (size, a), (_, b) = self.levels.pop(), self.levels.pop()
-            both = a.unionByName(b).groupBy("head").agg(F.min("context").alias("context"), (F.max("several") | (F.min("context") < F.max("context"))).alias("several"), F.sum("n").alias("n"))
-            self.levels.append((2 * size, materialise(both, "suffix-level", release=True)))
-            discard(a, b)
-
-    def add(self, suffixes: DataFrame) -> DataFrame:
-        self._settle()
-        new = suffixes.groupBy("head").agg(F.min("context").alias("context"), (F.min("context") < F.max("context")).alias("several"), F.count("*").alias("n"))
-        new = materialise(new, "suffix-level", release=True)
-        found = new.where("n > 1").select("head", "several")
-        for _, level in self.levels:
-            other = level.withColumnsRenamed({"context": "context_2", "several": "several_2", "n": "n_2"})
-            met = new.join(other, "head").select("head", (F.col("several") | F.col("several_2") | (F.col("context") != F.col("context_2"))).alias("several"))
-            found = found.unionByName(met)
-        self.levels.append((1, new))
-        return materialise(found, "suffix-found", release=True)
+            self._merge()
+
+    def whole(self) -> DataFrame:
+        """The one level that is left when all have been merged."""
+        while len(self.levels) > 1:
+            self._merge()
+        return self.levels[0][1]
 
 
 def _windows(length: int):
@@ -176,44 +192,44 @@ def _remove(length: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, spans (maximal removed runs, byte offsets in the UTF-8 text), kept_sha256, kept
     (the remaining bytes, if asked for).
 
     Null texts count as empty; texts under ``length`` bytes keep everything. Ids must be unique integers. ``batches`` ranges of ids
-    are indexed one after the other.
+    are indexed one after the other; by default their number follows from the size of the texts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    cuts = sorted(set(rows.approxQuantile("id", [k / batches for k in range(1, batches)], 0.01))) if batches > 1 else []
-    family, parts = SuffixFamily(), []
+    if batches is None:
+        batches = max(LEAST_BATCHES, ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BATCH))
+    cuts = sorted(set(rows.approxQuantile("id", [k / batches for k in range(1, batches)], 0.1 / batches))) if batches > 1 else []
+    family = SuffixFamily()
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows
         if low is not None:
             part = part.where(F.col("id") > int(low))
         if high is not None:
             part = part.where(F.col("id") <= int(high))
-        parts.append(family.add(part.mapInArrow(_scan(length, full=False), "head long, context long, id long")))
-    found = parts[0]
-    for met in parts[1:]:
-        found = found.unionByName(met)
-    repeated = materialise(found.groupBy("head").agg(F.max("several").alias("several")), "suffix-repeated", release=True)
-    discard(*parts, *(level for _, level in family.levels))
-
-    suffixes = rows.mapInArrow(_scan(length, full=True), "head long, context long, id long, lo int, hi int, again boolean")
-    hits = materialise(suffixes.join(repeated, "head"), "suffix-hits", release=True)
-    holder = materialise(hits.groupBy("head", "context").agg(F.min("id").alias("holder")), "suffix-holders", release=True)
-    decided = hits.join(holder, ["head", "context"]).select("id", "lo", "hi", "several", (F.col("again") | (F.col("id") > F.col("holder"))).alias("gone"))
-    decided = materialise(decided, "suffix-decided", release=True)
-    discard(repeated, hits, holder)
+        family.add(part.mapInArrow(_scan(length), SUFFIXES))
+    level = family.whole()
+    decided = family.gone[0]
+    for met in family.gone[1:]:
+        decided = decided.unionByName(met)
 
+    lo, hi = F.shiftright("span", 32).cast("int").alias("lo"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("hi")
     run = F.struct("lo", "hi")
-    edges = materialise(decided.where("several and not gone").groupBy("id").agg(F.collect_list(run).alias("runs")), "suffix-edges", release=True)  # of one document
+    shared = materialise(level.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "suffix-shared", release=True)
+    edges = level.select("head", "id", "span").join(shared.hint("merge"), "head").select("id", lo, hi)
+    edges = materialise(edges, "suffix-ranges", release=True)
+    discard(level, shared)
+    ranges, edges = edges, materialise(edges.groupBy("id").agg(F.collect_list(run).alias("runs")), "suffix-edges", release=True)  # of one document
+    discard(ranges)
     windows = rows.join(edges.hint("merge"), "id").select("id", "text", "runs").mapInArrow(_windows(length), "key long, id long, place int, again boolean")
     first = F.min("id").over(Window.partitionBy("key"))
     later = windows.withColumn("first", first).where(F.col("again") | (F.col("id") > F.col("first"))).select("id", F.col("place").alias("lo"), F.col("place").alias("hi"))
-    gone = decided.where("gone").select("id", "lo", "hi").unionByName(later)
+    gone = decided.select("id", lo, hi).unionByName(later)
     gone = materialise(gone.groupBy("id").agg(F.collect_list(run).alias("runs")), "suffix-gone", release=True)  # of one document
-    discard(decided, edges)
+    discard(edges, *family.gone)
     # A merge join whatever the sizes: the plan is the same for a small and a large corpus.
     out = rows.join(gone.hint("merge"), "id", "left").select("id", "text", "runs").mapInArrow(_remove(length, with_text), "id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary")
     return out.withColumnRenamed("id", id_col)

@@ -118,6 +118,27 @@ def test_suffixes(docs, batches):
     assert got == set(suffix_dedup.brute_force(DOCS, 100))
 
 
+def test_suffix_levels_merge_and_yield_ranges(docs, monkeypatch):
+    families = []
+
+    class Watched(suffix_dedup.SuffixFamily):
+        def __init__(self):
+            super().__init__()
+            families.append(self)
+            self.sizes = []
+
+        def add(self, suffixes):
+            super().add(suffixes)
+            self.sizes.append([n for n, _ in self.levels])
+
+    monkeypatch.setattr(suffix_dedup, "SuffixFamily", Watched)
+    for batch, sizes in ((1 << 27, [[1], [2], [2, 1], [4]]), (sum(len((t or "").encode()) for _, t in DOCS) // 5, [[1], [2], [2, 1], [4], [4, 1], [4, 2]])):
+        monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+        got = {(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
+        assert got == set(suffix_dedup.brute_force(DOCS, 100))
+        assert families[-1].sizes == sizes and len(families[-1].gone) == 2 * len(sizes) - 1
+
+
 def test_suffixes_of_nothing(nothing):
     assert suffix_dedup.remove_repeats(nothing, batches=1).count() == 0
 
