@@ -2,12 +2,14 @@
 
 A page is cut into blocks at block-level tags. The first pass decides a block by its container where the markup tells (menus,
 asides, forms, comments against an article), else by its own link density, length and stop-word density; short and middling
-blocks stay open. The second pass gives an open block the label of its nearest decided neighbours.
+blocks stay open, and so do those of an article that are mostly links, but for its headings. The second pass gives an open block
+the label of its nearest decided neighbours, within the article if there is one.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from html import unescape
 from typing import NamedTuple
@@ -148,7 +150,7 @@ def classify(found: list[Block], short: int = SHORT, long: int = LONG, stop_low:
         if b.bad:
             label.append(False)
         elif article:
-            label.append(b.good and density <= 0.5)
+            label.append(False if not b.good else True if b.heading or density <= 0.5 else None)
         elif density > links:
             label.append(False)
         elif len(b.text) < short:
@@ -157,16 +159,16 @@ def classify(found: list[Block], short: int = SHORT, long: int = LONG, stop_low:
             words = WORD.findall(b.text.lower())
             stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
             label.append(True if stop >= stop_high and len(b.text) > long else None if stop >= stop_low else False)
-    decided = [i for i, x in enumerate(label) if x is not None]
+    decided = [i for i, x in enumerate(label) if x is not None and (found[i].good or not article)]
     out = []
     for i, x in enumerate(label):
         if x is None:
-            before = max((j for j in decided if j < i), default=None)
-            after = min((j for j in decided if j > i), default=None)
+            k = bisect(decided, i)
+            before, after = decided[k - 1] if k else None, decided[k] if k < len(decided) else None
             near = [j for j in (before, after) if j is not None]
             labels = {label[j] for j in near}
             if len(labels) < 2:
-                x = labels == {True}
+                x = labels == {True} or article and not labels  # an article of nothing but links
             elif found[i].heading and label[after]:
                 x = True
             elif i - before != after - i:

@@ -243,6 +243,19 @@ def test_main_text(html, text):
     assert html_text.extract(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<nav><a href=x>menu</a></nav><article><h1><a href=x>Title</a></h1><p>Body of it.</article><footer><a href=x>f</a></footer>", "Title\nBody of it."),
+        ("<article><p><a href=x>Linked paragraph.</a></p><p>Body.</p><ul><li><a href=y>Linked item</a></li></ul></article><footer>no</footer>", "Linked paragraph.\nBody.\nLinked item"),
+        ("<p>no</p><main><p><a href=x>only a link</a></p></main>", "only a link"),
+        ("<article><p>Body.</p><div class=related><h3><a href=x>no</a></h3><a href=x>no</a></div><nav><a href=x>no</a></nav></article><h2><a href=x>no</a></h2>", "Body."),
+    ],
+)
+def test_main_text_keeps_links_of_an_article(html, text):
+    assert html_text.extract(html) == text
+
+
 def test_main_text_of_a_table(spark):
     pages = spark.createDataFrame([(1, "<article><p>x</article>", "u", "old"), (1, None, None, None)], "page_id long, html string, url string, text string")
     assert sorted((r.page_id, r.url or "", r.text) for r in html_text.main_text(pages).collect()) == [(1, "", ""), (1, "u", "x")]
