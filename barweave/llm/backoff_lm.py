@@ -3,7 +3,10 @@
 The n-grams of a chunk of documents are exploded and counted, then sent, one packed row for each hash bucket, to the count
 tables: a bucket adds up the counts of its n-grams and joins the totals back to the chunks that asked. A chunk names an n-gram
 once however often it occurs, so a frequent one weighs no more in a shuffle than a rare one; the number of chunks and of
-buckets grows with the corpus, so neither outgrows a task. Scores are summed per document where its chunk's totals meet its text.
+buckets grows with the corpus, so neither outgrows a task. The buckets are counted in passes, one for each order, so that only a share
+of the n-grams is in a shuffle at once. Scores are summed per document where its chunk's totals meet its text.
+
+Packed rows, added up by numpy and matched by position, stand for a table of (n-gram, count) rows and a join to exploded n-grams.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import functions as F
 
 from barweave.llm.common import LOWER, NON_SPACE, materialise, prefix_sums, sequence_hashes, span_hashes, text_chunks, word_spans
 
-#: Bytes of text in a chunk, and of text that share a bucket, on average.
+#: Bytes of text in a chunk, and of text that share a bucket if only words are counted, on average.
 CHUNK, BUCKET = 3 << 20, 24 << 20
 
 ASKED = "chunk long, bucket long, keys binary, counts binary"
@@ -52,16 +55,21 @@ def _keys(hashes, full):
     return np.unique(np.concatenate([h[f] for h, f in zip(hashes, full, strict=True)] or [np.zeros(0, np.uint64)]), return_counts=True)
 
 
-def _ask(order: int, buckets: int):
+def _ask(order: int, buckets: int, part: int, passes: int):
+    """What a chunk asks of the buckets that are counted in a pass."""
+
     def run(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
         _, counts, hashes, full = _grams(table, order)
         keys, n = _keys(hashes, full)
         bucket = (keys % np.uint64(buckets)).astype(np.int64)
+        mine = bucket % passes == part
+        keys, n, bucket = keys[mine], n[mine], bucket[mine]
         place = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[place], np.arange(buckets + 1))
         rows = [(b, keys[place[x:y]].tobytes(), n[place[x:y]].astype(np.int32).tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-        rows.append((int(chunk % buckets), b"", np.array([counts.sum()], np.int64).tobytes()))  # the number of words
+        if chunk % buckets % passes == part:
+            rows.append((int(chunk % buckets), b"", np.array([counts.sum()], np.int64).tobytes()))  # the number of words
         return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
@@ -126,10 +134,13 @@ def score(docs: DataFrame, order: int = 2, least: int = 2, factor: float = 0.4,
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = max(1, ceil(size / CHUNK)), max(1, ceil(size / BUCKET))
+    chunks, buckets = max(1, ceil(size / CHUNK)), max(1, ceil(size * order / BUCKET))
     chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-    asked = chunked.groupBy("chunk").applyInArrow(_ask(order, buckets), ASKED)
-    totals = materialise(asked.groupBy("bucket").applyInArrow(_total, TOTALS), "lm-totals")
+    totals, passes = None, min(order, buckets)
+    for part in range(passes):
+        asked = chunked.groupBy("chunk").applyInArrow(_ask(order, buckets, part, passes), ASKED)
+        counted = materialise(asked.groupBy("bucket").applyInArrow(_total, TOTALS), "lm-totals", release=True)
+        totals = counted if totals is None else totals.unionByName(counted)
     tokens = totals.agg(F.sum("tokens")).first()[0] or 0
     answers = totals.where("chunk >= 0").select("chunk", "bucket", "totals")
     scored = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, buckets, tokens, least, factor), "id long, n_words long, n_backoff long, log_score double")
