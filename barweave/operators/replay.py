@@ -162,11 +162,23 @@ def session_bars(bars: pd.DataFrame, risk: Risk, costs: Costs, max_hold: int) ->
     return _frame(out)
 
 
+def sessions(rows: DataFrame) -> DataFrame:
+    """(_account, symbol, _session). Symbols are taken in order, and guards start anew on every change of date, so a symbol depends on
+    the one before it only if it starts on the date on which that one ends; such symbols share a session."""
+    day = F.to_date("ts")
+    dates = rows.groupBy("_account", "symbol").agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
+    order = Window.partitionBy("_account").orderBy("symbol")
+    anew = F.when(F.col("_first") == F.lag("_last").over(order), 0).otherwise(1)
+    return dates.withColumn("_anew", anew).select("_account", "symbol", F.sum("_anew").over(order).alias("_session"))
+
+
 def paper_session(frame: DataFrame, risk: Risk = Risk(), costs: Costs = Costs(), max_hold: int = 20, account: str | None = None) -> DataFrame:
-    """Trades of paper accounts. The symbols of an account share its guards, so an account is one group; ``account`` names the column
-    that tells accounts apart (all rows are one account without it). An account's session is bounded by what one person trades."""
+    """Trades of paper accounts. ``account`` names the column that tells accounts apart (all rows are one account without it). The
+    symbols of an account share its guards within a date, so only those that meet on a date are one group; see ``sessions``."""
     rows = frame.select("symbol", "ts", "open", "high", "low", "close", "atr", "entered", "direction", (F.col(account) if account else F.lit(0)).alias("_account"))
-    return rows.groupBy("_account").applyInPandas(lambda bars: session_bars(bars.drop(columns="_account"), risk, costs, max_hold), TRADES)
+    own = sessions(rows).withColumnsRenamed({"_account": "_account_2", "symbol": "symbol_2"})
+    met = rows.join(own, F.col("_account").eqNullSafe(F.col("_account_2")) & (F.col("symbol") == F.col("symbol_2"))).drop("_account_2", "symbol_2")
+    return met.groupBy("_account", "_session").applyInPandas(lambda bars: session_bars(bars.drop(columns=["_account", "_session"]), risk, costs, max_hold), TRADES)
 
 
 def walk_forward_folds(bars: DataFrame, splits: int = 4, min_train: int = 50, min_test: int = 20) -> DataFrame:

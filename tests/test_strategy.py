@@ -72,6 +72,17 @@ def test_paper_session_ends_flat(spark):
     assert {r.symbol for r in rows} == {"A", "B"} and all(r.qty > 0 for r in rows)
 
 
+def test_paper_session_splits_where_nothing_carries(spark):
+    bars = replayed(spark, [100 + 3 * np.sin(i / 5) for i in range(60)])
+    after = bars.withColumns({"symbol": F.lit("C"), "ts": F.expr("timestampadd(DAY, 59, ts)")})  # starts on the date on which B ends
+    three = bars.unionByName(bars.withColumn("symbol", F.lit("B"))).unionByName(after).withColumn("_account", F.lit(0))
+    session = {r.symbol: r._session for r in replay.sessions(three).collect()}
+    assert session["A"] != session["B"] == session["C"]
+    key = lambda r: (r.symbol, r.entry_time, r.exit_time, r.side, r.qty, r.pnl, r.reason)
+    whole = replay.session_bars(three.toPandas(), replay.Risk(), replay.Costs(), 5)
+    assert sorted(map(key, replay.paper_session(three.drop("_account"), max_hold=5).collect())) == sorted(map(key, whole.itertuples()))
+
+
 def test_walk_forward_folds_are_disjoint(spark):
     rows = replay.walk_forward_folds(make_bars(spark, [1.0] * 300)).where("part = 'test'").groupBy("ts").count().collect()
     assert all(r["count"] == 1 for r in rows)
