@@ -60,8 +60,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``op5_line_dedup``, but every line that is not blank is judged, whatever its number of words."""
-    found = line_dedup.remove_repeats(table(spark, sf_dir, "documents"), min_words=1)
+    """Whole lines, removed however short and alone they stand."""
+    found = line_dedup.remove_repeats(table(spark, sf_dir, "documents"), unit="line", min_words=1)
     return found.select("doc_id", "n_units", "n_removed", "n_removed_chars", span_list(F.col("spans")).alias("spans"), "text")
 
 
@@ -93,6 +93,28 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontam
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The units of a text, each with what ends it.
+SENTENCES, LINES = r"[^\n]*?(?:[.!?][ \t\r\x0b\x0c]+|\n|\z)", r"[^\n]*(?:\n|\z)"
+
+
+def _repeats_sql(unit: str, min_words: int) -> str:
+    return rf"""
+WITH l AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '{unit}'), lambda x: x <> '') AS l FROM documents),
+u AS (SELECT doc_id, generate_subscripts(l, 1) AS p, unnest(l) AS u FROM l),
+n AS (SELECT doc_id, p, u, trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t FROM u),
+r AS (SELECT doc_id, p, u, t = '' AS blank, len(string_split(t, ' ')) AS w, t <> '' AND row_number() OVER (PARTITION BY t ORDER BY doc_id, p) > 1 AS again,
+        sum(length(u)) OVER (PARTITION BY doc_id ORDER BY p) - length(u) AS s FROM n),
+g AS (SELECT *, count(*) FILTER (NOT again AND NOT blank) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM r),
+x AS (SELECT *, again AND sum(w) FILTER (again) OVER (PARTITION BY doc_id, run) >= {min_words} AS gone FROM g),
+y AS (SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, sum(length(u)) FILTER (gone) AS n_removed_chars,
+  string_agg(CAST(s AS BIGINT) || ':' || CAST(s + length(u) AS BIGINT), ',' ORDER BY p) FILTER (gone) AS spans,
+  string_agg(u, '' ORDER BY p) FILTER (NOT gone) AS text
+  FROM x GROUP BY doc_id)
+SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(n_removed_chars, 0) AS n_removed_chars,
+  coalesce(spans, '') AS spans, coalesce(y.text, '') AS text
+FROM (SELECT doc_id FROM documents) d LEFT JOIN y USING (doc_id)"""
+
+
 ORACLES = {
     "op8_secrets": secrets.oracle_sql(),
     "op6_exact_dedup": f"""
@@ -100,16 +122,8 @@ WITH n AS (SELECT doc_id, {LOWERED} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n""",
-    "op5_line_dedup": rf"""
-WITH u AS (SELECT doc_id, generate_subscripts(l, 1) AS p, unnest(l) AS u FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
-n AS (SELECT doc_id, p, u, trim(regexp_replace(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+', ' ', 'g')) AS t FROM u),
-r AS (SELECT doc_id, p, u, t <> '' AND len(string_split(t, ' ')) >= 4
-        AND row_number() OVER (PARTITION BY t ORDER BY doc_id, p) > 1 AS gone,
-        sum(length(u) + 1) OVER (PARTITION BY doc_id ORDER BY p) - length(u) - 1 AS s FROM n)
-SELECT doc_id, count(*) AS n_units, count(*) FILTER (gone) AS n_removed, coalesce(sum(length(u)) FILTER (gone), 0) AS n_removed_chars,
-  coalesce(string_agg(CAST(s AS BIGINT) || ':' || CAST(s + length(u) AS BIGINT), ',' ORDER BY p) FILTER (gone), '') AS spans,
-  coalesce(string_agg(u, chr(10) ORDER BY p) FILTER (NOT gone), '') AS text
-FROM r GROUP BY doc_id""",
+    "op5_line_dedup": _repeats_sql(SENTENCES, 20),
+    "op5_line_dedup_all": _repeats_sql(LINES, 1),
     "op3_decontamination": rf"""
 WITH dw AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -139,4 +153,3 @@ SELECT dw.doc_id, coalesce(n.n, 0) AS n_shingles, least(dw.doc_id, coalesce(top.
        dw.doc_id <= coalesce(top.m, dw.doc_id) AS kept
 FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN top ON top.a = dw.doc_id""",
 }
-ORACLES["op5_line_dedup_all"] = ORACLES["op5_line_dedup"].replace("len(string_split(t, ' ')) >= 4", "len(string_split(t, ' ')) >= 1")

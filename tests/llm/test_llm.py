@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barweave.llm import backoff_lm, decontaminate, exact_dedup, html_text, line_dedup, minhash, registry, secrets, sentencepiece_sampling, suffix_dedup, toxicity
+from barweave.llm import backoff_lm, decontaminate, exact_dedup, html_text, minhash, registry, secrets, sentencepiece_sampling, suffix_dedup, toxicity
 from barweave.llm.common import broadcast_if_small, materialise
 from barweave.llm.components import connected_components
 
@@ -92,26 +92,6 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.contamination(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
-def test_lines(docs, nothing):
-    got = {(r.doc_id, r.n_units, r.n_removed, r.text) for r in line_dedup.remove_repeats(docs).collect()}
-    assert got == set(line_dedup.brute_force(DOCS))
-    spans = {r.doc_id: r.spans for r in line_dedup.remove_repeats(docs).collect()}
-    again = DOCS[4]
-    assert [again[1][s.start : s.end] for s in spans[again[0]]] == [again[1].split("\n")[0], again[1].split("\n")[2]]
-    assert line_dedup.remove_repeats(nothing).count() == 0
-    assert line_dedup.remove_repeats(docs, unit="paragraph").count() == len(DOCS)
-
-
-def test_short_lines_are_judged_too(spark, docs, tmp_path):
-    texts = ["all rights reserved.\nbody of the first text", "All  rights reserved.\n\nyes\n", "yes\nYES\n \nbody of the first text", None, ""]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
-    found = registry.QUERIES["op5_line_dedup_all"](spark, str(tmp_path)).collect()
-    got = {(r.doc_id, r.n_units, r.n_removed, r.text) for r in found}
-    assert got == set(line_dedup.brute_force(list(enumerate(texts)), min_words=1)) >= {(1, 4, 1, "\nyes\n"), (2, 4, 3, " ")}
-    got = {(r.doc_id, r.n_units, r.n_removed, r.text) for r in line_dedup.remove_repeats(docs, min_words=1).collect()}
-    assert got == set(line_dedup.brute_force(DOCS, min_words=1))
-
-
 @pytest.mark.parametrize("batches", [1, 2, 4])
 def test_suffixes(docs, batches):
     got = {(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, 100, batches).collect()}
