@@ -1,5 +1,4 @@
-"""What several operators share: shared-folder tables, size-checked broadcasts,
-and byte-level word arithmetic on Arrow batches."""
+"""What several operators share: shared-folder tables and byte-level word arithmetic on Arrow batches."""
 
 from __future__ import annotations
 
@@ -14,9 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; bounds every temporary array.
-CHUNK_BYTES = 1 << 21
-#: Rows up to which a table of short rows may be broadcast; it is counted first.
-BROADCAST_ROWS = 200_000
+CHUNK_BYTES = 1 << 19
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -26,6 +23,20 @@ def ascii_lower(col):
     return F.translate(F.coalesce(col, F.lit("")), UPPER, UPPER.lower())
 
 
+#: Stands for a missing id inside the operators, after all others.
+MISSING = (1 << 63) - 1
+
+
+def key_of(id_col: str):
+    """The id as a long; rows without one share an id after all others."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(MISSING))
+
+
+def id_of(key: str = "id"):
+    """The id that ``key_of`` was made of."""
+    return F.nullif(F.col(key), F.lit(MISSING))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a local session may fall back to a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -60,11 +71,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a table of short rows if it has at most ``rows`` of them; otherwise leave the join to a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 # ---------------------------------------------------------------- byte chunks
 
 
@@ -117,17 +123,33 @@ def word_spans(low: np.ndarray, starts: np.ndarray, is_word: np.ndarray) -> tupl
 
 
 U = np.uint64
-BASE, BASE_INV = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Span hashes are polynomials over a prime field at two fixed points drawn at random, so two different spans of n bytes collide with a
+#: chance of (n / PRIME)**2, however they are made.
+PRIME = (1 << 31) - 1
+POINTS = (1_184_303_569, 700_982_227)
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    key = int(base)
-    if key not in _POWERS or len(_POWERS[key]) < n:
-        p = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
-        p[0] = 1
-        _POWERS[key] = np.multiply.accumulate(p)
-    return _POWERS[key][:n]
+def _near(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME or a little more (under 2**31 + 3), for x below 2**63."""
+    x = (x & U(PRIME)) + (x >> U(31))
+    return (x & U(PRIME)) + (x >> U(31))
+
+
+def _reduce(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**63."""
+    x = _near(x)
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.ones(1, np.uint64)
+        while len(known) < max(n, CHUNK_BYTES + 1):
+            known = np.concatenate([known, _reduce(known * U(pow(base, len(known), PRIME)))])
+        _POWERS[base] = known
+    return known[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -140,17 +162,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(low: np.ndarray) -> np.ndarray:
-    """S[i] = sum of (byte + 1) * BASE**k over k < i, modulo 2**64."""
-    s = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + U(1)) * _powers(BASE, len(low)), out=s[1:])
-    return s
+def prefix_sums(low: np.ndarray) -> list[np.ndarray]:
+    """For each point: S[i] = sum of (byte + 1) * point**k over k < i, the powers modulo PRIME."""
+    value = low.astype(np.uint64)
+    value += U(1)
+    sums = []
+    for point in POINTS:
+        s = np.zeros(len(low) + 1, np.uint64)
+        term = value * _powers(point, len(low))
+        np.cumsum(term if len(low) < 1 << 23 else _near(term), out=s[1:])  # terms are below 2**40
+        sums.append(s)
+    return sums
 
 
-def span_hashes(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(sums: list[np.ndarray], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, the same for equal bytes at any place."""
-    raw = (sums[end] - sums[begin]) * _powers(BASE_INV, len(sums))[begin]
-    return mix(raw + (end - begin).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+    parts = [_reduce(_near(s[end] - s[begin]) * _powers(pow(point, -1, PRIME), len(s))[begin]) for s, point in zip(sums, POINTS, strict=True)]
+    return mix((parts[0] << U(32)) + parts[1] + (end - begin).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
 def sequence_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -4,8 +4,7 @@ Each text's set of word shingles gives 128 minima. Bands of the full minima give
 bits are kept, packed into four longs, and the similarity of a candidate pair is estimated from the equal two-bit fields by
 ``bit_count``, corrected for chance collisions (``p = J + (1 - J) / 4``). Pairs that pass are confirmed on the full sets.
 
-Hot groups: rows with equal sets are folded into one representative first. A band's bucket is never turned into all its pairs.
-Shingles that only one candidate has can be in no intersection, so with ``m`` the least number of other shingles of two
+Hot groups: rows with equal sets are folded into one representative first. Shingles that only one candidate has can be in no intersection, so with ``m`` the least number of other shingles of two
 sets, their similarity is at most ``m / (a + b - m)``; this bound is exact and drops most pairs of a crowd of edited copies. Every
 bucket first compares its members with one pivot, the one with the smallest share of such private shingles; links are
 confirmed and connected components taken. Members that are in one component then need no comparison with each other. Of
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import LOWER, NON_SPACE, broadcast_if_small, materialise, mix, prefix_sums, sequence_hashes, span_hashes, text_chunks, word_spans
+from barweave.llm.common import LOWER, NON_SPACE, id_of, key_of, materialise, mix, prefix_sums, sequence_hashes, span_hashes, text_chunks, word_spans
 from barweave.llm.components import connected_components
 
 #: A shingle is rare among the members left to compare if so many of them hold it at most.
@@ -102,6 +101,35 @@ def _sets(size: int):
     return run
 
 
+def _confirm(size: int, percent: int):
+    """The pairs whose shingles, compared as words, are as similar as asked for."""
+
+    def shingles(text: str) -> frozenset:
+        w = text.encode().lower().split()
+        k = min(size, len(w))
+        return frozenset(zip(*(w[i:] for i in range(k)), strict=False)) if k else frozenset()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, frozenset] = {}  # the pivot of a crowd comes again and again
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                sets = []
+                for text in (a.as_py(), b.as_py()):
+                    if text not in known:
+                        if len(known) >= 8:
+                            known.pop(next(iter(known)))
+                        known[text] = shingles(text)
+                    else:
+                        known[text] = known.pop(text)  # the last to go
+                    sets.append(known[text])
+                both = len(sets[0] & sets[1])
+                good.append(both > 0 and 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def estimate(a: str, b: str):
     """The similarity of two signatures, corrected for fields that agree by chance."""
     differ = lambda i: F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]).bitwiseOR(F.col(a)[i + 1].bitwiseXOR(F.col(b)[i + 1])))
@@ -116,9 +144,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     ``shingle_words`` words; a text of fewer words is one shingle; without words (or null) the set is empty and linked with
     nothing. Two documents are linked if 100 * intersection >= ``percent`` * union on full sets. A pair is a candidate if one
     of 25 bands of 5 minima agrees (missed with a chance of 5e-7 at a similarity of 0.85, 5e-5 at 0.8) and its estimate is not
-    ``slack`` (six standard deviations) below the threshold. Ids must be unique integers; other columns are ignored.
+    ``slack`` (six standard deviations) below the threshold; candidates are compared by the words of their shingles. Ids are
+    integers; rows that share an id are one node, linked by any of their texts, and rows without an id share one after all others. Other
+    columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(key_of(id_col).alias("id"), F.col(text_col).alias("text"))
     sketch = materialise(rows.mapInArrow(_sketch(shingle_words), SKETCH), "minhash-sketch")
     same = ["n_shingles", "set_a", "set_b"]
     classes = sketch.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
@@ -131,7 +161,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     crowded = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     open_rows = materialise(band.join(crowded, "band"), "minhash-buckets")
     wanted = materialise(open_rows.select(F.col("rep").alias("id")).distinct(), "minhash-wanted")
-    texts = rows.join(broadcast_if_small(wanted), "id", "left_semi")
+    texts = materialise(rows.join(wanted.hint("merge"), "id", "left_semi").select("id", F.coalesce("text", F.lit("")).alias("text")), "minhash-texts")
     sets = materialise(texts.mapInArrow(_sets(shingle_words), "id long, shingles array<long>"), "minhash-sets")
 
     # How many of a candidate's shingles another candidate has too.
@@ -172,16 +202,16 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-pairs")
         if pairs.isEmpty():
             continue
-        both = pairs.join(sets.withColumnsRenamed({"id": "a", "shingles": "set_1"}), "a").join(sets.withColumnsRenamed({"id": "b", "shingles": "set_2"}), "b")
-        common = F.size(F.array_intersect("set_1", "set_2"))
-        confirmed = materialise(both.where(100 * common >= percent * (F.size("set_1") + F.size("set_2") - common)).select("a", "b"), "minhash-links")
+        both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
+        confirmed = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle_words, percent), "a long, b long").distinct(), "minhash-links")
         if confirmed.isEmpty():
             continue
         links = confirmed if links is None else links.unionByName(confirmed)
         label = connected_components(links).withColumnsRenamed({"node": "rep", "component": "label"})
     joined = member if label is None else member.join(label, "rep", "left")
     component = F.col("rep") if label is None else F.coalesce("label", "rep")
-    return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    found = joined.select("id", "n_shingles", component.alias("component_id"))
+    return found.select(id_of().alias(id_col), "n_shingles", id_of("component_id").alias("component_id"), (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def brute_force(docs: list[tuple], shingle_words: int, percent: int) -> list[tuple]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import CHUNK_BYTES, mix
+from barweave.llm.common import CHUNK_BYTES, id_of, key_of, mix
 
 SPACE = "▁"
 UNIT = re.compile(r" *[^ ]+| +")
@@ -224,8 +224,8 @@ def sample_encode(docs: DataFrame, model_file: str, alpha: float = 1.0, seed: in
     texts get equal pieces. Null and empty texts have no pieces and decode to the empty text.
     """
     vocabulary, unigram = load_vocabulary(model_file)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode(vocabulary, unigram, alpha, seed, with_text), SCHEMA).withColumnRenamed("id", id_col)
+    rows = docs.select(key_of(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_encode(vocabulary, unigram, alpha, seed, with_text), SCHEMA).withColumn("id", id_of()).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
