@@ -71,6 +71,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for rows with long texts: batches of 1,000 rows and 8 MB at most, which each task holds several
+    times over, unless the session sets other sizes than Spark's."""
+    conf = df.sparkSession.conf
+    for key, usual, size in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8388608b")):
+        if conf.get(f"spark.sql.execution.arrow.{key}") == usual:
+            conf.set(f"spark.sql.execution.arrow.{key}", size)
+    return df.mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- byte chunks
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import ALNUM, LOWER, id_of, key_of, prefix_sums, sequence_hashes, span_hashes, text_chunks, word_spans
+from barweave.llm.common import ALNUM, LOWER, id_of, key_of, map_batches, prefix_sums, sequence_hashes, span_hashes, text_chunks, word_spans
 
 #: The benchmark is read by the driver and sent to every executor, so its size is checked: bytes of text at most.
 MAX_BENCHMARK_BYTES = 64 << 20
@@ -97,7 +97,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
         raise ValueError(f"the benchmark has {size} bytes of text; the broadcast set is bounded at {MAX_BENCHMARK_BYTES}")
     windows = _item_windows([tuple(r) for r in items.collect()], n)
     rows = docs.select(key_of(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan(windows, spans), SCHEMA).withColumn("id", id_of()).withColumnRenamed("id", id_col)
+    return rows.transform(map_batches, _scan(windows, spans), SCHEMA).withColumn("id", id_of()).withColumnRenamed("id", id_col)
 
 
 def remove_spans(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barweave.llm.common import ascii_lower, materialise
+from barweave.llm.common import ascii_lower, map_batches, materialise
 
 SCHEMA = "id long, part int, run int, run_keep long, run_size long, sha string, edge string"
 
@@ -73,7 +73,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     norm = docs.select(F.col(id_col).cast("long").alias("id"), ascii_lower(F.col(text_col)).alias("norm"))
     order = [F.substring("norm", 1, lead), F.xxhash64("norm"), rank]
     placed = norm.repartitionByRange(*order).sortWithinPartitions(order[0], order[1], "norm", rank)
-    runs = materialise(placed.select("id", "norm").mapInArrow(_runs, SCHEMA), "exact-runs")
+    runs = materialise(placed.select("id", "norm").transform(map_batches, _runs, SCHEMA), "exact-runs")
     edges = runs.where("edge is not null")  # at most two rows a partition
     whole = edges.withColumn("keep_id", best("run_keep").over(Window.partitionBy("edge"))).withColumn("group_size", F.sum("run_size").over(Window.partitionBy("edge")))
     joined = whole.select("part", "run", "keep_id", "group_size")

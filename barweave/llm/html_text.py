@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barweave.llm.common import map_batches
+
 #: Common words of four languages.
 STOP_WORDS = frozenset(
     """the of and to a in is it that for on are as with his they at be this from or had by not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two him see no way could my than first been who its now did get
@@ -199,4 +201,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
 
     rows = pages.select(*others, F.col(html_col).alias("_html"))
     schema = rows.drop("_html").schema.add("text", "string")
-    return rows.mapInArrow(run, schema)
+    return rows.transform(map_batches, run, schema)

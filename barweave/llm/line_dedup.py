@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import materialise
+from barweave.llm.common import map_batches, materialise
 
 #: What ends a unit; it belongs to the unit that it ends, so the units of a text make up the text.
 ENDS = {"sentence": r"[.!?][ \t\r\x0b\x0c]+|\n", "line": r"\n", "paragraph": r"\n\n+"}
@@ -125,7 +125,7 @@ def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 20,
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("twin"), text.alias("text"))
-    units = rows.mapInArrow(_scan(unit), UNITS)
+    units = rows.transform(map_batches, _scan(unit), UNITS)
     first = units.groupBy("a", "b").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
     first = materialise(first, "lines-repeated")
     later = units.join(first.hint("merge"), ["a", "b"]).where("again or id > first")
@@ -133,7 +133,7 @@ def remove_repeats(docs: DataFrame, unit: str = "sentence", min_words: int = 20,
     repeated = materialise(repeated, "lines-removed")
     # A merge join whatever the sizes: the texts are shuffled once by id, and the plan is the same for a small and a large corpus.
     joined = rows.join(repeated.hint("merge"), ["id", "twin"], "left").select("id", "text", "repeated")
-    return joined.mapInArrow(_remove(unit, min_words), SCHEMA).withColumnRenamed("id", id_col)
+    return joined.transform(map_batches, _remove(unit, min_words), SCHEMA).withColumnRenamed("id", id_col)
 
 
 def brute_force(docs: list[tuple], unit: str = "sentence", min_words: int = 20) -> list[tuple]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import LOWER, NON_SPACE, id_of, key_of, materialise, mix, prefix_sums, sequence_hashes, span_hashes, text_chunks, word_spans
+from barweave.llm.common import LOWER, NON_SPACE, id_of, key_of, map_batches, materialise, mix, prefix_sums, sequence_hashes, span_hashes, text_chunks, word_spans
 from barweave.llm.components import connected_components
 
 #: A shingle is rare among the members left to compare if so many of them hold it at most.
@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     columns are ignored, whatever their names.
     """
     rows = docs.select(key_of(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketch = materialise(rows.mapInArrow(_sketch(shingle_words), SKETCH), "minhash-sketch")
+    sketch = materialise(rows.transform(map_batches, _sketch(shingle_words), SKETCH), "minhash-sketch")
     same = ["n_shingles", "set_a", "set_b"]
     classes = sketch.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     repeated = materialise(classes.where("copies > 1").select(*same, "rep"), "minhash-classes")
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     open_rows = materialise(band.join(crowded, "band"), "minhash-buckets")
     wanted = materialise(open_rows.select(F.col("rep").alias("id")).distinct(), "minhash-wanted")
     texts = materialise(rows.join(wanted.hint("merge"), "id", "left_semi").select("id", F.coalesce("text", F.lit("")).alias("text")), "minhash-texts")
-    sets = materialise(texts.mapInArrow(_sets(shingle_words), "id long, shingles array<long>"), "minhash-sets")
+    sets = materialise(texts.transform(map_batches, _sets(shingle_words), "id long, shingles array<long>"), "minhash-sets")
 
     # How many of a candidate's shingles another candidate has too.
     single = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         if pairs.isEmpty():
             continue
         both = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b")
-        confirmed = materialise(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle_words, percent), "a long, b long").distinct(), "minhash-links")
+        confirmed = materialise(both.select("a", "b", "text_a", "text_b").transform(map_batches, _confirm(shingle_words, percent), "a long, b long").distinct(), "minhash-links")
         if confirmed.isEmpty():
             continue
         links = confirmed if links is None else links.unionByName(confirmed)

@@ -4,7 +4,8 @@ The pieces that match a text form a lattice. A forward pass sums the weight of a
 path, each edge in proportion to the weight that flows through it, from random numbers that follow from the row's key and the
 place alone. White space is written as U+2581 and a piece never goes on past a run of it, so the lattice falls into units (a
 run of spaces with the word after it) and the forward pass is done once for each distinct unit; the draws are still made for
-every occurrence. A character without a piece, and a literal U+2581, is spelt in byte pieces, so decoding gives every text back
+every occurrence. A unit falls into segments at the places that no piece crosses: every path goes through them, so segments are
+filtered and drawn independently, and a text without spaces takes as many steps as its longest segment. A character without a piece, and a literal U+2581, is spelt in byte pieces, so decoding gives every text back
 exactly. Models with log probabilities (unigram) use them; BPE models carry merge ranks, which get Zipf weights -ln(rank + 1).
 """
 
@@ -19,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import CHUNK_BYTES, id_of, key_of, mix
+from barweave.llm.common import CHUNK_BYTES, id_of, key_of, map_batches, mix
 
 SPACE = "▁"
 UNIT = re.compile(r" *[^ ]+| +")
-#: Distinct units whose lattices a task keeps at most.
-CACHE_UNITS = 150_000
-#: Units whose lattices are built at once.
-BLOCK_UNITS = 16_000
+#: Edges of the lattices that a task keeps at most, of some 20 bytes each, before it starts anew.
+CACHE_EDGES = 2_000_000
+#: Characters whose lattices are built at once, and units that are drawn at once; a longer unit makes a block of its own.
+BLOCK_CHARS, BLOCK_UNITS = 50_000, 100_000
 
 SCHEMA = "id long, pieces array<int>, lossless boolean, decoded string"
 
@@ -59,36 +60,39 @@ class Lattices:
         keys = np.array([(k << 21) + ord(c) for k, c in trie], np.int64)
         order = np.argsort(keys)
         self.keys, self.child = keys[order], np.array(list(trie.values()), np.int64)[order]
-        self.ends, self.weight = np.full(len(trie) + 1, -1, np.int64), np.zeros(len(trie) + 1)
+        self.ends_piece, self.weight = np.full(len(trie) + 1, -1, np.int64), np.zeros(len(trie) + 1)
         for k, (i, w) in ends.items():
-            self.ends[k], self.weight[k] = i, w
+            self.ends_piece[k], self.weight[k] = i, w
         self.clear()
 
     def clear(self) -> None:
-        self.end: dict[str, int] = {}
+        self.unit: dict[str, int] = {}
         self.cum, self.back, self.what, self.first = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.segment, self.ends = np.zeros(1, np.int64), np.zeros(0, np.int64)  # of unit k: ends[segment[k] : segment[k + 1]], nodes
 
     def add(self, units: list[str]) -> None:
         """Adds the lattices of new units, block by block, so that working arrays stay small."""
-        base, parts = len(self.first) - 1, [(self.cum, self.back, self.what, self.first)]
-        edges = self.first[-1]
-        for a in range(0, len(units), BLOCK_UNITS):
-            block = units[a : a + BLOCK_UNITS]
-            cum, back, what, count, ends = self._forward(block, base)
-            parts.append((cum, back, what, edges + np.cumsum(count)))
-            self.end.update(zip(block, ends.tolist(), strict=True))
-            base, edges = base + len(count), edges + len(cum)
-        self.cum, self.back, self.what, self.first = (np.concatenate(x) for x in zip(*parts, strict=True))
+        base, parts = len(self.first) - 1, [(self.cum, self.back, self.what, self.first, self.segment, self.ends)]
+        edges, segments, block, size = self.first[-1], self.segment[-1], [], 0
+        for i, unit in enumerate(units):
+            block.append(unit)
+            size += len(unit)
+            if size >= BLOCK_CHARS or i + 1 == len(units):
+                cum, back, what, count, many, ends = self._forward(block, base)
+                parts.append((cum, back, what, edges + np.cumsum(count), segments + np.cumsum(many), ends))
+                for u in block:
+                    self.unit[u] = len(self.unit)
+                base, edges, segments, block, size = base + len(count), edges + len(cum), segments + len(ends), [], 0
+        self.cum, self.back, self.what, self.first, self.segment, self.ends = (np.concatenate(x) for x in zip(*parts, strict=True))
 
     def _forward(self, units: list[str], base: int):
         """Forward filtering of a block, place by place: its edges in order of nodes (cumulative probability plus node, source, piece),
-        the edges of each node, and each unit's last node."""
+        the edges of each node, the segments of each unit, and each segment's last node."""
         text = "".join(units)
         code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
         literal, code = code == ord(SPACE), np.where(code == 32, ord(SPACE), code)
         size = np.array([len(u) for u in units], np.int64)
         ends = np.repeat(np.cumsum(size), size)
-        rank = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)  # of a character in its unit
         # Walk the trie from every character at once.
         start, node, length, found = np.arange(len(code)), np.zeros(len(code), np.int64), 0, []
         spelt = np.ones(len(code), bool)
@@ -100,72 +104,90 @@ class Lattices:
             pos = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
             hit = (self.keys[pos] == want) & ~literal[at]
             start, node, length = start[hit], self.child[pos[hit]], length + 1
-            whole = self.ends[node] >= 0
-            found.append((start[whole], start[whole] + length, self.ends[node[whole]], self.weight[node[whole]]))
+            whole = self.ends_piece[node] >= 0
+            found.append((start[whole], start[whole] + length, self.ends_piece[node[whole]], self.weight[node[whole]]))
             if length == 1:
                 spelt[start[whole]] = False
         alone = np.flatnonzero(spelt)
         found.append((alone, alone + 1, -1 - code[alone], np.full(len(alone), self.fallback)))
         a, b, what, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-        # Nodes: one before each unit's first character and one after each character.
-        unit = np.repeat(np.arange(len(units)), size)
-        after = base + np.arange(len(code)) + unit + 1  # the node after a character
+        # Segments start where no piece crosses; nodes: one before each segment's first character and one after each character.
+        crossed = np.cumsum(np.bincount(a + 1, minlength=len(code) + 1) - np.bincount(b, minlength=len(code) + 1))[: len(code)] > 0
+        head = np.flatnonzero(~crossed)
+        segment = np.cumsum(~crossed) - 1
+        rank = np.arange(len(code)) - head[segment]
+        long = np.diff(np.append(head, len(code)))
+        after = base + np.arange(len(code)) + segment + 1  # the node after a character
         source, target = after[a] - 1, after[b - 1]
         order = np.lexsort((target, rank[b - 1]))
         source, target, what, weight, step = source[order], target[order], what[order], weight[order], rank[b - 1][order]
-        log, cum = np.zeros(len(code) + len(units)), np.zeros(len(order))
+        log, cum = np.zeros(len(code) + len(head)), np.zeros(len(order))
         cuts = np.searchsorted(step, np.arange(step[-1] + 2)) if len(step) else [0]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             t, x = target[lo:hi] - base, log[source[lo:hi] - base] + weight[lo:hi]
-            head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-            many = np.diff(np.append(head, len(t)))
-            top = np.maximum.reduceat(x, head)
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            many = np.diff(np.append(first, len(t)))
+            top = np.maximum.reduceat(x, first)
             e = np.exp(x - np.repeat(top, many))
-            total = np.add.reduceat(e, head)
-            log[t[head]] = top + np.log(total)
+            total = np.add.reduceat(e, first)
+            log[t[first]] = top + np.log(total)
             run = np.cumsum(e)
-            cum[lo:hi] = (run - np.repeat(run[head] - e[head], many)) / np.repeat(total, many)
+            cum[lo:hi] = (run - np.repeat(run[first] - e[first], many)) / np.repeat(total, many)
         order = np.argsort(target, kind="stable")
-        count = np.bincount(target - base, minlength=len(code) + len(units))
-        return target[order] + np.minimum(cum[order], 1.0), source[order].astype(np.int32), what[order].astype(np.int32), count, base + np.cumsum(size + 1) - 1
+        count = np.bincount(target - base, minlength=len(code) + len(head))
+        segments = np.bincount(np.repeat(np.arange(len(units)), size)[head], minlength=len(units))
+        return target[order] + np.minimum(cum[order], 1.0), source[order].astype(np.int32), what[order].astype(np.int32), count, segments, base + np.cumsum(long + 1) - 1
 
     def sample(self, ids: np.ndarray, texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of all texts in order, number of pieces of each)."""
-        if len(self.end) > CACHE_UNITS:
+        key = mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        drawn, counts = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        block, doc, place = [], [], []
+        for d, text in enumerate(texts):
+            for k, unit in enumerate(UNIT.findall(text)):
+                block.append(unit)
+                doc.append(d)
+                place.append(k)
+                if len(block) == BLOCK_UNITS:
+                    drawn.append(self._draw(key, block, doc, place, counts))
+                    block, doc, place = [], [], []
+        if block:
+            drawn.append(self._draw(key, block, doc, place, counts))
+        return np.concatenate(drawn), counts
+
+    def _draw(self, key: np.ndarray, units: list[str], doc: list[int], place: list[int], counts: np.ndarray) -> np.ndarray:
+        """Backward sampling of units, given the text and the place in it of each; adds to the pieces' counts of the texts."""
+        if len(self.cum) > CACHE_EDGES:
             self.clear()
-        units = [UNIT.findall(t) for t in texts]
-        count = np.array([len(u) for u in units], np.int64)
-        flat = list(chain.from_iterable(units))
-        if not flat:
-            return np.zeros(0, np.int64), count * 0
-        fresh = list(dict.fromkeys(u for u in flat if u not in self.end))
+        fresh = list(dict.fromkeys(u for u in units if u not in self.unit))
         if fresh:
             self.add(fresh)
-        ends = np.fromiter(map(self.end.__getitem__, flat), np.int64, len(flat))
+        which = np.fromiter(map(self.unit.__getitem__, units), np.int64, len(units))
+        many = self.segment[which + 1] - self.segment[which]
+        inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        ends = self.ends[np.repeat(self.segment[which], many) + inner]
+        doc, place = np.repeat(np.array(doc, np.int64), many), np.repeat(np.array(place, np.int64), many)
         cum, back, what, first = self.cum, self.back, self.what, self.first
-        doc = np.repeat(np.arange(len(texts)), count)
-        place = np.arange(len(ends)) - np.repeat(np.cumsum(count) - count, count)
-        key = mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
-        state = mix(key[doc] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        state = mix(mix(key[doc] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) + inner.astype(np.uint64))
         live, at, step = np.arange(len(ends)), ends, 1
-        unit_of, drawn = [], []
+        segment_of, drawn = [], []
         while len(live):
             salt = np.uint64(step * 0xC2B2AE3D27D4EB4F % 2**64)
-            u = (mix(state[live] + salt) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             lo, hi = first[at], first[at + 1] - 1
             edge, open_ = lo.copy(), np.flatnonzero(lo < hi)
-            edge[open_] = np.clip(np.searchsorted(cum, at[open_] + u[open_]), lo[open_], hi[open_])
-            unit_of.append(live)
+            u = (mix(state[live[open_]] + salt) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            edge[open_] = np.clip(np.searchsorted(cum, at[open_] + u), lo[open_], hi[open_])
+            segment_of.append(live)
             drawn.append(what[edge])
             at = back[edge]
             more = first[at + 1] > first[at]
             live, at, step = live[more], at[more], step + 1
-        unit_of, drawn = np.concatenate(unit_of[::-1]), np.concatenate(drawn[::-1])
-        order = np.argsort(unit_of, kind="stable")
-        unit_of, drawn = unit_of[order], drawn[order]
+        segment_of, drawn = np.concatenate(segment_of[::-1]), np.concatenate(drawn[::-1])
+        order = np.argsort(segment_of, kind="stable")
+        segment_of, drawn = segment_of[order], drawn[order]
         plain = drawn >= 0
         if not plain.all():  # characters without a piece, as bytes
-            spelt = {c: np.array([self.byte[b] for b in chr(-1 - c).encode()], np.int64) for c in np.unique(drawn[~plain]).tolist()}
+            spelt = {c: np.array([self.byte[b] for b in chr(-1 - c).encode()], np.int32) for c in np.unique(drawn[~plain]).tolist()}
             size = np.ones(len(drawn), np.int64)
             for c, v in spelt.items():
                 size[drawn == c] = len(v)
@@ -175,8 +197,9 @@ class Lattices:
                 where = start[drawn == c]
                 for k, b in enumerate(v):
                     out[where + k] = b
-            unit_of, drawn = np.repeat(unit_of, size), out
-        return drawn, np.bincount(doc[unit_of], minlength=len(texts))
+            segment_of, drawn = np.repeat(segment_of, size), out
+        counts += np.bincount(doc[segment_of], minlength=len(counts))
+        return drawn
 
     def decode(self, pieces: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, pieces.tolist()))
@@ -225,7 +248,7 @@ def sample_encode(docs: DataFrame, model_file: str, alpha: float = 1.0, seed: in
     """
     vocabulary, unigram = load_vocabulary(model_file)
     rows = docs.select(key_of(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode(vocabulary, unigram, alpha, seed, with_text), SCHEMA).withColumn("id", id_of()).withColumnRenamed("id", id_col)
+    return rows.transform(map_batches, _encode(vocabulary, unigram, alpha, seed, with_text), SCHEMA).withColumn("id", id_of()).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", pieces_col: str = "pieces") -> DataFrame:
@@ -238,4 +261,4 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", pieces_c
             texts = [b"".join(map(spelt.__getitem__, p or [])).decode("utf-8", "replace") for p in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(pieces_col).alias("pieces")).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return encoded.select(F.col(id_col).cast("long").alias("id"), F.col(pieces_col).alias("pieces")).transform(map_batches, run, "id long, text string").withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barweave.llm.common import discard, materialise, mix, prefix_sums, span_hashes, text_chunks
+from barweave.llm.common import discard, map_batches, materialise, mix, prefix_sums, span_hashes, text_chunks
 
 GRAM = 32
 #: Bytes of text in a batch, on average, and the least number of batches.
@@ -210,7 +210,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int | None = Non
             part = part.where(F.col("id") > int(low))
         if high is not None:
             part = part.where(F.col("id") <= int(high))
-        family.add(part.mapInArrow(_scan(length), SUFFIXES))
+        family.add(part.transform(map_batches, _scan(length), SUFFIXES))
     level = family.whole()
     decided = family.gone[0]
     for met in family.gone[1:]:
@@ -224,14 +224,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int | None = Non
     discard(level, shared)
     ranges, edges = edges, materialise(edges.groupBy("id").agg(F.collect_list(run).alias("runs")), "suffix-edges", release=True)  # of one document
     discard(ranges)
-    windows = rows.join(edges.hint("merge"), "id").select("id", "text", "runs").mapInArrow(_windows(length), "key long, id long, place int, again boolean")
+    windows = rows.join(edges.hint("merge"), "id").select("id", "text", "runs").transform(map_batches, _windows(length), "key long, id long, place int, again boolean")
     first = F.min("id").over(Window.partitionBy("key"))
     later = windows.withColumn("first", first).where(F.col("again") | (F.col("id") > F.col("first"))).select("id", F.col("place").alias("lo"), F.col("place").alias("hi"))
     gone = decided.select("id", lo, hi).unionByName(later)
     gone = materialise(gone.groupBy("id").agg(F.collect_list(run).alias("runs")), "suffix-gone", release=True)  # of one document
     discard(edges, *family.gone)
     # A merge join whatever the sizes: the plan is the same for a small and a large corpus.
-    out = rows.join(gone.hint("merge"), "id", "left").select("id", "text", "runs").mapInArrow(_remove(length, with_text), "id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary")
+    out = rows.join(gone.hint("merge"), "id", "left").select("id", "text", "runs").transform(map_batches, _remove(length, with_text), "id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import mix
+from barweave.llm.common import map_batches, mix
 
 LENGTH, GAP, DECAY = 4, 2, 0.7
 BITS = 18
@@ -264,7 +264,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
                 yield pa.record_batch([part.column(0), pa.array(machine.probability(worst(part.column(1).to_pylist())), pa.float64())], names=["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return rows.transform(map_batches, run, "id long, score double").withColumnRenamed("id", id_col)
 
 
 def clean(docs: DataFrame, machine: Machine, reject_from: float, text_col: str = "text") -> DataFrame:
@@ -278,4 +278,4 @@ def clean(docs: DataFrame, machine: Machine, reject_from: float, text_col: str =
                 part = batch.slice(a, 256)
                 yield part.filter(pa.array(machine.probability(worst(part.column(place).to_pylist())) < reject_from))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_batches, run, docs.schema)
