@@ -82,11 +82,12 @@ def normal_title(title: Column) -> Column:
 
 
 def publisher(title: Column) -> tuple[Column, Column]:
-    """(headline, publisher): what follows the last `` - `` if it is shorter than 60 characters, else an empty publisher."""
+    """(headline, publisher): what follows the last `` - `` if it is shorter than 60 characters and something comes before it,
+    else an empty publisher."""
     tail = F.substring_index(title, " - ", -1)
-    named = title.contains(" - ") & (F.length(tail) < 60)
-    head = F.expr("left(_t, greatest(length(_t) - length(substring_index(_t, ' - ', -1)) - 3, 0))".replace("_t", "title"))
-    return F.when(named, F.trim(head)).otherwise(title), F.when(named, F.trim(tail)).otherwise(F.lit(""))
+    head = F.left(title, F.greatest(F.length(title) - F.length(tail) - 3, F.lit(0)))
+    named = title.contains(" - ") & (F.length(tail) < 60) & (head != "")
+    return F.trim(F.when(named, head).otherwise(title)), F.when(named, F.trim(tail)).otherwise(F.lit(""))
 
 
 def domain(url: Column) -> Column:
@@ -100,14 +101,18 @@ def age_label(seconds: Column) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """The outermost {...} of a noisy text if it is a JSON object, else null."""
-    body = F.regexp_extract(F.coalesce(text, F.lit("")), "(?s)\\{.*\\}", 0)
-    return F.when(F.json_object_keys(body).isNotNull() & (body != ""), body)
+    """The JSON object that a noisy text is, inside code fences perhaps, or else the outermost {...} in it; null without one, and
+    null for a text that is another JSON value, as an array of objects is."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s*```[a-zA-Z]*\n?", ""), r"\n?```\s*$", ""))
+    body = F.regexp_extract(plain, r"(?s)\{.*\}", 0)
+    other = F.coalesce(F.json_array_length(plain), F.lit(-1)) >= 0
+    return F.when(~other & F.json_object_keys(body).isNotNull() & (body != ""), body)
 
 
 def slug(title: Column) -> Column:
-    """Safe in file names and in links."""
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(title, '[\\\\/:*?"<>|#^\\[\\]]+', "-"), "\\s+", " ")), 1, 120)
+    """Safe in file names and in links: marks of links, paths and headings become blanks, and a comma is followed by one."""
+    plain = F.replace(F.regexp_replace(title, r"[\[\]#^|:\\/]+", " "), F.lit(","), F.lit(", "))
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
 def days_since(day: Column, now: Column) -> Column:

@@ -126,7 +126,6 @@ def verdict(pbo: float | None, dsr: dict, fwe: dict) -> dict:
 
 
 def search_verdict(edge_pp, signals, tried):
-    """A column: whether an edge beats the largest of so many chance edges, sqrt(2 ln N) standard errors."""
-    return edge_pp / (100 * F.sqrt(0.25 / signals)) > F.sqrt(2 * F.log(tried))
-
-
+    """A column: whether an edge beats the largest of so many chance edges, sqrt(2 ln N) standard errors, by one more."""
+    error = 100 * F.sqrt(0.25 / F.greatest(signals, F.lit(1)))
+    return edge_pp / error > F.sqrt(2 * F.log(F.greatest(tried, F.lit(2)))) + 1

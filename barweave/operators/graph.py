@@ -37,7 +37,7 @@ def decide(notes: DataFrame, existing: DataFrame, today, ttl_days: int = 7, arch
     gone = F.when(F.coalesce("_pinned", F.lit(False)), "pinned").when(age > archive_days, "archive").otherwise("keep")
     here = (
         F.when(F.col("_updated").isNull() & F.col("_pinned").isNull(), "new").when(F.coalesce("_pinned", F.lit(False)), "pinned")
-        .when(F.coalesce(F.col("data_through") > F.col("_through"), F.lit(False)), "new-data").when(age > ttl_days, "stale").otherwise("fresh")
+        .when(F.coalesce(F.col("data_through") > F.col("_through"), F.lit(False)), "new-data").when(age >= ttl_days, "stale").otherwise("fresh")
     )
     return both.select("slug", F.when(F.col("_here").isNull(), gone).otherwise(here).alias("decision"))
 

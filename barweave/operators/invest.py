@@ -83,10 +83,11 @@ def snapshot(bars: DataFrame) -> DataFrame:
 
 
 def setup() -> Column:
-    up, high = F.col("trend_up"), F.col("from_high_pct")
+    """What a snapshot's rounded figures (the distance to a tenth, the RSI to a whole number) are called."""
+    up, high = F.col("trend_up"), F.bround("from_high_pct", 1)
     return (
         F.when(F.col("history") < 60, "insufficient history").when(up & (high >= -3), "near-high uptrend").when(up & (high <= -12), "uptrend pullback")
-        .when(up, "uptrend").when(F.col("rsi") < 35, "oversold downtrend").otherwise("downtrend")
+        .when(up, "uptrend").when(F.bround("rsi", 0) < 35, "oversold downtrend").otherwise("downtrend")
     )
 
 

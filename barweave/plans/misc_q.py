@@ -134,7 +134,7 @@ def breaking(spark, d):
 select("sc10_domains", "SELECT page_id, regexp_replace(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1), '^www\\.', '') AS host FROM pages", lambda s, d: read(s, d, "pages").select("page_id", scalars.domain(F.col("url")).alias("host")), "")
 select("sc13_age_labels", "SELECT event_id, CASE WHEN s >= 86400 THEN s // 86400 || 'd ago' WHEN s >= 3600 THEN s // 3600 || 'h ago' WHEN s >= 60 THEN s // 60 || 'm ago' ELSE 'just now' END AS age FROM (SELECT event_id, CAST(floor(epoch(TIMESTAMP '2024-03-01' - ts)) AS BIGINT) AS s FROM events)", lambda s, d: read(s, d, "events").select("event_id", scalars.age_label(F.floor(F.lit(1709251200) - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)).alias("age")), "")
 select("sc14_json_objects", "SELECT event_id, body IS NOT NULL AS parsed, coalesce(json_exists(body, '$.k'), false) AS valid FROM (SELECT event_id, regexp_extract('text ' || props || ' end', '(?s)\\{.*\\}') AS body FROM events)", lambda s, d: news.with_json(read(s, d, "events").withColumn("noisy", F.concat(F.lit("text "), "props", F.lit(" end"))), "noisy", ("k",)).select("event_id", F.col("body").isNotNull().alias("parsed"), "valid"), "")
-select("sc16_slugs", "SELECT pos, substring(trim(regexp_replace(regexp_replace(title, '[\\\\/:*?\"<>|#^\\[\\]]+', '-', 'g'), '\\s+', ' ', 'g')), 1, 120) AS slug FROM hd", lambda s, d: news.headlines(read(s, d, "documents")).select("pos", scalars.slug(F.col("title")).alias("slug")), q.with_(HEADS))
+select("sc16_slugs", r"SELECT pos, trim(regexp_replace(replace(regexp_replace(title, '[\[\]#^|:\\/]+', ' ', 'g'), ',', ', '), '\s+', ' ', 'g')) AS slug FROM hd", lambda s, d: news.headlines(read(s, d, "documents")).select("pos", scalars.slug(F.col("title")).alias("slug")), q.with_(HEADS))
 select("sc17_days_since", "SELECT o_orderkey, o_orderdate, date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01')::DOUBLE AS days FROM orders", lambda s, d: read(s, d, "orders").select("o_orderkey", "o_orderdate", scalars.days_since(F.date_format("o_orderdate", "yyyy-MM-dd"), F.to_date(F.lit("2000-01-01"))).alias("days")), "")
 select("fn16_regime", f", w AS (SELECT ts, max(r) FILTER (symbol = 'LARGE') AS a, max(r) FILTER (symbol = 'MEDIUM') AS b, max(r) FILTER (symbol = 'SMALL') AS v FROM (SELECT symbol, ts, (close / lag(close) OVER ({q.W}) - 1) * 100 AS r FROM bars) GROUP BY ts), x AS (SELECT ts, coalesce(a, 0) + coalesce(b, 0) - 0.5 * coalesce(v, 0) AS s FROM w) SELECT ts, round(s, 4) AS score, CASE WHEN s > 0.3 THEN 'risk_on' WHEN s < -0.3 THEN 'risk_off' ELSE 'neutral' END AS regime FROM x", lambda s, d: regimes(s, d), DAYS[:-1])
 
@@ -147,10 +147,69 @@ def regimes(spark, d):
 
 
 select("fn17_input_hash", "SELECT event_id, sha256(props) AS input_hash FROM events", lambda s, d: read(s, d, "events").select("event_id", news.input_hash(F.col("props")).alias("input_hash")), "")
-select("sc26_prompt", "SELECT string_agg(title, chr(10) ORDER BY pos) AS prompt FROM (SELECT * FROM dd ORDER BY pos LIMIT 25)", lambda s, d: news.dedupe(news.headlines(read(s, d, "documents")), limit=25).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: x["title"]), "\n").alias("prompt")), q.with_(HEADS, FIRST))
-query("src9_feed_items")(lambda s, d: news.feed_items(read(s, d, "pages")))
-query("sc8_publishers")(lambda s, d: news.feed_items(read(s, d, "pages")).select("pos", "title", "source"))
-query("sc19_rules_in_text")(lambda s, d: read(s, d, "conversations").select("conv_id", "turn", news.rules_in(F.col("text")).alias("rules")))
+PROMPT = """SELECT 'GLOBAL CUES (1-day % change):' || chr(10) || coalesce((SELECT string_agg('- ' || symbol || ': ' || printf('%+.2f', pct) || '%', chr(10) ORDER BY symbol) FROM cu WHERE pct IS NOT NULL), '- (none)')
+  || chr(10) || chr(10) || 'RECENT HEADLINES:' || chr(10) || coalesce((SELECT string_agg('- ' || title, chr(10) ORDER BY pos) FROM (SELECT * FROM dd ORDER BY pos LIMIT 25)), '- (none)') AS prompt"""
+CUES = f"cu AS (SELECT symbol, (max(close) FILTER (r = 1) / max(close) FILTER (r = 2) - 1) * 100 AS pct FROM (SELECT *, row_number() OVER ({q.W} DESC) AS r FROM bars) GROUP BY symbol)"
+select("sc26_prompt", PROMPT, lambda s, d: news.prompt(news.last_change(daily_bars(s, d)), news.dedupe(news.headlines(read(s, d, "documents")), limit=25)), q.with_(q.DAILY, CUES, HEADS, FIRST))
+TITLES = """ti AS (SELECT page_id AS pos, url AS link, replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM pages),
+pb AS (SELECT *, regexp_extract(t, '(?s)^(.+) - (.*)$', ['h', 's']) AS m FROM ti),
+fi AS (SELECT pos, link, trim(CASE WHEN m.h <> '' AND length(m.s) < 60 THEN m.h ELSE t END) AS title, CASE WHEN m.h <> '' AND length(m.s) < 60 THEN trim(m.s) ELSE '' END AS source FROM pb)"""
+select("src9_feed_items", "SELECT pos, link, title, source FROM fi", lambda s, d: news.feed_items(read(s, d, "pages")), q.with_(TITLES))
+select("sc8_publishers", "SELECT pos, title, source FROM fi", lambda s, d: news.feed_items(read(s, d, "pages")).select("pos", "title", "source"), q.with_(TITLES))
+
+#: Claims that are sure to speak of rules, beside the conversations.
+CLAIMS = (
+    "Buy when the RSI drops below 25 and sell when it rises above 75.", "RSI under 60 or below 20, over 40", "Relative strength with the trend.",
+    "Long when RSI is below 35 while price holds above the 200 day moving average on high volume.", "Go long when the 50 day moving average crosses above the 200 day moving average.",
+    "The 9-ema, the 21 ema and SMA 55 in line", "A golden cross is near", "Trade the breakout above the 20 day high.", "A new high after 52 weeks, number 999999999999999999999", "Ride 60 day price momentum.",
+    "Momentum", "Fade the lower Bollinger band with MACD", "Remember to like and subscribe!", "",
+)
+
+
+def claims(spark, d):
+    literal = spark.createDataFrame([(-1, k, t) for k, t in enumerate(CLAIMS)], "conv_id long, turn long, text string")
+    return read(spark, d, "conversations").select("conv_id", "turn", "text").unionByName(literal)
+
+
+def _near(words: str, low: int, high: int) -> str:
+    start = "greatest(1, i - 16)"
+    around = f"substring(t, {start}, i - {start} + length(regexp_extract(substring(t, i, 10), '^(?:{words})')) + 40)"
+    return f"list_filter(flatten(list_transform(list_filter(range(1, length(t) + 1), lambda i: regexp_matches(substring(t, i, 10), '^(?:{words})')), lambda i: list_transform(regexp_extract_all({around}, '[0-9]+'), lambda x: TRY_CAST(x AS BIGINT)))), lambda x: x BETWEEN {low} AND {high})"
+
+
+def _all(pattern: str, low: int, high: int) -> str:
+    return f"list_filter(list_transform(regexp_extract_all(t, '{pattern}', 1), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x BETWEEN {low} AND {high})"
+
+
+def _says(words) -> str:
+    return "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+
+
+RULES = rf"""
+WITH c AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT -1, k, x FROM (VALUES {", ".join(f"({k}, '{x}')" for k, x in enumerate(CLAIMS))}) v(k, x)),
+t AS (SELECT conv_id, turn, ' ' || lower(text) || ' ' AS t FROM c),
+n AS (SELECT *, coalesce({_all(r"(?:below|under)\s+([0-9]{1,2})\b", 0, 49)}[1], 30) AS lo, coalesce({_all(r"(?:above|over)\s+([0-9]{1,2})\b", 51, 99)}[1], 70) AS hi,
+  list_sort(list_distinct(list_concat({_all(r"([0-9]+)[\s-]*(?:day|period|bar|ema|sma|wma|ma\b)", 2, 400)}, {_all(r"(?:ema|sma|wma|ma)[\s-]*([0-9]+)", 2, 400)}))) AS p,
+  coalesce(list_max({_near("breakout|donchian|high|week", 5, 400)}), 20) AS channel, coalesce({_near("momentum|roc|day|month|period", 2, 300)}[1], 20) AS back,
+  {_says(("moving average", "sma", "200", "50 day", "trend"))} AS trend FROM t),
+r AS (SELECT conv_id, turn, [
+  CASE WHEN {_says(("rsi", "relative strength"))} THEN CASE WHEN trend AND contains(t, 'volume') THEN 'rsi_ma_vol(dip=' || lo || ',n=' || CASE WHEN contains(t, '200') THEN 200 ELSE 50 END || ',style=dip,vol_mult=1.0)'
+    WHEN trend THEN 'rsi_pro_trend(mid=50)' ELSE 'rsi_reversion(high=' || hi || ',low=' || lo || ')' END END,
+  CASE WHEN {_says(("moving average", "ema", "sma", "crossover", "cross above", "cross over", "golden cross", "death cross"))} THEN CASE WHEN len(p) >= 3 THEN 'tri_ma(fast=' || p[1] || ',mid=' || p[2] || ',slow=' || p[3] || ')'
+    WHEN len(p) = 2 THEN 'ema_cross(fast=' || p[1] || ',slow=' || p[2] || ')' WHEN {_says(("golden cross", "death cross"))} THEN 'ema_cross(fast=50,slow=200)' END END,
+  CASE WHEN contains(t, 'bollinger') THEN 'boll_reversion(num_std=2.0,period=20)' END,
+  CASE WHEN {_says(("breakout", "donchian", "new high", "day high", "52 week", "52-week"))} THEN 'donchian(n=' || channel || ')' END,
+  CASE WHEN {_says(("momentum", "rate of change", " roc "))} THEN 'momentum(lookback=' || back || ')' END,
+  CASE WHEN contains(t, 'macd') THEN 'ensemble(k=3)' END] AS r FROM n)
+SELECT conv_id, turn, array_to_string(list_filter(r, lambda x: x IS NOT NULL), ';') AS rules FROM r"""
+
+
+@query("sc19_rules_in_text", RULES)
+def rules_in_text(spark, d):
+    said = F.transform(news.rules_in(F.col("text")), lambda r: F.concat(r["family"], F.lit("("), r["params"], F.lit(")")))
+    return claims(spark, d).select("conv_id", "turn", F.concat_ws(";", said).alias("rules"))
+
+
 query("vp10_briefing")(lambda s, d: news.briefing(news.last_change(daily_bars(s, d)), news.dedupe(news.headlines(read(s, d, "documents")))).select(F.to_json("cues").alias("cues"), "n", F.to_json("headlines").alias("headlines")))
 
 # ---------------------------------------------------------------- the graph: links between pages
@@ -178,7 +237,7 @@ select("jn13_unresolved", "SELECT id FROM nd WHERE grp = 'unresolved'", lambda s
 select("so3_node_ids", "SELECT slug AS id FROM nt UNION SELECT src FROM ed UNION SELECT dst FROM ed", lambda s, d: nodes(s, d).select("id"), G)
 select("rk9_hubs", "SELECT id, degree FROM nd ORDER BY degree DESC, id LIMIT 8", lambda s, d: graph.hubs(nodes(s, d)).select("id", "degree"), G)
 select("rk14_folder_index", "SELECT folder, slug FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY slug) AS r FROM nt) WHERE r <= 60", lambda s, d: graph.per_folder(notes(s, d)).select("folder", "slug"), G)
-select("kg5_staleness", """SELECT coalesce(n.slug, e.slug) AS slug, CASE WHEN n.slug IS NULL THEN CASE WHEN e.pinned THEN 'pinned' WHEN DATE '2024-02-01' - e.updated > 30 THEN 'archive' ELSE 'keep' END WHEN e.slug IS NULL THEN 'new' WHEN e.pinned THEN 'pinned' WHEN n.through > e.through THEN 'new-data' WHEN DATE '2024-02-01' - e.updated > 7 THEN 'stale' ELSE 'fresh' END AS decision
+select("kg5_staleness", """SELECT coalesce(n.slug, e.slug) AS slug, CASE WHEN n.slug IS NULL THEN CASE WHEN e.pinned THEN 'pinned' WHEN DATE '2024-02-01' - e.updated > 30 THEN 'archive' ELSE 'keep' END WHEN e.slug IS NULL THEN 'new' WHEN e.pinned THEN 'pinned' WHEN n.through > e.through THEN 'new-data' WHEN DATE '2024-02-01' - e.updated >= 7 THEN 'stale' ELSE 'fresh' END AS decision
 FROM (SELECT 'p' || page_id AS slug, DATE '2024-01-20' AS through FROM pages WHERE page_id % 5 <> 0) n FULL JOIN (SELECT 'p' || page_id AS slug, DATE '2024-02-01' - CAST(page_id % 40 AS INT) AS updated, DATE '2024-01-15' + CAST(page_id % 9 AS INT) AS through, page_id % 11 = 0 AS pinned FROM pages WHERE page_id % 7 <> 0) e ON n.slug = e.slug""", lambda s, d: staleness(s, d), "")
 
 

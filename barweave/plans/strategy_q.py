@@ -311,7 +311,7 @@ def full_audit(spark, d):
     return spark.createDataFrame([(read["robust"], read["summary"])], "robust boolean, summary string")
 
 
-@query("fn21_search_verdict", sweep_sql(SMALL) + "SELECT config, horizon, cond_edge_pp / (100 * sqrt(0.25 / signals)) > sqrt(2 * ln(427)) AS beats_luck FROM stat WHERE slice = 'oos'")
+@query("fn21_search_verdict", sweep_sql(SMALL) + "SELECT config, horizon, cond_edge_pp / (100 * sqrt(0.25 / greatest(signals, 1))) > sqrt(2 * ln(427)) + 1 AS beats_luck FROM stat WHERE slice = 'oos'")
 def search_verdict(spark, d):
     frame = stances.stances(with_folds(daily_bars(spark, d)), SMALL)
     counts, base = evaluate.sweep_counts(evaluate.split(frame), [n for n, _, _ in SMALL])
@@ -371,7 +371,7 @@ def lump_sum(spark, d):
 SNAP = HEAD + f"""bk AS (SELECT *, row_number() OVER ({q.W} DESC) - 1 AS b, count(*) OVER (PARTITION BY symbol) AS n FROM base),
 sn AS (SELECT symbol, count(*) AS history, arg_max(close, ts) AS p, max(close) FILTER (b = 21) AS p1, max(close) FILTER (b = 126) AS p6, max(close) FILTER (b = 252) AS p12, max(close) FILTER (b < 252) AS hi, min(close) FILTER (b < 252) AS lo, avg(close) FILTER (b < 200) AS us, arg_max(rsi, ts) AS rsi, stddev_samp(r) FILTER (b < 252) * sqrt(252) * 100 AS vol FROM bk GROUP BY symbol),
 sp AS (SELECT symbol, history, p AS price, (p / p1 - 1) * 100 AS ret_1m, (p / p6 - 1) * 100 AS ret_6m, (p / p12 - 1) * 100 AS ret_1y, (p / hi - 1) * 100 AS from_high_pct, (p / lo - 1) * 100 AS from_low_pct, p > us AS trend_up, rsi, vol AS vol_pct FROM sn),
-se AS (SELECT *, CASE WHEN history < 60 THEN 'insufficient history' WHEN trend_up AND from_high_pct >= -3 THEN 'near-high uptrend' WHEN trend_up AND from_high_pct <= -12 THEN 'uptrend pullback' WHEN trend_up THEN 'uptrend' WHEN rsi < 35 THEN 'oversold downtrend' ELSE 'downtrend' END AS setup FROM sp)
+se AS (SELECT *, CASE WHEN history < 60 THEN 'insufficient history' WHEN trend_up AND round_even(from_high_pct, 1) >= -3 THEN 'near-high uptrend' WHEN trend_up AND round_even(from_high_pct, 1) <= -12 THEN 'uptrend pullback' WHEN trend_up THEN 'uptrend' WHEN round_even(rsi, 0) < 35 THEN 'oversold downtrend' ELSE 'downtrend' END AS setup FROM sp)
 """
 
 
