@@ -139,7 +139,7 @@ def score(docs: DataFrame, order: int = 2, least: int = 2, factor: float = 0.4,
     totals, passes = None, min(order, buckets)
     for part in range(passes):
         asked = chunked.groupBy("chunk").applyInArrow(_ask(order, buckets, part, passes), ASKED)
-        counted = materialise(asked.groupBy("bucket").applyInArrow(_total, TOTALS), "lm-totals", release=True)
+        counted = materialise(asked.groupBy("bucket").applyInArrow(_total, TOTALS), "lm-totals")
         totals = counted if totals is None else totals.unionByName(counted)
     tokens = totals.agg(F.sum("tokens")).first()[0] or 0
     answers = totals.where("chunk >= 0").select("chunk", "bucket", "totals")

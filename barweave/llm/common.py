@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,15 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-def materialise(df: DataFrame, label: str, release: bool = False) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, and survives lost executors. ``release`` asks the
-    driver's JVM to collect garbage, upon which Spark deletes the shuffle files of steps that are over."""
+#: With this setting Spark deletes the shuffle files of a query as soon as it has been written.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, and leaves no shuffle files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -72,12 +76,11 @@ def discard(*tables: DataFrame) -> None:
 
 
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow(run, schema)`` for rows with long texts: batches of 1,000 rows and 8 MB at most, which each task holds several
-    times over, unless the session sets other sizes than Spark's."""
-    conf = df.sparkSession.conf
-    for key, usual, size in (("maxRecordsPerBatch", "10000", "1000"), ("maxBytesPerBatch", "67108864b", "8388608b")):
-        if conf.get(f"spark.sql.execution.arrow.{key}") == usual:
-            conf.set(f"spark.sql.execution.arrow.{key}", size)
+    """``df.mapInArrow(run, schema)`` for rows with long texts: batches of 8 MB at most, which each task holds several times over,
+    unless the session sets another size than Spark's."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":
+        conf.set(key, "8388608b")
     return df.mapInArrow(run, schema)
 
 

@@ -2,16 +2,16 @@
 
 A byte is removed if a string of ``length`` bytes that covers it also starts earlier: in a document with a smaller id, or before
 in the same one. The suffixes that are indexed start at anchors: each window of ``length`` bytes belongs to the smallest hashed
-32-gram in it, so equal windows have their anchor at the same place wherever they stand, and about one suffix in 35 is kept.
+32-gram in it, so equal windows have their anchor at the same place wherever they stand, and about one suffix in 32 is kept.
 
-Documents come in batches by id, of a fixed number of bytes. A batch's suffix array holds the earliest suffix of each leading gram
-(head) and range of windows (context), in hash order; only equality matters here, so hash order serves as well as byte order. It becomes
-a level of the family. Levels of equal size are merged after each batch by one scan over both (a sort-merge join), so a suffix moves a
-number of times that grows with the logarithm of the number of batches; any two suffixes meet in one scan, at the latest in the one
-that joins the last levels. A scan yields the matched ranges: the later of two suffixes with equal head and context is removed.
+Documents come in batches by id, of a fixed number of bytes. A batch's suffixes are range-partitioned and sorted: by their first
+eight bytes, then by a hash of their first 32 (head) and of all windows of the anchor (context), then by document. Neighbours with
+equal head and context are long matches; the later ones are removed and the earliest stays in the array, which becomes a level of
+the family. Levels of equal size are merged after each batch, and the rest at the end, by one scan over both in suffix order that finds
+the matches between them; so a suffix moves a number of times that grows with the logarithm of the number of batches.
 
-What is left in the last level are first holders. Those that share their head with other ranges may still have some windows in common
-with them, so their windows are compared one by one. Windows are compared by 64-bit hashes of all their bytes.
+In the last level, neighbours with equal heads but other contexts may have some windows in common; these windows are compared
+one by one. At last the bytes of every match are fetched from the text that holds them first and compared with those to be removed.
 """
 
 from __future__ import annotations
@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barweave.llm.common import discard, map_batches, materialise, mix, prefix_sums, span_hashes, text_chunks
+from barweave.llm.common import discard, id_of, key_of, map_batches, materialise, mix, prefix_sums, span_hashes, text_chunks
 
 GRAM = 32
 #: Bytes of text in a batch, on average, and the least number of batches.
 BATCH, LEAST_BATCHES = 128 << 20, 4
-SUFFIXES = "head long, context long, id long, span long, again boolean"
+#: A suffix: its order, its document, the windows of its anchor (first << 32 | last). ``holder`` and ``holder_span`` are those of the
+#: earliest suffix with the same bytes, null if it is this one; ``shared`` says that a neighbour has the same head.
+SUFFIXES = "lead long, head long, context long, key long, span long, shared boolean, holder long, holder_span long"
+NAMES = ["lead", "head", "context", "key", "span", "shared", "holder", "holder_span"]
 
 
 def anchors(raw: np.ndarray, starts: np.ndarray, length: int, gram: int):
@@ -79,58 +82,104 @@ def anchors(raw: np.ndarray, starts: np.ndarray, length: int, gram: int):
     return text[first], anchor, lo, hi, hashes[anchor], ranges
 
 
-def _seen_before(text: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """Whether a row is a later one with the same keys in the same text."""
-    order = np.lexsort((*keys, text))
-    same = text[order][1:] == text[order][:-1]
-    for k in keys:
-        same &= k[order][1:] == k[order][:-1]
-    again = np.zeros(len(text), bool)
-    again[order[1:]] = same
-    return again
+def _lead(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a long, in the order of bytes."""
+    value = np.zeros(len(at), np.uint64)
+    for k in range(8):
+        value = value << np.uint64(8) | raw[at + k].astype(np.uint64)
+    return (value ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _rows(lead, head, context, key, span, shared, holder=None, holder_span=None) -> pa.RecordBatch:
+    of = lambda x: pa.nulls(len(key), pa.int64()) if x is None else pa.array(x, pa.int64())
+    return pa.record_batch([of(lead), of(head), of(context), of(key), of(span), pa.array(shared, pa.bool_()), of(holder), of(holder_span)], names=NAMES)
 
 
 def _scan(length: int):
-    """(head, context, id, span, again) of each anchor; span is the first window << 32 | the last one."""
+    """The suffixes of a batch of rows (key, text); what is a later one within the batch already comes with its holder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, raw, starts in text_chunks(batches):
-            text, at, lo, hi, head, context = anchors(raw, starts, length, GRAM)
-            span = (lo - starts[text]).astype(np.int64) << 32 | (hi - starts[text]).astype(np.int64)
-            columns = {"head": head.view(np.int64), "context": context.view(np.int64), "id": ids[text].astype(np.int64), "span": span, "again": _seen_before(text, context, head)}
-            yield pa.record_batch([pa.array(v) for v in columns.values()], names=list(columns))
+        for batch in batches:
+            parts = []
+            for keys, raw, starts in text_chunks([batch]):
+                text, at, lo, hi, head, context = anchors(raw, starts, length, GRAM)
+                span = (lo - starts[text]).astype(np.int64) << 32 | (hi - starts[text]).astype(np.int64)
+                parts.append((_lead(raw, at), head.view(np.int64), context.view(np.int64), keys[text].astype(np.int64), span))
+            if not parts:
+                continue
+            lead, head, context, key, span = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((span, key, context, head))
+            lead, head, context, key, span = (x[order] for x in (lead, head, context, key, span))
+            new, holder = _groups(head, context)
+            yield _rows(lead[new], head[new], context[new], key[new], span[new], np.zeros(new.sum(), bool))
+            later = ~new
+            yield _rows(None, None, None, key[later], span[later], np.zeros(later.sum(), bool), key[holder[later]], span[holder[later]])
 
     return run
 
 
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows: whether a row begins a group of equal keys, and the place of its group's first row."""
+    n = len(keys[0])
+    new = np.ones(n, bool)
+    for k in keys:
+        differs = k[1:] != k[:-1]
+        new[1:] = differs if k is keys[0] else new[1:] | differs
+    return new, np.maximum.accumulate(np.where(new, np.arange(n), 0))
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the neighbours of a sorted partition (lead, head, context, key, span). The last suffix of a batch waits for the next."""
+    waiting, before = None, False
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns[:5]]
+        if not len(columns[0]):
+            continue
+        if waiting is not None:
+            columns = [np.concatenate([w, c]) for w, c in zip(waiting, columns, strict=True)]
+        lead, head, context, key, span = columns
+        new, holder = _groups(head, context)
+        later, first = ~new, np.flatnonzero(new)
+        yield _rows(None, None, None, key[later], span[later], np.zeros(later.sum(), bool), key[holder[later]], span[holder[later]])
+        same = head[first[1:]] == head[first[:-1]]
+        shared = np.concatenate([[before], same]) | np.concatenate([same, [False]])
+        done = first[:-1]
+        yield _rows(lead[done], head[done], context[done], key[done], span[done], shared[:-1])
+        waiting, before = [c[first[-1] :][:1] for c in columns], bool(shared[-1])
+    if waiting is not None:
+        yield _rows(*waiting, np.array([before]))
+
+
 class SuffixFamily:
-    """Levels of suffix tables (head, context, id, span): the earliest holder of each head and context. Batches are added in the order
-    of their ids; ``gone`` collects the ranges (id, span) that an earlier suffix was found to have."""
+    """Levels of sorted suffix tables; batches are added in the order of their documents. ``gone`` collects the matches (key, span,
+    holder, holder_span) that were found."""
 
     def __init__(self):
         self.levels: list[tuple[int, DataFrame]] = []
         self.gone: list[DataFrame] = []
 
+    def _matches(self, suffixes: DataFrame) -> None:
+        self.gone.append(materialise(suffixes.where("holder is not null").select("key", "span", "holder", "holder_span"), "suffix-gone"))
+
+    def _sorted(self, suffixes: DataFrame) -> DataFrame:
+        """The suffix array of what is left; its matches go to ``gone``."""
+        rows = suffixes.where("holder is null").select("lead", "head", "context", "key", "span")
+        # Equal heads have equal leads, so a head's suffixes are in one partition, and no more of each context than were scanned apart.
+        rows = rows.repartitionByRange("lead", "head").sortWithinPartitions("lead", "head", "context", "key")
+        array = materialise(rows.transform(map_batches, _neighbours, SUFFIXES), "suffix-level")
+        self._matches(array)
+        return array
+
     def _merge(self) -> None:
         (size, later), (other, first) = self.levels.pop(), self.levels.pop()
-        met = first.hint("merge").join(later.withColumnsRenamed({"id": "id_2", "span": "span_2"}), ["head", "context"], "full")
-        both = met.select("head", "context", F.coalesce("id", "id_2").alias("id"), F.coalesce("span", "span_2").alias("span"), F.when(F.col("id").isNotNull(), F.col("id_2")).alias("id_2"), F.when(F.col("id").isNotNull(), F.col("span_2")).alias("span_2"))
-        both = materialise(both, "suffix-level", release=True)
+        self.levels.append((size + other, self._sorted(first.unionByName(later))))
         discard(first, later)
-        self.gone.append(materialise(both.where("id_2 is not null").select(F.col("id_2").alias("id"), F.col("span_2").alias("span")), "suffix-met"))
-        level = both.select("head", "context", "id", "span")
-        level.stored_at = both.stored_at
-        self.levels.append((size + other, level))
-
-    def add(self, suffixes: DataFrame) -> None:
-        span = F.min_by("span", F.when(~F.col("again"), F.col("id")))
-        new = materialise(suffixes.groupBy("head", "context").agg(F.min("id").alias("id"), span.alias("span"), F.count("*").alias("n")), "suffix-level", release=True)
-        holders = new.where("n > 1").select("head", "context", F.col("id").alias("holder"))
-        again = suffixes.join(holders.hint("merge"), ["head", "context"]).where(F.col("again") | (F.col("id") > F.col("holder")))
-        self.gone.append(materialise(again.select("id", "span"), "suffix-met", release=True))
-        level = new.select("head", "context", "id", "span")
-        level.stored_at = new.stored_at
-        self.levels.append((1, level))
+
+    def add(self, scanned: DataFrame) -> None:
+        scanned = materialise(scanned, "suffix-batch")
+        self._matches(scanned)
+        self.levels.append((1, self._sorted(scanned)))
+        discard(scanned)
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             self._merge()
 
@@ -142,40 +191,74 @@ class SuffixFamily:
 
 
 def _windows(length: int):
-    """(hash, id, place, again) of each window in the listed runs; columns id, text, runs."""
+    """(hash, key, place) of each window in the listed runs; columns key, text, runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             runs = batch.column(2)
-            for ids, raw, starts in text_chunks([batch]):
-                listed = runs.slice(done, len(ids))
-                done += len(ids)
+            for keys, raw, starts in text_chunks([batch]):
+                listed = runs.slice(done, len(keys))
+                done += len(keys)
                 flat = listed.flatten()
                 lo, hi = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-                text = np.repeat(np.arange(len(ids)), np.diff(listed.offsets.to_numpy()))
+                text = np.repeat(np.arange(len(keys)), np.diff(listed.offsets.to_numpy()))
                 size = hi - lo + 1
                 text = np.repeat(text, size)
                 place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-                order = np.lexsort((place, text))
-                text, place = text[order], place[order]
                 begin = place + starts[text]
-                key = span_hashes(prefix_sums(raw), begin, begin + length)
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[text], pa.int64()), pa.array(place, pa.int32()), pa.array(_seen_before(text, key))], names=["key", "id", "place", "again"])
+                found = span_hashes(prefix_sums(raw), begin, begin + length)
+                yield pa.record_batch([pa.array(found.view(np.int64)), pa.array(keys[text], pa.int64()), pa.array(place, pa.int32())], names=["hash", "key", "place"])
 
     return run
 
 
+PIECES = "array<struct<start:int,bytes:binary>>"
+
+
+def _held(length: int):
+    """(key, pieces): the bytes that a text must have where it is to lose them; columns text, key, runs (lo, hi, from) of its holder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("bytes", pa.binary())]))
+        for batch in batches:
+            out = []
+            for text, runs in zip(batch.column(0), batch.column(2).to_pylist(), strict=True):
+                raw, joined = (text.as_py() or "").encode(), []
+                for lo, hi, at in sorted((r["lo"], r["hi"] + length, r["from"]) for r in runs):
+                    if joined and joined[-1][2] - joined[-1][0] == at - lo and lo <= joined[-1][1]:
+                        joined[-1][1] = max(joined[-1][1], hi)
+                    else:
+                        joined.append([lo, hi, at])
+                out.append([{"start": lo, "bytes": raw[at : at + hi - lo]} for lo, hi, at in joined])
+            yield pa.record_batch([batch.column(1), pa.array(out, kind)], names=["key", "pieces"])
+
+    return run
+
+
+def _equal_runs(raw: np.ndarray, piece: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """The runs of at least ``length`` equal bytes."""
+    if np.array_equal(raw, piece):
+        return [(0, len(piece))]
+    edge = np.diff(np.concatenate([[0], (raw[: len(piece)] == piece[: len(raw)]).astype(np.int8), [0]]))
+    return [(a, b) for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True) if b - a >= length]
+
+
 def _remove(length: int, with_text: bool):
-    """Columns id, text, windows (starts and ends of runs of repeated windows, or null)."""
+    """Columns id, text, pieces (lists of what it shares with the texts that come first, or null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_sha256", pa.string()), ("kept", pa.binary())])
         for batch in batches:
             rows = []
-            for i, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = (text or "").encode()
+            for i, text, pieces in zip(*batch.columns, strict=True):
+                raw, runs = (text.as_py() or "").encode(), []
+                flat = np.frombuffer(raw, np.uint8)
+                for piece in pieces.as_py() or ():
+                    at, held = piece["start"], np.frombuffer(piece["bytes"], np.uint8)
+                    runs += [(at + a, at + b) for a, b in _equal_runs(flat[at : at + len(held)], held, length)]
                 spans: list[list[int]] = []
-                for lo, hi in sorted((r["lo"], r["hi"] + length) for r in runs or ()):
+                for lo, hi in sorted(runs):
                     if spans and lo <= spans[-1][1]:
                         spans[-1][1] = max(spans[-1][1], hi)
                     else:
@@ -185,54 +268,61 @@ def _remove(length: int, with_text: bool):
                     kept.append(raw[at:lo])
                     at = hi
                 kept = b"".join([*kept, raw[at:]])
-                rows.append({"id": i, "n_bytes": len(raw), "n_removed": len(raw) - len(kept), "spans": [{"start": a, "end": b} for a, b in spans], "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept if with_text else None})
-            kind = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+                rows.append({"id": i.as_py(), "n_bytes": len(raw), "n_removed": len(raw) - len(kept), "spans": [{"start": a, "end": b} for a, b in spans], "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept if with_text else None})
             yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
     return run
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, text): the key is the id, or a number in the order of ids and texts if an id comes more than once."""
+    rows = docs.select(key_of(id_col).alias("id"), F.col(text_col).alias("text"))
+    if rows.groupBy("id").count().where("count > 1").isEmpty():
+        return rows.select("id", F.col("id").alias("key"), "text")
+    rows = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
+    return materialise(rows.select("id", F.monotonically_increasing_id().alias("key"), "text"), "suffix-keyed")
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, batches: int | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, spans (maximal removed runs, byte offsets in the UTF-8 text), kept_sha256, kept
     (the remaining bytes, if asked for).
 
-    Null texts count as empty; texts under ``length`` bytes keep everything. Ids must be unique integers. ``batches`` ranges of ids
-    are indexed one after the other; by default their number follows from the size of the texts.
+    Null texts count as empty; texts under ``length`` bytes keep everything. Rows that share an id follow each other like documents,
+    in a fixed order of their texts, and rows without an id come last. ``batches`` ranges of ids are indexed one after the other; by
+    default their number follows from the size of the texts. An empty table gives an empty result; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = _keyed(docs, id_col, text_col)
     if batches is None:
         batches = max(LEAST_BATCHES, ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BATCH))
-    cuts = sorted(set(rows.approxQuantile("id", [k / batches for k in range(1, batches)], 0.1 / batches))) if batches > 1 else []
+    cuts = sorted(set(rows.approxQuantile("key", [k / batches for k in range(1, batches)], 0.1 / batches))) if batches > 1 else []
     family = SuffixFamily()
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = rows
+        part = rows.select("key", "text")
         if low is not None:
-            part = part.where(F.col("id") > int(low))
+            part = part.where(F.col("key") > int(low))
         if high is not None:
-            part = part.where(F.col("id") <= int(high))
+            part = part.where(F.col("key") <= int(high))
         family.add(part.transform(map_batches, _scan(length), SUFFIXES))
     level = family.whole()
-    decided = family.gone[0]
-    for met in family.gone[1:]:
-        decided = decided.unionByName(met)
-
-    lo, hi = F.shiftright("span", 32).cast("int").alias("lo"), F.col("span").bitwiseAND(0xFFFFFFFF).cast("int").alias("hi")
-    run = F.struct("lo", "hi")
-    shared = materialise(level.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "suffix-shared", release=True)
-    edges = level.select("head", "id", "span").join(shared.hint("merge"), "head").select("id", lo, hi)
-    edges = materialise(edges, "suffix-ranges", release=True)
-    discard(level, shared)
-    ranges, edges = edges, materialise(edges.groupBy("id").agg(F.collect_list(run).alias("runs")), "suffix-edges", release=True)  # of one document
-    discard(ranges)
-    windows = rows.join(edges.hint("merge"), "id").select("id", "text", "runs").transform(map_batches, _windows(length), "key long, id long, place int, again boolean")
-    first = F.min("id").over(Window.partitionBy("key"))
-    later = windows.withColumn("first", first).where(F.col("again") | (F.col("id") > F.col("first"))).select("id", F.col("place").alias("lo"), F.col("place").alias("hi"))
-    gone = decided.select("id", lo, hi).unionByName(later)
-    gone = materialise(gone.groupBy("id").agg(F.collect_list(run).alias("runs")), "suffix-gone", release=True)  # of one document
+
+    lo, hi = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF).cast("int"))
+    runs = level.where("shared").groupBy("key").agg(F.collect_list(F.struct(lo("span").alias("lo"), hi("span").alias("hi"))).alias("runs"))  # of one document
+    edges = materialise(runs, "suffix-edges")
+    discard(level)
+    windows = rows.join(edges.hint("merge"), "key").select("key", "text", "runs").transform(map_batches, _windows(length), "hash long, key long, place int")
+    first, here = F.min(F.struct("key", "place")).over(Window.partitionBy("hash")), F.struct("key", "place")
+    later = windows.withColumn("first", first).where(here > F.col("first")).select("key", F.col("place").alias("lo"), F.col("place").alias("hi"), F.col("first.key").alias("holder"), F.col("first.place").alias("from"))
+    found = later
+    for part in family.gone:
+        found = found.unionByName(part.select("key", lo("span").alias("lo"), hi("span").alias("hi"), "holder", lo("holder_span").alias("from")))
+    pairs = materialise(found.groupBy("key", "holder").agg(F.collect_list(F.struct("lo", "hi", "from")).alias("runs")), "suffix-pairs")  # of one document
     discard(edges, *family.gone)
-    # A merge join whatever the sizes: the plan is the same for a small and a large corpus.
-    out = rows.join(gone.hint("merge"), "id", "left").select("id", "text", "runs").transform(map_batches, _remove(length, with_text), "id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    # Merge joins whatever the sizes: the plan is the same for a small and a large corpus.
+    held = rows.select(F.col("key").alias("holder"), "text").join(pairs.hint("merge"), "holder").select("text", "key", "runs").transform(map_batches, _held(length), f"key long, pieces {PIECES}")
+    pieces = materialise(held.groupBy("key").agg(F.flatten(F.collect_list("pieces")).alias("pieces")), "suffix-pieces")  # no more than the document and its matches
+    discard(pairs)
+    out = rows.join(pieces.hint("merge"), "key", "left").select("id", "text", "pieces").transform(map_batches, _remove(length, with_text), "id long, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept binary")
+    return out.withColumn("id", id_of()).withColumnRenamed("id", id_col)
 
 
 def brute_force(docs: list[tuple], length: int) -> list[tuple]:

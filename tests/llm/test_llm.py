@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barweave.llm import backoff_lm, decontaminate, exact_dedup, html_text, minhash, registry, secrets, sentencepiece_sampling, suffix_dedup, toxicity
+from barweave.llm import backoff_lm, decontaminate, exact_dedup, html_text, minhash, registry, secrets, sentencepiece_sampling, toxicity
 from barweave.llm.common import materialise
 from barweave.llm.components import connected_components
 
@@ -108,44 +108,6 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.contamination(docs, bench.where("false")).where("n_hit > 0").count() == 0
 
 
-@pytest.mark.parametrize("batches", [1, 2, 4])
-def test_suffixes(docs, batches):
-    got = {(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix_dedup.remove_repeats(docs, 100, batches).collect()}
-    assert got == set(suffix_dedup.brute_force(DOCS, 100))
-
-
-def test_suffix_levels_merge_and_yield_ranges(docs, monkeypatch):
-    families = []
-
-    class Watched(suffix_dedup.SuffixFamily):
-        def __init__(self):
-            super().__init__()
-            families.append(self)
-            self.sizes = []
-
-        def add(self, suffixes):
-            super().add(suffixes)
-            self.sizes.append([n for n, _ in self.levels])
-
-    monkeypatch.setattr(suffix_dedup, "SuffixFamily", Watched)
-    for batch, sizes in ((1 << 27, [[1], [2], [2, 1], [4]]), (sum(len((t or "").encode()) for _, t in DOCS) // 5, [[1], [2], [2, 1], [4], [4, 1], [4, 2]])):
-        monkeypatch.setattr(suffix_dedup, "BATCH", batch)
-        got = {(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
-        assert got == set(suffix_dedup.brute_force(DOCS, 100))
-        assert families[-1].sizes == sizes and len(families[-1].gone) == 2 * len(sizes) - 1
-
-
-def test_suffixes_of_nothing(nothing):
-    assert suffix_dedup.remove_repeats(nothing, batches=1).count() == 0
-
-
-def test_anchors_of_a_long_text_are_cut_without_harm():
-    raw = np.frombuffer(random.Random(1).randbytes(3000) * 3, np.uint8)
-    *_, lo, hi, _, _ = suffix_dedup.anchors(raw, np.array([0, len(raw)]), 100, 32)
-    covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)])
-    assert np.array_equal(np.sort(covered), np.arange(len(raw) - 99))
-
-
 def test_backoff(docs, nothing, monkeypatch):
     monkeypatch.setattr(backoff_lm, "CHUNK", 4000)
     monkeypatch.setattr(backoff_lm, "BUCKET", 9000)
