@@ -1,151 +1,105 @@
-"""Stupid-backoff scores of documents by a word n-gram model counted on the same corpus.
+"""Stupid-backoff scores of documents by a word n-gram model counted on the same corpus, computed relationally.
 
-The n-grams of a chunk of documents are exploded and counted, then sent, one packed row for each hash bucket, to the count
-tables: a bucket adds up the counts of its n-grams and joins the totals back to the chunks that asked. A chunk names an n-gram
-once however often it occurs, so a frequent one weighs no more in a shuffle than a rare one; the number of chunks and of
-buckets grows with the corpus, so neither outgrows a task. The buckets are counted in passes, one for each order, so that only a share
-of the n-grams is in a shuffle at once. Scores are summed per document where its chunk's totals meet its text.
+Texts become arrays of word hashes; n-grams are exploded from them, one row an occurrence with one column a word. A count table holds the
+n-grams of one order that are frequent enough, grouped and partitioned by the hash of their words. Backing off is additive: with
+``F(k)`` the log score of a word by n-grams of at most ``k`` words and ``c`` the counts,
 
-Packed rows, added up by numpy and matched by position, stand for a table of (n-gram, count) rows and a join to exploded n-grams.
+    F(k) = F(k - 1) + log(factor) + gain,   gain = log c(abc) - log c(ab) - log c(bc) + log c(b) - log(factor)
+
+where the gain counts only if ``abc`` (``k`` words) is frequent enough, since then ``bc`` is so too. So a count table with the counts of
+its parts joined to it gives every n-gram one gain, exploded n-grams are joined to the gains they have, and a document's score is a sum.
+
+Counting sums before its shuffle, and the join of occurrences to gains can be split by Spark where an n-gram is hot. A fixed share of the
+n-grams of an order, by hash, is counted and joined at a time, which bounds what is in a shuffle to that share of the corpus.
 """
 
 from __future__ import annotations
 
-from math import ceil, log
+from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import LOWER, NON_SPACE, materialise, prefix_sums, sequence_hashes, span_hashes, text_chunks, word_spans
+from barweave.llm.common import LOWER, NON_SPACE, discard, id_of, key_of, map_batches, materialise, prefix_sums, span_hashes, text_chunks, word_spans
 
-#: Bytes of text in a chunk, and of text that share a bucket if only words are counted, on average.
-CHUNK, BUCKET = 3 << 20, 24 << 20
+#: In how many shares the n-grams of an order are counted and joined; longer ones than these count as the last.
+SHARES = {1: 1, 2: 2, 3: 4}
 
-ASKED = "chunk long, bucket long, keys binary, counts binary"
-TOTALS = "chunk long, bucket long, totals binary, tokens long"
 
-
-def _grams(table: pa.Table, order: int):
-    """(ids, words of each text, for k = 1 .. order: the hash of the k-gram that ends at each word, and whether it has one)."""
-    ids, counts, words = [], [], []
-    for i, raw, starts in text_chunks(table.select(["id", "text"]).combine_chunks().to_batches()):
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, words): a 64-bit hash of each word."""
+    for ids, raw, starts in text_chunks(batches):
         low = LOWER[raw]
         begin, end = word_spans(low, starts, NON_SPACE)
-        text = np.searchsorted(starts, begin, side="right") - 1
-        ids.append(i)
-        counts.append(np.bincount(text, minlength=len(i)))
-        words.append(span_hashes(prefix_sums(low), begin, end))
-    ids, counts, words = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, counts, words))
-    words = words.astype(np.uint64)
-    place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
-    hashes, full = [], []
-    for k in range(1, order + 1):
-        h = np.zeros(len(words), np.uint64)
-        if len(words) >= k:
-            h[k - 1 :] = sequence_hashes(words, k)
-        hashes.append(h)
-        full.append(place >= k - 1)
-    return ids, counts, hashes, full
-
-
-def _keys(hashes, full):
-    """Distinct n-grams of all orders, sorted by hash, with their counts."""
-    return np.unique(np.concatenate([h[f] for h, f in zip(hashes, full, strict=True)] or [np.zeros(0, np.uint64)]), return_counts=True)
-
-
-def _ask(order: int, buckets: int, part: int, passes: int):
-    """What a chunk asks of the buckets that are counted in a pass."""
-
-    def run(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        _, counts, hashes, full = _grams(table, order)
-        keys, n = _keys(hashes, full)
-        bucket = (keys % np.uint64(buckets)).astype(np.int64)
-        mine = bucket % passes == part
-        keys, n, bucket = keys[mine], n[mine], bucket[mine]
-        place = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[place], np.arange(buckets + 1))
-        rows = [(b, keys[place[x:y]].tobytes(), n[place[x:y]].astype(np.int32).tobytes()) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-        if chunk % buckets % passes == part:
-            rows.append((int(chunk % buckets), b"", np.array([counts.sum()], np.int64).tobytes()))  # the number of words
-        return pa.table({"chunk": pa.array([chunk] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
-
-    return run
-
-
-def _total(table: pa.Table) -> pa.Table:
-    rows = [r for r in table.to_pylist() if r["keys"]]
-    tokens = sum(int(np.frombuffer(r["counts"], np.int64)[0]) for r in table.to_pylist() if not r["keys"])
-    keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-    chunk, totals = [-1], [b""]
-    if keys:
-        flat = np.concatenate(keys)
-        _, place = np.unique(flat, return_inverse=True)
-        summed = np.bincount(place, np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows]))
-        back, at = summed[place].astype(np.int32), 0
-        for r, k in zip(rows, keys, strict=True):
-            chunk.append(r["chunk"])
-            totals.append(back[at : at + len(k)].tobytes())
-            at += len(k)
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array([bucket] * len(chunk), pa.int64()), "totals": pa.array(totals, pa.binary()), "tokens": pa.array([tokens] + [0] * (len(chunk) - 1), pa.int64())})
-
-
-def _score(order: int, buckets: int, tokens: int, least: int, factor: float):
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, counts, hashes, full = _grams(table, order)
-        keys, _ = _keys(hashes, full)
-        bucket = (keys % np.uint64(buckets)).astype(np.int64)
-        place = np.argsort(bucket, kind="stable")
-        by = sorted((b, t) for b, t in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True))
-        total = np.zeros(len(keys), np.int64)
-        total[place] = np.concatenate([np.frombuffer(t, np.int32) for _, t in by] or [np.zeros(0, np.int32)])
-        seen = []
-        for h, f in zip(hashes, full, strict=True):
-            c = np.zeros(len(h), np.int64)
-            c[f] = total[np.searchsorted(keys, h[f])]
-            seen.append(c)
-        value = np.log(np.maximum(seen[0], 1) / max(tokens, 1))
-        backed = np.zeros(len(value), bool)
-        for k in range(2, order + 1):  # the longest n-gram that is frequent enough, each shorter one at a price
-            known = full[k - 1] & (seen[k - 1] >= least)
-            context = np.concatenate([[1], seen[k - 2][:-1]]) if len(value) else seen[k - 2]
-            higher = np.log(np.maximum(seen[k - 1], 1) / np.maximum(context, 1))
-            value = np.where(known, higher, np.where(full[k - 1], value + log(factor), value))
-            backed = np.where(full[k - 1], ~known, backed)
-        text = np.repeat(np.arange(len(ids)), counts)
-        summed = np.bincount(text, value, minlength=len(ids))
-        missed = np.bincount(text[backed], minlength=len(ids))
-        return pa.table({"id": pa.array(ids, pa.int64()), "n_words": pa.array(counts, pa.int64()), "n_backoff": pa.array(missed, pa.int64()), "log_score": pa.array(summed, pa.float64())})
-
-    return run
-
-
-def score(docs: DataFrame, order: int = 2, least: int = 2, factor: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_words, n_backoff (words whose longest n-gram is too rare), log_score (sum of natural logs),
+        counts = np.bincount(np.searchsorted(starts, begin, side="right") - 1, minlength=len(ids))
+        hashes = span_hashes(prefix_sums(low), begin, end).view(np.int64)
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(hashes))], names=["id", "words"])
+
+
+def _names(k: int, first: int = 0) -> list[str]:
+    return [f"g{i}" for i in range(first, first + k)]
+
+
+def _grams(words: DataFrame, k: int, share: int, shares: int) -> DataFrame:
+    """The n-grams of ``k`` words of every text, one row an occurrence: id, place (of the last word), g0 .. g(k-1)."""
+    columns = [F.slice("words", i + 1, F.size("words") - (k - 1)) for i in range(k)]
+    rows = words.where(F.size("words") >= k).select("id", F.posexplode(F.arrays_zip(*(c.alias(n) for c, n in zip(columns, _names(k), strict=True)))).alias("place", "g"))
+    rows = rows.select("id", (F.col("place") + (k - 1)).alias("place"), "g.*")
+    return rows.where(F.pmod(F.xxhash64(*_names(k)), F.lit(shares)) == share) if shares > 1 else rows
+
+
+def _counted(table: DataFrame, k: int, first: int, name: str) -> DataFrame:
+    """A count table with its columns named for a part of an n-gram that starts at word ``first``."""
+    return table.select(*(F.col(a).alias(b) for a, b in zip(_names(k), _names(k, first), strict=True)), F.col("n").alias(name))
+
+
+def score(docs: DataFrame, order: int = 3, least: int = 2, factor: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per id: id, n_words, n_backoff (words whose longest n-gram is too rare), log_score (sum of natural logs),
     mean_log_score (null without words).
 
     Words are runs of other than ASCII white space, lower-cased A-Z only. A word's score is ``c(n-gram) / c(context)`` for the
     longest n-gram that ends there, inside the text, and occurs ``least`` times in the corpus; each step to a shorter one costs
-    ``factor``, down to the word's share of all words. Counts are over all documents. Null and empty texts have no words and a
-    log_score of 0; ids must be unique integers; an empty table gives an empty result.
+    ``factor``, down to the word's share of all words. Counts are over all documents, in 64 bits. Null and empty texts have no words
+    and a log_score of 0; rows that share an id are scored together, as are rows without one; an empty table gives an empty
+    result; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks, buckets = max(1, ceil(size / CHUNK)), max(1, ceil(size * order / BUCKET))
-    chunked = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-    totals, passes = None, min(order, buckets)
-    for part in range(passes):
-        asked = chunked.groupBy("chunk").applyInArrow(_ask(order, buckets, part, passes), ASKED)
-        counted = materialise(asked.groupBy("bucket").applyInArrow(_total, TOTALS), "lm-totals")
-        totals = counted if totals is None else totals.unionByName(counted)
-    tokens = totals.agg(F.sum("tokens")).first()[0] or 0
-    answers = totals.where("chunk >= 0").select("chunk", "bucket", "totals")
-    scored = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(order, buckets, tokens, least, factor), "id long, n_words long, n_backoff long, log_score double")
+    rows = docs.select(key_of(id_col).alias("id"), F.col(text_col).alias("text"))
+    words = materialise(rows.transform(map_batches, _words, "id long, words array<long>"), "lm-words")
+    size = F.size("words").cast("long")
+    longer = sum((F.greatest(size - (k - 1), F.lit(0)) for k in range(2, order + 1)), F.lit(0))  # steps down if nothing is frequent
+    sums = [words.groupBy("id").agg(F.sum(size).alias("n_words"), F.sum(F.greatest(size - 1, F.lit(0)) if order > 1 else F.lit(0)).cast("long").alias("n_backoff"), F.sum(longer * log(factor)).alias("log_score"))]
+    tokens = float(words.agg(F.sum(size)).first()[0] or 0)
+    tables: dict[int, DataFrame] = {}
+    for k in range(1, order + 1):
+        shares = SHARES.get(k, max(SHARES.values()))
+        parts = []
+        for share in range(shares):
+            counts = _grams(words, k, share, shares).groupBy(*_names(k)).agg(F.count("*").alias("n"))
+            parts.append(materialise(counts.where(F.col("n") >= (least if k > 1 else 1)), f"lm-counts-{k}"))
+            tables[k] = parts[0] if len(parts) == 1 else tables[k].unionByName(parts[-1])
+        for share, table in enumerate(parts):
+            if k == 1:
+                gain = F.log(F.col("n") / tokens)
+            else:
+                table = table.join(_counted(tables[k - 1], k - 1, 0, "left"), _names(k - 1)).join(_counted(tables[k - 1], k - 1, 1, "right"), _names(k - 1, 1))
+                table = table.join(_counted(tables[k - 2], k - 2, 1, "middle"), _names(k - 2, 1)) if k > 2 else table.withColumn("middle", F.lit(tokens))
+                gain = F.log(F.col("n") / F.col("left")) - F.log(F.col("right") / F.col("middle")) - log(factor)
+            gains = materialise(table.select(*_names(k), gain.alias("gain")), f"lm-gains-{k}")
+            # The longest n-gram that could end at a word: of ``order`` words, or all words up to it.
+            longest = F.lit(k > 1) if k == order else (F.col("place") == k - 1) & (k > 1)
+            met = _grams(words, k, share, shares).join(gains.hint("merge"), _names(k))
+            met = met.groupBy("id").agg(F.sum(F.when(longest, -1).otherwise(0)).cast("long").alias("n_backoff"), F.sum("gain").alias("log_score"))
+            sums.append(materialise(met.select("id", F.lit(0).cast("long").alias("n_words"), "n_backoff", "log_score"), "lm-sums"))
+            discard(gains)
+    every = sums[0]
+    for part in sums[1:]:
+        every = every.unionByName(part)
+    found = every.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n_words", "n_backoff", "log_score")))
     mean = F.col("log_score") / F.nullif(F.col("n_words"), F.lit(0))
-    return scored.select(F.col("id").alias(id_col), "n_words", "n_backoff", "log_score", mean.alias("mean_log_score"))
+    return found.select(id_of().alias(id_col), "n_words", "n_backoff", "log_score", mean.alias("mean_log_score"))
 
 
 def brute_force(docs: list[tuple], order: int = 2, least: int = 2, factor: float = 0.4) -> list[tuple]:

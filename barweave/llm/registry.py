@@ -81,7 +81,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff_lm.score(table(spark, sf_dir, "documents"), order=3)
+    found = backoff_lm.score(table(spark, sf_dir, "documents"), order=3)
+    return found.select("doc_id", "n_words", "n_backoff", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 4).alias("mean_log_score"))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +117,19 @@ FROM (SELECT doc_id FROM documents) d LEFT JOIN y USING (doc_id)"""
 
 
 ORACLES = {
+    "op9_backoff_lm": rf"""
+WITH l AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM l)),
+c1 AS (SELECT c, count(*) AS n FROM p GROUP BY c),
+c2 AS (SELECT b, c, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT a, b, c, count(*) AS n FROM p WHERE a IS NOT NULL GROUP BY ALL),
+s AS (SELECT p.doc_id, CASE WHEN c3.n >= 2 THEN ln(c3.n / ab.n) WHEN c2.n >= 2 THEN CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END + ln(c2.n / m.n)
+    ELSE least(i - 1, 2) * ln(0.4) + ln(c1.n / (SELECT count(*) FROM p)) END AS v, i > 1 AND coalesce(CASE WHEN i > 2 THEN c3.n ELSE c2.n END, 0) < 2 AS backed
+  FROM p JOIN c1 ON c1.c = p.c LEFT JOIN c2 ON c2.b = p.b AND c2.c = p.c LEFT JOIN c3 ON c3.a = p.a AND c3.b = p.b AND c3.c = p.c
+  LEFT JOIN c2 ab ON ab.b = p.a AND ab.c = p.b LEFT JOIN c1 m ON m.c = p.b),
+t AS (SELECT doc_id, count(*) AS n, count(*) FILTER (backed) AS k, sum(v) AS v FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(k, 0) AS n_backoff, round(coalesce(v, 0), 4) AS log_score, round(v / n, 4) AS mean_log_score
+FROM (SELECT doc_id FROM documents) d LEFT JOIN t USING (doc_id)""",
     "op8_secrets": secrets.oracle_sql(),
     "op6_exact_dedup": f"""
 WITH n AS (SELECT doc_id, {LOWERED} AS t FROM documents)
