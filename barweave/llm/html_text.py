@@ -38,10 +38,11 @@ GOOD_TAGS = frozenset(["article", "main"])
 GOOD_ROLES = frozenset(["main", "article"])
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|button|svg|iframe|object)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""",
-    re.S | re.I,
-)
+#: What opens here: a comment, a declaration, or a tag's name.
+OPENS = re.compile(r"<(?:(!--)|([!?])|(/?)([a-z][a-z0-9:-]*))", re.I)
+#: Elements whose content is no text.
+RAW = frozenset("script style noscript template textarea select button svg iframe object".split())
+ENDS = re.compile(r"""[>"']""")
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""\bhidden\b(?!\s*=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 WORD = re.compile(r"\w+")
@@ -50,6 +51,14 @@ WORD = re.compile(r"\w+")
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.15, 0.30, 0.2
 
 
+#: Class names and ids that say what else is on a page or where a part stands, not what it is.
+STATES = frozenset("has with no without is not".split())
+INNER = frozenset("entry post article page story section content title".split())
+#: Sentences end, or pause, with these, in any language that has them.
+PAUSE = re.compile(r"[.!?,;:\u3002\uff0c\uff01\uff1f\u3001\u061f\u060c\u0964]")
+WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\u0e00-\u0e7f]")
+
+
 class Block(NamedTuple):
     text: str
     linked: int  # characters inside links
@@ -58,28 +67,81 @@ class Block(NamedTuple):
     heading: bool
 
 
-def _kind(tag: str, attributes: str, inside_article: bool) -> int:
-    """-1 for a container without article text, 1 for an article, else 0."""
+class _Tags:
+    """Finds the tags of a page from left to right. A quoted value may hold ``>``; once a quote is never closed, quotes count no more, so
+    that no part of a page is searched twice."""
+
+    def __init__(self, html: str):
+        self.html, self.quotes = html, True
+        self.low = None
+
+    def _end(self, at: int) -> int:
+        """The place after the tag whose attributes start at ``at``."""
+        if self.quotes:
+            k = at
+            while m := ENDS.search(self.html, k):
+                if m[0] == ">":
+                    return m.end()
+                k = self.html.find(m[0], m.end()) + 1
+                if not k:
+                    break
+            self.quotes = False
+        return self.html.find(">", at) + 1 or len(self.html)
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, closing, attributes); of comments and declarations, and of elements without text, the name is empty."""
+        html, at = self.html, 0
+        while m := OPENS.search(html, at):
+            start = m.start()
+            if m[1]:
+                at = html.find("-->", m.end()) + 3
+                at = len(html) if at == 2 else at
+                yield start, at, "", False, ""
+            elif m[2]:
+                at = html.find(">", m.end()) + 1 or len(html)
+                yield start, at, "", False, ""
+            else:
+                name, end = m[4].lower(), self._end(m.end())
+                attributes = html[m.end() : end - 1 if html[end - 1 : end] == ">" else end]
+                if name in RAW and not m[3]:
+                    close = re.compile(rf"</{name}\s*>", re.I).search(html, end)
+                    at = close.end() if close else len(html)
+                    yield start, at, "", True, ""
+                else:
+                    at = end
+                    yield start, end, name, bool(m[3]), attributes
+
+
+def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[int, bool]:
+    """-1 for a container without article text, 1 for an article, else 0; and whether only a class name or an id says so."""
     if tag in BAD_TAGS or tag == "header" and not inside_article:
-        return -1
+        return -1, False
     kind = 1 if tag in GOOD_TAGS else 0
     if attributes:
         if HIDDEN.search(attributes):
-            return -1
+            return -1, False
         for name, value in NAMES.findall(attributes):
-            words = re.split(r"[^a-z]+", value.lower())
             if name.lower() == "role":
+                words = re.split(r"[^a-z]+", value.lower())
                 kind = -1 if BAD_ROLES.intersection(words) else 1 if GOOD_ROLES.intersection(words) else kind
-            elif tag not in ("body", "html") and BAD_NAMES.intersection(words):
-                return -1
-    return kind
+            elif tag not in ("body", "html"):
+                for one in value.lower().strip("\"'").split():
+                    words = re.split(r"[^a-z]+", one)
+                    found = BAD_NAMES.intersection(words)
+                    if inside_article and INNER.intersection(words):
+                        found -= {"header", "masthead", "banner"}
+                    if found and words[0] not in STATES:
+                        return -1, True
+    return kind, False
 
 
 def blocks(html: str) -> list[Block]:
     """The page's blocks with text, in page order. Tags left open are closed by their container."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
+    open_of: dict[str, int] = {}
     bad = good = 0
+    seen_article = False
     text: list[str] = []
     linked, link, breaks, heading, at = 0, False, 0, False, 0
 
@@ -101,15 +163,13 @@ def blocks(html: str) -> list[Block]:
                 if link:
                     linked += len(" ".join(piece.split()))
 
-    for m in TOKEN.finditer(html):
-        add(html[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[1]:
+    for start, end, tag, closing, attributes in _Tags(html):
+        add(html[at:start])
+        at = end
+        if not tag:
+            if closing:
                 text.append(" ")
             continue
-        tag, closing = tag.lower(), m[2] == "/"
         if tag == "a":
             link = not closing
         elif tag == "br":
@@ -123,19 +183,30 @@ def blocks(html: str) -> list[Block]:
             heading = not closing and tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         if tag in CONTAINERS:
             if closing:
-                place = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if place is not None:
-                    if any(k for _, k in stack[place:]):
+                if open_of.get(tag):
+                    place = len(stack) - 1
+                    while stack[place][0] != tag:
+                        place -= 1
+                    if any(kind for _, kind in stack[place:]):
                         close()
-                    for _, k in stack[place:]:
-                        bad -= k < 0
-                        good -= k > 0
+                    for name, kind in stack[place:]:
+                        open_of[name] -= 1
+                        bad -= kind < 0
+                        good -= kind > 0
                     del stack[place:]
-            elif not m[4].endswith("/"):
-                kind = _kind(tag, m[4], good > 0)
+            elif not attributes.endswith("/"):
+                kind, by_name = _kind(tag, attributes, good > 0)
                 if kind:
                     close()
-                stack.append((tag, kind))
+                if kind > 0 and not seen_article:
+                    # Wrappers that only their names condemn hold the page's first article: the names were no help.
+                    seen_article = True
+                    for k, (name, other) in enumerate(stack):
+                        if other == -2:
+                            stack[k] = (name, 0)
+                            bad -= 1
+                stack.append((tag, -2 if by_name else kind))
+                open_of[tag] = open_of.get(tag, 0) + 1
                 bad += kind < 0
                 good += kind > 0
     add(html[at:])
@@ -160,7 +231,9 @@ def classify(found: list[Block], short: int = SHORT, long: int = LONG, stop_low:
         else:
             words = WORD.findall(b.text.lower())
             stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            label.append(True if stop >= stop_high and len(b.text) > long else None if stop >= stop_low else False)
+            size = len(b.text) + 2 * len(WIDE.findall(b.text))  # a character of such a script says about as much as three letters
+            flows = len(PAUSE.findall(b.text)) * 150 >= size  # prose pauses, whatever its language
+            label.append(True if size > long and (stop >= stop_high or flows) else None if stop >= stop_low or flows else False)
     decided = [i for i, x in enumerate(label) if x is not None and (found[i].good or not article)]
     out = []
     for i, x in enumerate(label):
@@ -191,6 +264,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     """One row per page, in all its columns but ``html_col``: ``text`` is its main text. Markup may be broken anywhere, and ids may
     repeat. A column named ``text`` is replaced."""
     others = [c for c in pages.columns if c not in (html_col, "text")]
+    html = "html"
+    while html in others:
+        html += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,6 +275,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
                 texts = [extract(h, **limits) for h in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.record_batch([*part.columns[:-1], pa.array(texts, pa.string())], names=[*others, "text"])
 
-    rows = pages.select(*others, F.col(html_col).alias("_html"))
-    schema = rows.drop("_html").schema.add("text", "string")
+    rows = pages.select(*others, F.col(html_col).alias(html))
+    schema = rows.drop(html).schema.add("text", "string")
     return rows.transform(map_batches, run, schema)
