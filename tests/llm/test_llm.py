@@ -96,16 +96,27 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8} | {i: 20 for i in range(20, 61)}
 
 
-def test_decontamination(spark, docs, nothing):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_decontamination(spark, docs, nothing, broadcast_bytes):
+    """By a broadcast set, and by the join for a benchmark too large for one."""
     items = [(1, DOCS[3][1].split("\n")[1]), (2, "w1 w2"), (3, None), (4, "..."), (12, DOCS[0][1]), (13, DOCS[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.contamination(docs, bench)
+    found = decontaminate.contamination(docs, bench, broadcast_bytes=broadcast_bytes)
     got = {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in found.collect()}
     assert got == {(d, n, h, tuple(i)) for d, n, h, i in decontaminate.brute_force(DOCS, items)}
     cut = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, found).collect()}
     assert len(cut) == len(DOCS) and cut[DOCS[0][0]] == "" and cut[DOCS[13][0]] == DOCS[13][1]
-    assert decontaminate.contamination(nothing, bench).count() == 0
-    assert decontaminate.contamination(docs, bench.where("false")).where("n_hit > 0").count() == 0
+    assert decontaminate.remove_spans(docs, found).columns == docs.columns
+    assert decontaminate.contamination(nothing, bench, broadcast_bytes=broadcast_bytes).count() == 0
+    assert decontaminate.contamination(docs, bench.where("false"), broadcast_bytes=broadcast_bytes - 1).where("n_hit > 0").count() == 0
+
+
+def test_decontamination_of_clashing_names_and_missing_ids(spark):
+    rows = spark.createDataFrame([(None, "one two three", 1, "x"), (5, None, 2, "y"), (5, "two three", 3, "z")], "doc_id long, text string, _id int, _spans string")
+    bench = spark.createDataFrame([(None, "two  THREE!")], "item_id long, text string")
+    for limit in (1 << 20, 0):
+        found = decontaminate.contamination(rows, bench, broadcast_bytes=limit)
+        assert sorted((r.doc_id or 0, r.n_words, r.n_hit, tuple(r["items"])) for r in found.where("n_words > 0").collect()) == [(0, 3, 2, ("null",)), (5, 2, 2, ("null",))]
 
 
 def test_backoff(docs, nothing):
