@@ -73,6 +73,14 @@ def cdf(x: float) -> float:
     return 0.5 * (1 + math.erf(x / math.sqrt(2)))
 
 
+def norm_cdf(x: Column) -> Column:
+    """The standard normal distribution: 1/2 plus the density times x + x**3/3 + x**5/15 + …, whose terms are all of one sign."""
+    near = F.greatest(F.least(x, F.lit(9.0)), F.lit(-9.0))
+    start = F.struct(near.alias("term"), near.alias("total"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(160)), start, lambda s, k: F.struct((s["term"] * near * near / (2 * k + 1)).alias("term"), (s["total"] + s["term"] * near * near / (2 * k + 1)).alias("total")), lambda s: s["total"])
+    return 0.5 + F.exp(-near * near / 2) / math.sqrt(2 * math.pi) * series
+
+
 # ---------------------------------------------------------------- text
 
 

@@ -14,9 +14,40 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+class Shared:
+    """Rolling columns that several expressions use. While it is open, rolling functions give the name of a column instead of a new
+    window; ``on`` adds these columns to the bars, each of them computed once."""
+
+    open: "Shared | None" = None
+
+    def __init__(self):
+        self.columns: dict[tuple, tuple[str, Column]] = {}
+
+    def __enter__(self) -> "Shared":
+        Shared.open = self
+        return self
+
+    def __exit__(self, *_) -> None:
+        Shared.open = None
+
+    def name(self, key: tuple, column: Column) -> Column:
+        if key not in self.columns:
+            self.columns[key] = (f"_w{len(self.columns)}", column)
+        return F.col(self.columns[key][0])
+
+    def on(self, bars):
+        return bars.select("*", *(c.alias(n) for n, c in self.columns.values())) if self.columns else bars
+
+
+def _shared(key: tuple, column: Column) -> Column:
+    return Shared.open.name(key, column) if Shared.open else column
+
+
 def _guarded(agg, x, n: int, prior: bool = False) -> Column:
     frame = by_symbol().rowsBetween(-n, -1) if prior else by_symbol().rowsBetween(-(n - 1), 0)
-    return F.when(F.count(col(x)).over(frame) == n, agg(col(x)).over(frame))
+    value = agg(col(x))
+    full = _shared(("count", str(col(x)), n, prior), F.count(col(x)).over(frame)) == n
+    return F.when(full, _shared((str(value), n, prior), value.over(frame)))
 
 
 def sma(x, n: int) -> Column:
@@ -46,7 +77,7 @@ def quantile(x, n: int, q: float) -> Column:
 
 
 def lag(x, n: int = 1) -> Column:
-    return F.lag(col(x), n).over(by_symbol())
+    return _shared(("lag", str(col(x)), n), F.lag(col(x), n).over(by_symbol()))
 
 
 def lead(x, n: int = 1) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.functions.scalars import EULER, cdf, norm_ppf, ppf
+from barweave.functions.scalars import EULER, norm_cdf, norm_ppf, ppf
 from barweave.functions.windows import forward_return
 
 BLOCKS, SIGNIFICANT, FLAT = 14, 0.95, 1e-12
@@ -22,8 +22,7 @@ def strategy_returns(frame: DataFrame, names: list[str], horizon: int = 1, neutr
     pairs = F.array(*(F.struct(F.lit(n).alias("config"), F.col(f"`{n}`").alias("stance")) for n in names))
     long = rows.where("_f is not null").select("ts", "_f", F.inline(pairs))
     out = long.groupBy("ts", "config").agg(F.avg(F.col("stance") * F.col("_f")).alias("ret"))
-    alive = out.groupBy("config").agg(F.stddev_samp("ret").alias("sd")).where(F.col("sd") > FLAT).select("config")
-    return out.join(F.broadcast(alive), "config", "left_semi")
+    return out.withColumn("_sd", F.stddev_samp("ret").over(Window.partitionBy("config"))).where(F.col("_sd") > FLAT).drop("_sd")
 
 
 def series_stats(returns: DataFrame, by: str = "config") -> DataFrame:
@@ -39,16 +38,15 @@ def series_stats(returns: DataFrame, by: str = "config") -> DataFrame:
 def overfitting(returns: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """One row: pbo, median_logit, prob_oos_loss, degradation_slope, n_splits, n_configs, over all balanced splits of ``blocks`` runs of time.
 
-    Each run of a config is reduced to count, sum and sum of squares (about the config's mean), and a split adds runs up, so the
-    work is splits x configs x blocks whatever the number of rows. Splits are bit masks; they number C(blocks, blocks / 2).
+    ``returns`` is a matrix: every config has a row at every time. Each run of a config is reduced to count, sum and sum of squares
+    (about the config's mean), and a split adds runs up, so the work is splits x configs x blocks whatever the number of rows. Splits
+    are bit masks; they number C(blocks, blocks / 2).
     """
-    times = returns.select("ts").distinct()
-    place = times.withColumns({"_i": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ts")) - 1, "_t": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    series = Window.partitionBy("config")
+    place = returns.withColumns({"_i": F.row_number().over(series.orderBy("ts")) - 1, "_t": F.count("*").over(series), "_m": F.avg("ret").over(series)})
     # The block of row i is the last whose lower bound, int(b * t / blocks), is not above i.
     bound = F.array(*(F.floor(F.col("_t") * b / F.lit(blocks)) for b in range(blocks)))
-    place = place.select("ts", (F.size(F.filter(bound, lambda x: x <= F.col("_i"))) - 1).alias("block"))
-    mean = F.avg("ret").over(Window.partitionBy("config"))
-    centred = returns.withColumn("_m", mean).withColumn("_c", F.col("ret") - F.col("_m")).join(place, "ts")
+    centred = place.select("config", "_m", (F.col("ret") - F.col("_m")).alias("_c"), (F.size(F.filter(bound, lambda x: x <= F.col("_i"))) - 1).alias("block"))
     runs = centred.groupBy("config", "block").agg(F.count("*").alias("n"), F.sum("_c").alias("s"), F.sum(F.col("_c") * F.col("_c")).alias("q"), F.first("_m").alias("m"))
     spark = returns.sparkSession
     masks = spark.range(1 << blocks).where(F.bit_count("id") == blocks // 2).withColumnRenamed("id", "mask")
@@ -61,9 +59,9 @@ def overfitting(returns: DataFrame, blocks: int = BLOCKS) -> DataFrame:
         sd = F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))
         return F.when((n >= 2) & (sd > FLAT), (F.col("m") + s / n) / sd).otherwise(0.0)
 
-    rated = cells.select("mask", "config", sharpe("is").alias("is_sr"), sharpe("oos").alias("oos_sr"))
-    best = rated.groupBy("mask").agg(F.max_by(F.struct("is_sr", "oos_sr"), F.struct("is_sr", F.expr("-crc32(config)"))).alias("b"), F.count("*").alias("n_configs"))
-    ranked = rated.join(best, "mask").groupBy("mask").agg(F.sum((F.col("oos_sr") <= F.col("b.oos_sr")).cast("int")).alias("r"), F.first("n_configs").alias("n_configs"), F.first("b.is_sr").alias("x"), F.first("b.oos_sr").alias("y"))
+    # A split's configs, some sixty at most, meet in one array.
+    rated = cells.groupBy("mask").agg(F.collect_list(F.struct(sharpe("is").alias("x"), F.expr("-crc32(config)").alias("tie"), sharpe("oos").alias("y"))).alias("all"))
+    ranked = rated.withColumn("best", F.array_max("all")).select("mask", F.size(F.filter("all", lambda c: c["y"] <= F.col("best.y"))).alias("r"), F.size("all").alias("n_configs"), F.col("best.x").alias("x"), F.col("best.y").alias("y"))
     share = F.least(F.greatest(F.col("r"), F.lit(1)), F.col("n_configs")) / (F.col("n_configs") + 1)
     logit = F.log(share / (1 - share))
     return ranked.withColumn("logit", logit).agg(
@@ -84,45 +82,53 @@ def expected_max_sharpe_column(variance, trials):
     return F.when((trials >= 2) & (variance > 0), F.sqrt(variance) * luck).otherwise(0.0)
 
 
-def deflated_sharpe(stats: DataFrame, trials: int | None = None) -> dict:
-    """Of the best series of ``series_stats``: the probability that its ratio beats the luckiest of the trials. One row comes to the
-    driver."""
-    row = stats.agg(F.max_by(F.struct("config", "sharpe", "n", "skew", "kurtosis"), "sharpe").alias("b"), F.var_samp("sharpe").alias("v"), F.count("*").alias("c")).first()
-    best, variance, trials = row["b"], row["v"] or 0.0, trials or row["c"]
-    luck = expected_max_sharpe(variance, trials)
-    sr = best["sharpe"]
-    spread = 1 - best["skew"] * sr + (best["kurtosis"] - 1) / 4 * sr * sr
-    dsr = cdf((sr - luck) * math.sqrt(best["n"] - 1) / math.sqrt(spread)) if best["n"] >= 2 and spread > 0 else None
-    return {"config": best["config"], "sharpe": sr, "luck": luck, "dsr": dsr, "n_obs": best["n"], "n_trials": trials, "significant": dsr is not None and dsr > SIGNIFICANT}
-
-
-def family_wise(sweep: DataFrame, trials: int | None = None) -> dict:
-    """Of the best row of a sweep: its error probability among so many trials, and the edge that luck alone would show."""
-    row = sweep.where("oos_signals > 0").agg(F.max_by(F.struct("config", "horizon", "oos_signals", "oos_cond_edge_pp"), "oos_cond_edge_pp").alias("b"), F.count("*").alias("c")).first()
-    if not row["c"]:
-        return {"available": False}
-    best, trials = row["b"], trials or row["c"]
-    return {"available": True, "config": best["config"], "horizon": best["horizon"], **edge_error(best["oos_cond_edge_pp"], best["oos_signals"], trials)}
-
-
-def edge_error(edge_pp: float, signals: int, trials: int) -> dict:
-    se = 100 * math.sqrt(0.25 / max(signals, 1))
-    single = 1 - cdf(edge_pp / se)
-    error, luck = 1 - (1 - single) ** trials, se * expected_max_sharpe(1.0, trials)
-    return {"edge_pp": edge_pp, "signals": signals, "p_single": single, "p_fwe": error, "luck_edge_pp": luck, "survives": error < 0.05 and edge_pp > luck}
-
-
-def verdict(pbo: float | None, dsr: dict, fwe: dict) -> dict:
-    """One reading of the three."""
-    parts = []
-    if pbo is not None:
-        parts.append(f"PBO {pbo * 100:.0f}% ({'overfit' if pbo >= 0.5 else 'robust'})")
-    if dsr.get("dsr") is not None:
-        parts.append(f"DSR {dsr['dsr'] * 100:.0f}% ({'sig' if dsr['significant'] else 'not sig'})")
-    if fwe.get("available"):
-        parts.append(f"FWE p {fwe['p_fwe']:.2f} ({'survives' if fwe['survives'] else 'noise'})")
-    robust = pbo is not None and pbo < 0.5 and bool(dsr.get("significant")) and bool(fwe.get("survives"))
-    return {"robust": robust, "summary": " | ".join(parts)}
+def deflated_sharpe(stats: DataFrame, trials: int | None = None) -> DataFrame:
+    """One row: of the best series of ``series_stats``, the probability that its ratio beats the luckiest of the trials (null if it
+    can't be told): config, sharpe, luck, dsr, n_obs, n_trials, significant."""
+    best = stats.agg(F.max_by(F.struct("config", "sharpe", "n", "skew", "kurtosis"), "sharpe").alias("b"), F.coalesce(F.var_samp("sharpe"), F.lit(0.0)).alias("v"), F.count("*").alias("c"))
+    n = F.lit(trials) if trials else F.col("c")
+    row = best.select("b.*", n.alias("n_trials"), expected_max_sharpe_column(F.col("v"), n).alias("luck"))
+    sr = F.col("sharpe")
+    spread = 1 - F.col("skew") * sr + (F.col("kurtosis") - 1) / 4 * sr * sr
+    dsr = F.when((F.col("n") >= 2) & (spread > 0), norm_cdf((sr - F.col("luck")) * F.sqrt(F.col("n") - 1) / F.sqrt(spread)))
+    return row.select("config", "sharpe", "luck", dsr.alias("dsr"), F.col("n").alias("n_obs"), "n_trials", F.coalesce(dsr > SIGNIFICANT, F.lit(False)).alias("significant"))
+
+
+def edge_error(edge_pp, signals, trials) -> dict:
+    """Columns: error of an edge in points, its error probability alone and among so many trials, the edge that luck alone would show,
+    and whether it survives both."""
+    se = 100 * F.sqrt(0.25 / F.greatest(signals, F.lit(1)))
+    single = 1 - norm_cdf(edge_pp / se)
+    error, luck = 1 - F.pow(1 - single, trials), se * expected_max_sharpe_column(F.lit(1.0), trials)
+    return {"p_single": single, "p_fwe": error, "luck_edge_pp": luck, "survives": (error < 0.05) & (edge_pp > luck)}
+
+
+def family_wise(sweep: DataFrame, trials: int | None = None) -> DataFrame:
+    """The best row of a sweep with its ``edge_error``; no row without a scored config."""
+    best = sweep.where("oos_signals > 0").agg(F.max_by(F.struct("config", "horizon", "oos_signals", "oos_cond_edge_pp"), "oos_cond_edge_pp").alias("b"), F.count("*").alias("c")).where("c > 0")
+    n = F.lit(trials) if trials else F.col("c")
+    error = edge_error(F.col("b.oos_cond_edge_pp"), F.col("b.oos_signals"), n)
+    return best.select("b.config", "b.horizon", F.col("b.oos_cond_edge_pp").alias("edge_pp"), F.col("b.oos_signals").alias("signals"), *(c.alias(k) for k, c in error.items()))
+
+
+def reading(rows: DataFrame) -> DataFrame:
+    """Adds to rows of pbo, dsr, significant, p_fwe and survives, any of them null: robust, summary."""
+    percent = lambda c: F.bround(c * 100).cast("long").cast("string")
+    said = F.concat_ws(
+        " | ",
+        F.when(F.col("pbo").isNotNull(), F.concat(F.lit("PBO "), percent(F.col("pbo")), F.lit("% ("), F.when(F.col("pbo") >= 0.5, "overfit").otherwise("robust"), F.lit(")"))),
+        F.when(F.col("dsr").isNotNull(), F.concat(F.lit("DSR "), percent(F.col("dsr")), F.lit("% ("), F.when(F.col("significant"), "sig").otherwise("not sig"), F.lit(")"))),
+        F.when(F.col("p_fwe").isNotNull(), F.concat(F.lit("FWE p "), F.format_string("%.2f", F.bround("p_fwe", 2)), F.lit(" ("), F.when(F.col("survives"), "survives").otherwise("noise"), F.lit(")"))),
+    )
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    return rows.withColumns({"robust": holds(F.col("pbo") < 0.5) & holds(F.col("significant")) & holds(F.col("survives")), "summary": said})
+
+
+def verdict(pbo: DataFrame, dsr: DataFrame, fwe: DataFrame) -> DataFrame:
+    """One reading of the three, each of one row at most: robust, summary."""
+    first = lambda df, *names: df.agg(*(F.first(n).alias(n) for n in names))
+    one = first(pbo, "pbo").join(first(dsr, "dsr", "significant")).join(first(fwe, "p_fwe", "survives"))
+    return reading(one).select("robust", "summary")
 
 
 def search_verdict(edge_pp, signals, tried):

@@ -28,19 +28,22 @@ def split(bars: DataFrame, train: float = TRAIN) -> DataFrame:
 def sweep_counts(frame: DataFrame, names: list[str], horizons=HORIZONS) -> tuple[DataFrame, DataFrame]:
     """(counts by config, horizon and slice; base by horizon and slice) of bars with slice and one stance column a config.
 
-    Forward returns come first, once for each horizon; configs and horizons are then rows, and everything is one conditional
-    aggregation with a partial step before its shuffle.
+    Forward returns come first, one column a horizon; configs are then rows, and the horizons are conditional sums of one aggregation
+    with a partial step before its shuffle.
     """
-    moves = F.array(*(F.struct(F.lit(h).alias("horizon"), F.signum(forward_return(h)).cast("int").alias("move")) for h in horizons))
-    rows = frame.withColumn("moves", moves)
+    move = {h: f"move_{h}" for h in horizons}
+    rows = frame.withColumns({m: F.signum(forward_return(h)).cast("int") for h, m in move.items()})
     pairs = F.array(*(F.struct(F.lit(n).alias("config"), F.col(f"`{n}`").alias("stance")) for n in names))
-    bets = rows.select("slice", "moves", F.inline(pairs)).where("stance <> 0").select("slice", "config", "stance", F.inline("moves")).where("move is not null")
-    total = lambda c: F.sum(c.cast("long"))
-    move, stance = F.col("move"), F.col("stance")
-    counts = bets.groupBy("config", "horizon", "slice").agg(
-        F.count("*").alias("n"), total(move == stance).alias("hits"), total(move > 0).alias("up"), total(move < 0).alias("dn"), total(stance == 1).alias("long"), total(stance == -1).alias("short")
-    )
-    base = rows.select("slice", F.inline("moves")).where("move is not null").groupBy("horizon", "slice").agg(F.count("*").alias("valid"), total(move > 0).alias("base_up"))
+    bets = rows.select("slice", *move.values(), F.inline(pairs)).where("stance <> 0")
+    stance = F.col("stance")
+    figures = {
+        "n": lambda m: F.count(m), "hits": lambda m: F.count_if(m == stance), "up": lambda m: F.count_if(m > 0), "dn": lambda m: F.count_if(m < 0),
+        "long": lambda m: F.count_if(m.isNotNull() & (stance == 1)), "short": lambda m: F.count_if(m.isNotNull() & (stance == -1)),
+    }
+    wide = bets.groupBy("config", "slice").agg(*(f(F.col(m)).alias(f"{c}_{h}") for h, m in move.items() for c, f in figures.items()))
+    counts = wide.select("config", "slice", F.inline(F.array(*(F.struct(F.lit(h).alias("horizon"), *(F.col(f"{c}_{h}").alias(c) for c in figures)) for h in horizons)))).where("n > 0")
+    base = rows.groupBy("slice").agg(*(x for h, m in move.items() for x in (F.count(m).alias(f"valid_{h}"), F.count_if(F.col(m) > 0).alias(f"base_up_{h}"))))
+    base = base.select("slice", F.inline(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"valid_{h}").alias("valid"), F.col(f"base_up_{h}").alias("base_up")) for h in horizons)))).where("valid > 0")
     return counts, base
 
 

@@ -132,7 +132,7 @@ def rules_in(text: Column) -> Column:
 def prompt(cues: DataFrame, heads: DataFrame) -> DataFrame:
     """One row: the text that a model is asked with, of cues (symbol, pct) and headlines (pos, title); both are short lists."""
     listed = lambda rows: F.coalesce(F.nullif(F.array_join(rows, "\n"), F.lit("")), F.lit("- (none)"))
-    cue = cues.where("pct is not null").agg(listed(F.transform(F.array_sort(F.collect_list(F.struct("symbol", "pct"))), lambda x: F.format_string("- %s: %+.2f%%", x["symbol"], x["pct"]))).alias("cue"))
+    cue = cues.where("pct is not null").agg(listed(F.transform(F.array_sort(F.collect_list(F.struct("symbol", "pct"))), lambda x: F.format_string("- %s: %+.2f%%", x["symbol"], F.bround(x["pct"], 2)))).alias("cue"))
     head = heads.agg(listed(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: F.concat(F.lit("- "), x["title"]))).alias("head"))
     return cue.join(head).select(F.concat(F.lit("GLOBAL CUES (1-day % change):\n"), "cue", F.lit("\n\nRECENT HEADLINES:\n"), "head").alias("prompt"))
 

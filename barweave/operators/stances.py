@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barweave.functions.scalars import choose, ratio, sign
-from barweave.functions.windows import bollinger, change, highest, lag, lowest, opening_range, quantile, rolling_std, rolling_sum, sma
+from barweave.functions.windows import Shared, bollinger, change, highest, lag, lowest, opening_range, quantile, rolling_std, rolling_sum, sma
 
 
 def _column(name: str):
@@ -207,8 +207,10 @@ def prepare(bars: DataFrame) -> DataFrame:
 
 def stances(bars: DataFrame, chosen=None) -> DataFrame:
     """Bars with one column for each configuration, named by its label; ``chosen`` as of ``configs``."""
-    chosen = configs() if chosen is None else chosen
-    return prepare(bars).select("*", *(GRID[f][0](**p).cast("int").alias(name) for name, f, p in chosen))
+    chosen, prepared = configs() if chosen is None else chosen, prepare(bars)
+    with Shared() as shared:
+        made = [GRID[f][0](**p).cast("int").alias(name) for name, f, p in chosen]
+    return shared.on(prepared).select(*prepared.columns, *made)
 
 
 def unpivot(frame: DataFrame, names: list[str], ids: list[str]) -> DataFrame:

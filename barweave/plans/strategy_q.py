@@ -9,7 +9,7 @@ from barweave.operators import audit, confluence, costs, evaluate, invest, repla
 from barweave.operators.folds import with_folds
 from barweave.plans import sqltext as q
 from barweave.plans.catalogue import query
-from barweave.plans.evaluate_q import HEAD, NUMBERED, full_sweep, rounded, sweep_sql
+from barweave.plans.evaluate_q import HEAD, NUMBERED, VERDICT, full_sweep, rounded, sweep_sql
 from barweave.plans.indicators_q import FOLDED
 from barweave.sources.tables import daily_bars, intraday_bars
 
@@ -291,24 +291,58 @@ def luck(spark, d):
     return spark.range(500).select(n.alias("trials"), F.round(audit.expected_max_sharpe_column(F.lit(0.04), n), 6).alias("luck"))
 
 
-@query("fn4_deflated_sharpe")
+def cdf_sql(x):
+    """The distribution by the alternating series of the error function, good for |x| < 5; 0 or 1 beyond."""
+    z = f"(({x}) / sqrt(2))"
+    return f"CASE WHEN abs({x}) >= 5 THEN CAST({x} > 0 AS INT)::DOUBLE ELSE 0.5 + 1 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * pow({z}, 2 * k + 1) / (gamma(k + 1.0) * (2 * k + 1)))) END"
+
+
+@query("fn1_norm_cdf", f"SELECT CAST((range - 400) / 100.0 AS DOUBLE) AS x, round({cdf_sql('(range - 400) / 100.0::DOUBLE')}, 6) AS p FROM range(801)")
+def norm_cdf(spark, d):
+    return spark.range(801).select(((F.col("id") - 400) / 100.0).alias("x")).select("x", F.round(scalars.norm_cdf(F.col("x")), 6).alias("p"))
+
+
+LUCK_SQL = f"((1 - 0.5772156649015329) * ({ppf_sql('(1 - 1.0::DOUBLE / t)')}) + 0.5772156649015329 * ({ppf_sql('(1 - 1.0::DOUBLE / (t * exp(1)))')}))"
+DEFLATED = f""", bs AS (SELECT arg_max(row(config, sharpe, n, skew, kurtosis), sharpe) AS b, var_samp(sharpe) AS v, 427 AS t FROM mo),
+b2 AS (SELECT b[1] AS config, b[2] AS sharpe, b[3] AS n, sqrt(v) * {LUCK_SQL} AS luck, 1 - b[4] * b[2] + (b[5] - 1) / 4 * b[2] * b[2] AS spread FROM bs),
+de AS (SELECT config, sharpe, luck, (sharpe - luck) * sqrt(n - 1) / sqrt(spread) AS z FROM b2),
+df AS (SELECT config, sharpe, luck, {cdf_sql('z')} AS dsr FROM de)
+"""
+
+
+@query("fn4_deflated_sharpe", RET + STATS + DEFLATED + "SELECT config, round(sharpe, 4) AS sharpe, round(luck, 4) AS luck, round(dsr, 4) AS dsr, dsr > 0.95 AS significant FROM df")
 def deflated(spark, d):
-    row = audit.deflated_sharpe(audit.series_stats(matrix(spark, d)), 427)
-    return spark.createDataFrame([(row["config"], row["sharpe"], row["luck"], row["dsr"], row["significant"])], "config string, sharpe double, luck double, dsr double, significant boolean")
+    return rounded(audit.deflated_sharpe(audit.series_stats(matrix(spark, d)), 427).select("config", "sharpe", "luck", "dsr", "significant"))
+
+
+FAMILY = f""", fb AS (SELECT arg_max(row(config, horizon, oos_signals, oos_cond_edge_pp), oos_cond_edge_pp) AS b, count(*) AS t FROM v WHERE oos_signals > 0),
+f2 AS (SELECT b[1] AS config, b[4] AS edge, 100 * sqrt(0.25 / b[3]) AS se, t, {LUCK_SQL} AS luck FROM fb WHERE t > 0),
+f3 AS (SELECT *, edge / se AS z FROM f2),
+f4 AS (SELECT config, edge, se * luck AS luck_edge_pp, 1 - ({cdf_sql('z')}) AS p_single, t FROM f3),
+fw AS (SELECT config, p_single, 1 - pow(1 - p_single, t) AS p_fwe, luck_edge_pp, 1 - pow(1 - p_single, t) < 0.05 AND edge > luck_edge_pp AS survives FROM f4)
+"""
 
 
-@query("fn6_family_wise")
+@query("fn6_family_wise", sweep_sql(stances.configs()) + VERDICT + FAMILY + "SELECT config, round(p_single, 4) AS p_single, round(p_fwe, 4) AS p_fwe, round(luck_edge_pp, 4) AS luck_edge_pp, survives FROM fw")
 def family_wise(spark, d):
-    row = audit.family_wise(full_sweep(spark, d))
-    return spark.createDataFrame([(row["config"], row["p_single"], row["p_fwe"], row["luck_edge_pp"], row["survives"])] if row["available"] else [], "config string, p_single double, p_fwe double, luck_edge_pp double, survives boolean")
+    return rounded(audit.family_wise(full_sweep(spark, d)).select("config", "p_single", "p_fwe", "luck_edge_pp", "survives"))
+
+
+@query("fn7_readings", """WITH g AS (SELECT CASE WHEN a.range = 10 THEN NULL ELSE (a.range + 0.2) / 10.0::DOUBLE END AS pbo, (b.range + 0.3) / 20.0::DOUBLE AS dsr, c.range = 1 AS fine FROM range(11) a, range(20) b, range(2) c)
+SELECT pbo, dsr, fine, pbo IS NOT NULL AND pbo < 0.5 AND dsr > 0.95 AND fine AS robust,
+  concat_ws(' | ', CASE WHEN pbo IS NOT NULL THEN 'PBO ' || printf('%.0f', pbo * 100) || '% (' || CASE WHEN pbo >= 0.5 THEN 'overfit' ELSE 'robust' END || ')' END, 'DSR ' || printf('%.0f', dsr * 100) || '% (' || CASE WHEN dsr > 0.95 THEN 'sig' ELSE 'not sig' END || ')', 'FWE p ' || CASE WHEN fine THEN '0.01 (survives)' ELSE '0.99 (noise)' END) AS summary FROM g""")
+def readings(spark, d):
+    """What is read from grids of the three figures."""
+    grid = spark.range(440).select(F.when(F.col("id") % 11 < 10, (F.col("id") % 11 + 0.2) / 10.0).alias("pbo"), ((F.floor(F.col("id") / 11) % 20 + 0.3) / 20.0).alias("dsr"), (F.col("id") >= 220).alias("fine"))
+    found = audit.reading(grid.withColumns({"significant": F.col("dsr") > audit.SIGNIFICANT, "p_fwe": F.when(F.col("fine"), 0.01).otherwise(0.99), "survives": F.col("fine")}))
+    return found.select("pbo", "dsr", "fine", "robust", "summary")
 
 
 @query("fn8_audit")
 def full_audit(spark, d):
+    """The verdict on the returns of ``SMALL`` and the whole sweep; its parts have their SQL under fn4, fn5, fn6 and fn7."""
     returns = matrix(spark, d)
-    pbo = audit.overfitting(returns).first()["pbo"]
-    read = audit.verdict(pbo, audit.deflated_sharpe(audit.series_stats(returns), 427), audit.family_wise(full_sweep(spark, d)))
-    return spark.createDataFrame([(read["robust"], read["summary"])], "robust boolean, summary string")
+    return audit.verdict(audit.overfitting(returns), audit.deflated_sharpe(audit.series_stats(returns), 427), audit.family_wise(full_sweep(spark, d)))
 
 
 @query("fn21_search_verdict", sweep_sql(SMALL) + "SELECT config, horizon, cond_edge_pp / (100 * sqrt(0.25 / greatest(signals, 1))) > sqrt(2 * ln(427)) + 1 AS beats_luck FROM stat WHERE slice = 'oos'")

@@ -6,6 +6,7 @@ import pytest
 from conftest import make_bars
 from pyspark.sql import functions as F
 
+from barweave.functions import scalars
 from barweave.operators import audit, confluence, costs, evaluate, graph, invest, ledger, news, replay, stances
 from barweave.operators.folds import with_folds
 
@@ -108,11 +109,18 @@ def test_overfitting_of_noise_and_of_a_planted_edge(spark):
     assert planted.pbo < 0.05 and planted.prob_oos_loss < 0.05
 
 
-def test_family_wise_error():
-    weak, strong = audit.edge_error(6.7, 239, 406), audit.edge_error(9.0, 6000, 5)
+def test_family_wise_error(spark):
+    rows = spark.createDataFrame([(0, 6.7, 239, 406), (1, 9.0, 6000, 5)], "i int, edge double, n int, trials int")
+    weak, strong = rows.orderBy("i").select(*(c.alias(k) for k, c in audit.edge_error(F.col("edge"), F.col("n"), F.col("trials")).items())).collect()
     assert weak["p_fwe"] > 0.5 and not weak["survives"] and strong["p_fwe"] < 0.05 and strong["survives"]
 
 
+def test_normal_distribution(spark):
+    xs = [-40.0, -9.0, -3.5, -1.96, -0.01, 0.0, 1e-9, 0.7, 2.0, 5.0, 8.5, 40.0]
+    got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(scalars.norm_cdf(F.col("x"))).collect()]
+    assert got == pytest.approx([scalars.cdf(x) for x in xs], abs=1e-12)
+
+
 def test_xirr(spark):
     flows = spark.sql("select array(named_struct('d', date'2020-01-01', 'amt', -100D), named_struct('d', date'2021-01-01', 'amt', 110D)) f, array(named_struct('d', date'2020-01-01', 'amt', 1D)) g")
     row = flows.select(invest.xirr(F.col("f")).alias("x"), invest.xirr(F.col("g")).alias("y")).first()
@@ -137,12 +145,6 @@ def test_regime(spark):
     assert [r[0] for r in rows.select(regime).collect()] == ["risk_on", "risk_off", "neutral"]
 
 
-def test_rules_in_text(spark):
-    rows = spark.createDataFrame([("Buy when RSI falls below 25 and sell above 75",), ("the 50 day and the 200 day moving average",), ("a nice day",)], "t string")
-    got = [[(x.family, x.params) for x in r[0]] for r in rows.select(news.rules_in(F.col("t"))).collect()]
-    assert got == [[("rsi_reversion", "low=25,high=75")], [("ema_cross", "fast=50,slow=200")], []] or got[0][0][0] == "rsi_reversion"
-
-
 def test_ledger(spark):
     t = dt.datetime
     rows = spark.createDataFrame([(1, "paper", t(2025, 1, 1, 10), 10.0), (2, "paper", t(2025, 1, 1, 11), -4.0), (3, "paper", t(2025, 1, 2), 7.5), (4, "backtest", t(2025, 1, 2), 1.0), (5, "paper", None, None)], "id int, mode string, exit_time timestamp, pnl double")
