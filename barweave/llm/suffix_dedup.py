@@ -312,8 +312,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int | None = Non
     windows = rows.join(edges.hint("merge"), "key").select("key", "text", "runs").transform(map_batches, _windows(length), "hash long, key long, place int")
     first, here = F.min(F.struct("key", "place")).over(Window.partitionBy("hash")), F.struct("key", "place")
     later = windows.withColumn("first", first).where(here > F.col("first")).select("key", F.col("place").alias("lo"), F.col("place").alias("hi"), F.col("first.key").alias("holder"), F.col("first.place").alias("from"))
-    found = later
-    for part in family.gone:
+    found = materialise(later, "suffix-gone")
+    family.gone.append(found)
+    for part in family.gone[:-1]:
         found = found.unionByName(part.select("key", lo("span").alias("lo"), hi("span").alias("hi"), "holder", lo("holder_span").alias("from")))
     pairs = materialise(found.groupBy("key", "holder").agg(F.collect_list(F.struct("lo", "hi", "from")).alias("runs")), "suffix-pairs")  # of one document
     discard(edges, *family.gone)
