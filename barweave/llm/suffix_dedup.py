@@ -220,18 +220,25 @@ def _held(length: int):
     """(key, pieces): the bytes that a text must have where it is to lose them; columns text, key, runs (lo, hi, from) of its holder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("bytes", pa.binary())]))
         for batch in batches:
-            out = []
-            for text, runs in zip(batch.column(0), batch.column(2).to_pylist(), strict=True):
-                raw, joined = (text.as_py() or "").encode(), []
-                for lo, hi, at in sorted((r["lo"], r["hi"] + length, r["from"]) for r in runs):
-                    if joined and joined[-1][2] - joined[-1][0] == at - lo and lo <= joined[-1][1]:
-                        joined[-1][1] = max(joined[-1][1], hi)
-                    else:
-                        joined.append([lo, hi, at])
-                out.append([{"start": lo, "bytes": raw[at : at + hi - lo]} for lo, hi, at in joined])
-            yield pa.record_batch([batch.column(1), pa.array(out, kind)], names=["key", "pieces"])
+            texts, runs = batch.column(0).fill_null("").cast(pa.large_binary()), batch.column(2)
+            start = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+            raw = memoryview(texts.buffers()[2] or b"")
+            flat = runs.flatten()
+            lo, hi, at = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            row = np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()))
+            order = np.lexsort((lo, at - lo, row))
+            row, lo, hi, at = row[order], lo[order], hi[order] + length, at[order]
+            # Runs that touch and are as far from their holder's make one piece.
+            group = np.cumsum(np.concatenate([[0], (row[1:] != row[:-1]) | (at[1:] - lo[1:] != at[:-1] - lo[:-1])])[: len(row)])
+            reach = np.maximum.accumulate((group << 32) + hi)
+            first = np.flatnonzero(np.concatenate([[True], (group[1:] << 32) + lo[1:] > reach[:-1]])[: len(row)])
+            end = (reach - (group << 32))[np.append(first[1:], len(row)) - 1] if len(row) else hi
+            begin = start[row[first]] + at[first]
+            held = [bytes(raw[x:y]) for x, y in zip(begin.tolist(), (begin + end - lo[first]).tolist(), strict=True)]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(runs)))])
+            pieces = pa.StructArray.from_arrays([pa.array(lo[first], pa.int32()), pa.array(held, pa.binary())], names=["start", "bytes"])
+            yield pa.record_batch([batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pieces)], names=["key", "pieces"])
 
     return run
 
