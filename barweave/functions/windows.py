@@ -72,8 +72,12 @@ def lowest(x, n: int, prior: bool = False) -> Column:
 
 
 def quantile(x, n: int, q: float) -> Column:
-    """Exact, interpolated between neighbours."""
-    return _guarded(lambda c: F.percentile(c, F.lit(q)), x, n)
+    """Exact, interpolated between neighbours; the quantiles of one frame read the same sorted array."""
+    frame = by_symbol().rowsBetween(-(n - 1), 0)
+    values = _shared(("sorted", str(col(x)), n), F.sort_array(F.collect_list(col(x)).over(frame)))
+    place = (n - 1) * q
+    low, high = F.get(values, F.lit(int(place))), F.get(values, F.lit(min(int(place) + 1, n - 1)))
+    return F.when(F.size(values) == n, low + (high - low) * (place - int(place)))
 
 
 def lag(x, n: int = 1) -> Column:
