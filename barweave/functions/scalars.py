@@ -81,6 +81,38 @@ def norm_cdf(x: Column) -> Column:
     return 0.5 + F.exp(-near * near / 2) / math.sqrt(2 * math.pi) * series
 
 
+def round_exact(x: Column, digits: int) -> Column:
+    """``x`` to so many decimals, by its exact binary value: 2.675 is a little less than it reads and goes down, true ties go to the even
+    digit. The product with the power of ten is taken with its rounding error (both factors split in halves of 26 bits)."""
+    scale = 10.0**digits
+    halves = lambda v: (v * 134217729.0) - ((v * 134217729.0) - v)
+    product, high, top = x * scale, halves(x), scale * 134217729.0 - (scale * 134217729.0 - scale)
+    low, bottom = x - high, scale - top
+    error = ((high * top - product) + high * bottom + low * top) + low * bottom
+    below = F.floor(product).cast("double")
+    over = product - below
+    up = (over > 0.5) | ((over == 0.5) & ((error > 0) | ((error == 0) & (below % 2 != 0))))
+    return (below + F.when(up, 1.0).otherwise(0.0)) / scale
+
+
+def unescape(text: Column) -> Column:
+    """HTML character references decoded, numeric ones and the named ones of the standard."""
+    from html.entities import html5
+
+    named = {k.rstrip(";"): v for k, v in sorted(html5.items()) if k.endswith(";")}
+    names = F.create_map(*(F.lit(x) for kv in named.items() for x in kv))
+    pattern = "&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.split(text, pattern, -1)
+
+    def char(name: Column) -> Column:
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 8), 16, 10)).when(name.startswith("#"), F.substring(name, 2, 8)).cast("long")
+        spelt = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.coalesce(F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), spelt), F.get(F.transform(F.array(name), lambda n: F.try_element_at(names, n)), 0), F.concat(F.lit("&"), name, F.lit(";")))
+
+    decoded = F.array_join(F.zip_with(between, F.concat(F.transform(found, char), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    return F.when(text.contains("&"), decoded).otherwise(text)
+
+
 # ---------------------------------------------------------------- text
 
 

@@ -156,6 +156,15 @@ def hold_by_horizon(frame: DataFrame, horizons, cost: float = 0.0) -> DataFrame:
     return rows.withColumns({"gross_ret": F.col("direction") * F.col("move"), "net_ret": F.col("direction") * F.col("move") - cost})
 
 
+def costed_verdict(trades: DataFrame, least: int = 20) -> DataFrame:
+    """By symbol: trades, mean and median net return a trade, and whether they are plausible: a gain on average, more won than lost, and
+    at least so many."""
+    net = F.col("net_ret")
+    won, lost = F.sum(F.when(net > 0, net)), F.nullif(-F.sum(F.when(net < 0, net)), F.lit(0.0))
+    good = (F.avg(net) > 0) & (F.coalesce(won / lost, F.lit(1e9)) > 1) & (F.count("*") >= least)
+    return trades.groupBy("symbol").agg(F.count("*").alias("trades"), (F.avg(net) * 100).alias("avg_trade_pct"), (F.percentile(net, F.lit(0.5)) * 100).alias("median_trade_pct"), good.alias("plausible"))
+
+
 def horizon_table(frame: DataFrame, horizons=range(1, 13), cost: float = 0.0) -> DataFrame:
     """By symbol and horizon: signals, win rate, winning and losing days, net returns, the base up-rate and the edge over it."""
     rows = hold_by_horizon(frame, horizons, cost)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barweave.functions.scalars import json_object, normal_title, publisher
+from barweave.functions.scalars import json_object, normal_title, publisher, unescape
 
 
 def dedupe(items: DataFrame, title: str = "title", order: tuple = ("pos",), limit: int | None = None) -> DataFrame:
@@ -22,10 +22,8 @@ def headlines(docs: DataFrame) -> DataFrame:
 
 
 def feed_items(pages: DataFrame) -> DataFrame:
-    """(title, link, source, pos) of raw pages; entities of the title are decoded where they are common ones."""
-    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        title = F.replace(title, F.lit(name), F.lit(char))
+    """(title, link, source, pos) of raw pages; character references of the title are decoded."""
+    title = unescape(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
     head, source = publisher(F.col("title"))
     return pages.select(F.col("page_id").alias("pos"), title.alias("title"), F.col("url").alias("link")).select("pos", "link", head.alias("title"), source.alias("source"))
 

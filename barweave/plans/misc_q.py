@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -266,22 +265,40 @@ def _file_stream(spark, d):
 @query("ss3_closed_bars", q.with_(q.intraday(), CLOSED) + f"SELECT {BARS} FROM bars_closed")
 def closed_bars(spark, d):
     """Bars that the stream has closed when it has read all ticks."""
-    name = f"closed_{abs(hash(d)) % 10**8}_{tempfile.mktemp()[-6:].replace('_', 'x')}"
-    out = stream_bars.drain(stream_bars.bars(_file_stream(spark, d)), name, _checkpoint(spark))
+    out = stream_bars.drain(stream_bars.bars(_file_stream(spark, d)), tables.shared_folder(spark, "closed"))
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz")).select(*BARS.split(", "))
 
 
-def _checkpoint(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/stream-{tempfile.mktemp()[-8:]}"
+@query("ss4_frame", q.with_(q.intraday(), CLOSED) + f"SELECT {BARS}, false AS current FROM bars_closed UNION ALL SELECT {BARS}, true FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS r FROM bars WHERE NOT EXISTS (SELECT 1 FROM bars_closed c WHERE c.symbol = bars.symbol AND c.ts = bars.ts)) WHERE r = 1")
+def frame_with_current_bar(spark, d):
+    """Closed bars and each symbol's newest open one."""
+    closed = closed_bars(spark, d)
+    now = stream_bars.bars(tables.ticks(spark, d)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return stream_bars.frame(closed, now).select(*BARS.split(", "), "current")
+
+
+@query("ss6_each_batch", q.with_(q.intraday(), CLOSED) + "SELECT symbol, count(*) AS bars, round(sum(volume), 3) AS volume FROM bars_closed GROUP BY symbol")
+def each_batch(spark, d):
+    """Every batch of closed bars handed to a function, which appends what a strategy would see."""
+    folder = tables.shared_folder(spark, "batches")
+    act = lambda frame, batch: frame.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/seen")
+    stream_bars.each_batch(stream_bars.bars(_file_stream(spark, d)), act, f"{folder}/state").awaitTermination()
+    seen = spark.read.schema(f"{stream_bars.BAR}, batch long").parquet(f"{folder}/seen")
+    return seen.groupBy("symbol").agg(F.count("*").alias("bars"), F.round(F.sum("volume"), 3).alias("volume"))
 
 
 @query("ss7_stateful_positions")
 def positions(spark, d):
-    """Positions that the stateful consumer opens and closes: closed bars go to files, which are its stream."""
-    folder = _checkpoint(spark)
+    """Positions that the stateful consumer opens and closes: closed bars go to files, which are its stream. A fold; tests compare it
+    with a plain loop."""
+    folder = tables.shared_folder(spark, "positions")
     stream_bars.to_files(stream_bars.bars(_file_stream(spark, d)), f"{folder}/bars", f"{folder}/state")
-    name = f"positions_{abs(hash(d)) % 10**8}_{tempfile.mktemp()[-6:].replace('_', 'x')}"
-    return stream_bars.drain(stream_bars.breakout_positions(stream_bars.bar_stream(spark, f"{folder}/bars")), name, f"{folder}/positions")
+    return stream_bars.drain(stream_bars.breakout_positions(stream_bars.bar_stream(spark, f"{folder}/bars")), f"{folder}/out")
+
+
+@query("ss9_distinct_payloads", "SELECT DISTINCT sha256(props) AS input_hash FROM events")
+def distinct_payloads(spark, d):
+    """Payloads by hash, each once while the watermark remembers it."""
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    rows = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").select(F.col("props").alias("payload"), F.col("ts").cast("timestamp").alias("ts"))
+    return stream_bars.drain(stream_bars.distinct_payloads(rows), tables.shared_folder(spark, "payloads")).select("input_hash").distinct()

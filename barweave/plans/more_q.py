@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from barweave.plans.catalogue import query
 from barweave.plans.evaluate_q import ALIGNED, BOLL, HEAD, STAT_OUT, VERDICT, boll_frame, cols4, moves, rounded, sweep_sql
 from barweave.plans.indicators_q import DAYS, folded
 from barweave.plans.strategy_q import RET, matrix
-from barweave.sources.tables import daily_bars, read
+from barweave.sources.tables import daily_bars, read, shared_folder
 
 MOM = stances.configs(["momentum"])
 
@@ -105,12 +104,13 @@ def archive_rows(spark, d):
     return back.select("config", F.substring_index("config", "[", 1).alias("family"), "horizon", F.round("oos_accuracy", 4).alias("oos_accuracy"))
 
 
-@query("src13_json_archive")
+@query("src13_json_archive", sweep_sql(MOM) + "SELECT config, horizon, slice, signals, round(accuracy, 6) AS accuracy FROM stat")
 def json_archive(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or ("/tmp/spark-archive" if spark.sparkContext.master.startswith("local") else None)
-    path = f"{base}/archive-{uuid.uuid4().hex}"
+    """A sweep written as JSON lines and read again with its schema."""
+    path = shared_folder(spark, "archive")
     momentum_stats(spark, d).write.json(path)
-    return spark.read.schema("config string, horizon int, slice string, signals long, accuracy double").json(path)
+    back = spark.read.schema("config string, horizon int, slice string, signals long, accuracy double").json(path)
+    return back.withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("sc01_sign", DAYS + f"SELECT symbol, ts, {q.sgn(f'close - lag(close) OVER ({q.W})')} AS s FROM bars")

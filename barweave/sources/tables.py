@@ -6,6 +6,9 @@ columns reach the scan.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +66,16 @@ def check_interval(interval: str) -> str:
     return interval
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; a local session may do with a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def in_range(bars: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Bars from ``start`` to ``end``, both included; a bound that is only a date covers its whole day."""
     if start:

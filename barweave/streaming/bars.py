@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,11 +29,23 @@ def bars(ticks: DataFrame, size: str = "60 minutes", late: str = "10 minutes") -
     return out.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is and returns what it emitted, from an in-memory table: for tests and small replays."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+BAR = "symbol string, ts timestamp, open double, high double, low double, close double, volume double"
+
+
+def drain(stream: DataFrame, folder: str) -> DataFrame:
+    """Runs a stream over what there is and returns what it appended, from Parquet files under ``folder``."""
+    to_files(stream, f"{folder}/rows", f"{folder}/checkpoint")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def frame(closed: DataFrame, now: DataFrame, include_current: bool = True) -> DataFrame:
+    """Closed bars, and, if asked for, the newest bar of each symbol among ``now`` that is not closed yet; ``current`` tells them apart."""
+    done = closed.withColumn("current", F.lit(False))
+    if not include_current:
+        return done
+    newest = Window.partitionBy("symbol").orderBy(F.desc("ts"))
+    open_ = now.join(closed.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
+    return done.unionByName(open_.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r").withColumn("current", F.lit(True)))
 
 
 def to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -43,7 +55,7 @@ def to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 def bar_stream(spark: SparkSession, path: str) -> DataFrame:
     """Closed bars as they appear in a folder."""
-    return spark.readStream.schema("symbol string, ts timestamp, open double, high double, low double, close double, volume double").parquet(path)
+    return spark.readStream.schema(BAR).parquet(path)
 
 
 def each_batch(stream: DataFrame, act, checkpoint: str):

@@ -42,7 +42,7 @@ def test_bars_of_ticks(spark):
 
 def test_streamed_bars_match_the_batch(spark, tmp_path):
     d = "/root/testdata/sf0.001"
-    out = stream.drain(stream.bars(stream.tick_stream(spark, f"{d}/events.parquet*")), "t_bars", str(tmp_path))
+    out = stream.drain(stream.bars(stream.tick_stream(spark, f"{d}/events.parquet*")), str(tmp_path))
     got = {tuple(r) for r in out.collect()}
     batch = {tuple(r) for r in stream.bars(tables.ticks(spark, d)).collect()}
     assert got <= batch and len(batch) - len(got) <= 5 * 2
