@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from barweave.llm.common import LOWER, NON_SPACE, discard, id_of, key_of, map_batches, materialise, prefix_sums, span_hashes, text_chunks, word_spans
 
 #: In how many shares the n-grams of an order are counted and joined; longer ones than these count as the last.
-SHARES = {1: 1, 2: 2, 3: 4}
+SHARES = {1: 1, 2: 3, 3: 6}
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

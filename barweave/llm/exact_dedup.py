@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barweave.llm.common import ascii_lower, map_batches, materialise
+from barweave.llm.common import MISSING, ascii_lower, id_of, key_of, map_batches, materialise
 
 SCHEMA = "id long, part int, run int, run_keep long, run_size long, sha string, edge string"
 
@@ -63,23 +63,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per document: id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
     Texts are equal if they are identical after lower-casing A-Z; null counts as empty, and all empty texts form one group.
-    ``keep`` names the identifier of a group that stays, ``smallest`` or ``largest``. Ids must be unique integers. An empty
-    table gives an empty result; other columns are ignored, whatever their names.
+    ``keep`` names the identifier of a group that stays, ``smallest`` or ``largest``. Ids are integers; rows of a group that share its
+    best id all stay, and rows without an id count as one id after all others. An empty table gives an empty result; other
+    columns are ignored, whatever their names.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is 'smallest' or 'largest'")
     best = F.min if keep == "smallest" else F.max
     rank = F.col("id") if keep == "smallest" else -F.col("id")
-    norm = docs.select(F.col(id_col).cast("long").alias("id"), ascii_lower(F.col(text_col)).alias("norm"))
+    norm = docs.select(key_of(id_col).alias("id"), ascii_lower(F.col(text_col)).alias("norm"))
     order = [F.substring("norm", 1, lead), F.xxhash64("norm"), rank]
     placed = norm.repartitionByRange(*order).sortWithinPartitions(order[0], order[1], "norm", rank)
     runs = materialise(placed.select("id", "norm").transform(map_batches, _runs, SCHEMA), "exact-runs")
     edges = runs.where("edge is not null")  # at most two rows a partition
     whole = edges.withColumn("keep_id", best("run_keep").over(Window.partitionBy("edge"))).withColumn("group_size", F.sum("run_size").over(Window.partitionBy("edge")))
     joined = whole.select("part", "run", "keep_id", "group_size")
-    return runs.join(F.broadcast(joined), ["part", "run"], "left").select(
-        F.col("id").alias(id_col),
-        F.coalesce("keep_id", "run_keep").alias("keep_id"),
+    return runs.join(joined, ["part", "run"], "left").select(  # Spark broadcasts it while it is small
+        id_of().alias(id_col),
+        F.nullif(F.coalesce("keep_id", "run_keep"), F.lit(MISSING)).alias("keep_id"),
         F.coalesce("group_size", "run_size").alias("group_size"),
         (F.col("id") == F.coalesce("keep_id", "run_keep")).alias("kept"),
         F.col("sha").alias("text_sha256"),
