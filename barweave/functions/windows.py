@@ -30,24 +30,23 @@ class Shared:
     def __exit__(self, *_) -> None:
         Shared.open = None
 
-    def name(self, key: tuple, column: Column) -> Column:
+    def name(self, key: tuple, make) -> Column:
         if key not in self.columns:
-            self.columns[key] = (f"_w{len(self.columns)}", column)
+            self.columns[key] = (f"_w{len(self.columns)}", make())
         return F.col(self.columns[key][0])
 
     def on(self, bars):
         return bars.select("*", *(c.alias(n) for n, c in self.columns.values())) if self.columns else bars
 
 
-def _shared(key: tuple, column: Column) -> Column:
-    return Shared.open.name(key, column) if Shared.open else column
+def _shared(key: tuple, make) -> Column:
+    return Shared.open.name(key, make) if Shared.open else make()
 
 
 def _guarded(agg, x, n: int, prior: bool = False) -> Column:
-    frame = by_symbol().rowsBetween(-n, -1) if prior else by_symbol().rowsBetween(-(n - 1), 0)
-    value = agg(col(x))
-    full = _shared(("count", str(col(x)), n, prior), F.count(col(x)).over(frame)) == n
-    return F.when(full, _shared((str(value), n, prior), value.over(frame)))
+    frame = lambda: by_symbol().rowsBetween(-n, -1) if prior else by_symbol().rowsBetween(-(n - 1), 0)
+    full = _shared(("count", str(x), n, prior), lambda: F.count(col(x)).over(frame())) == n
+    return F.when(full, _shared((agg.__name__, str(x), n, prior), lambda: agg(col(x)).over(frame())))
 
 
 def sma(x, n: int) -> Column:
@@ -73,15 +72,14 @@ def lowest(x, n: int, prior: bool = False) -> Column:
 
 def quantile(x, n: int, q: float) -> Column:
     """Exact, interpolated between neighbours; the quantiles of one frame read the same sorted array."""
-    frame = by_symbol().rowsBetween(-(n - 1), 0)
-    values = _shared(("sorted", str(col(x)), n), F.sort_array(F.collect_list(col(x)).over(frame)))
+    values = _shared(("sorted", str(x), n), lambda: F.sort_array(F.collect_list(col(x)).over(by_symbol().rowsBetween(-(n - 1), 0))))
     place = (n - 1) * q
     low, high = F.get(values, F.lit(int(place))), F.get(values, F.lit(min(int(place) + 1, n - 1)))
     return F.when(F.size(values) == n, low + (high - low) * (place - int(place)))
 
 
 def lag(x, n: int = 1) -> Column:
-    return _shared(("lag", str(col(x)), n), F.lag(col(x), n).over(by_symbol()))
+    return _shared(("lag", str(x), n), lambda: F.lag(col(x), n).over(by_symbol()))
 
 
 def lead(x, n: int = 1) -> Column:
