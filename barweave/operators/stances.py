@@ -205,11 +205,11 @@ def prepare(bars: DataFrame) -> DataFrame:
     return out.withColumn("atrp", ATR() / C()) if "atr" in bars.columns else out
 
 
-def stances(bars: DataFrame, chosen=None) -> DataFrame:
-    """Bars with one column for each configuration, named by its label; ``chosen`` as of ``configs``."""
+def stances(bars: DataFrame, chosen=None, grid: dict | None = None) -> DataFrame:
+    """Bars with one column for each configuration, named by its label; ``chosen`` as of ``configs``, families as in ``grid``."""
     chosen, prepared = configs() if chosen is None else chosen, prepare(bars)
     with Shared() as shared:
-        made = [GRID[f][0](**p).cast("int").alias(name) for name, f, p in chosen]
+        made = [(grid or GRID)[f][0](**p).cast("int").alias(name) for name, f, p in chosen]
     return shared.on(prepared).select(*prepared.columns, *made)
 
 

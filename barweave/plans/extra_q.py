@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barweave.functions import scalars
-from barweave.operators import claims, evaluate, stances
+from barweave.operators import claims, evaluate, search, stances
 from barweave.plans import misc_q
 from barweave.plans import sqltext as q
 from barweave.plans.catalogue import query
@@ -101,3 +101,16 @@ def claim(spark, d):
     """What becomes of a claim's rules out of sample, each at its best horizon."""
     configs = claims.configs_of(claims.rules_of(spark, CLAIM))
     return rounded(claims.best_of_each(claims.tested(daily_bars(spark, d), configs)).select("config", "horizon", "oos_cond_edge_pp"))
+
+
+# ---------------------------------------------------------------- the search
+
+SEEDS = stances.configs(["momentum", "boll_reversion", "donchian", "drift_rider"])
+
+
+@query("fn19_generation", sweep_sql(SEEDS, search.HORIZONS) + VERDICT.replace("is_signals >= 300 AND oos_signals >= 150", "is_signals >= 200 AND oos_signals >= 100") + """, f AS (SELECT config, horizon, least(is_cond_edge_pp, oos_cond_edge_pp) AS fit FROM v WHERE oos_accuracy < 0.8),
+b AS (SELECT config, arg_max(horizon, row(fit, -horizon)) AS horizon, max(fit) AS fit FROM f GROUP BY config)
+SELECT config, horizon, round(fit, 4) AS fitness_pp FROM b ORDER BY fit DESC, config LIMIT 8""")
+def generation(spark, d):
+    """The elites of the search's first generation over a part of the grid."""
+    return rounded(search.elites(search.scored(daily_bars(spark, d), SEEDS)).select("config", "horizon", "fitness_pp"))
