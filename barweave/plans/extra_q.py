@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barweave.functions import scalars
-from barweave.operators import claims, evaluate, search, stances
+from barweave.operators import claims, evaluate, graph, notes, search, stances
+from barweave.operators.folds import with_folds
 from barweave.plans import misc_q
 from barweave.plans import sqltext as q
 from barweave.plans.catalogue import query
@@ -114,3 +115,57 @@ SELECT config, horizon, round(fit, 4) AS fitness_pp FROM b ORDER BY fit DESC, co
 def generation(spark, d):
     """The elites of the search's first generation over a part of the grid."""
     return rounded(search.elites(search.scored(daily_bars(spark, d), SEEDS)).select("config", "horizon", "fitness_pp"))
+
+
+# ---------------------------------------------------------------- notes
+
+NOTE_HEAD = sweep_sql(SEEDS) + VERDICT.rstrip() + """, w8 AS (SELECT config, arg_max(row(horizon, oos_cond_edge_pp, oos_signals, raw_60, real_edge), row(oos_cond_edge_pp, -horizon)) AS b FROM v GROUP BY config),
+cn AS (SELECT 'configs' AS folder, replace(replace(replace(config, '[', ' '), ']', ' '), ',', ', ') AS slug, 'Family [[' || split_part(config, '[', 1) || ']], best after ' || b[1] || ' bars: ' || printf('%+.1f', b[2]) || ' pp on ' || b[3] || ' signals. Verdict: '
+  || CASE WHEN b[5] THEN 'real-edge-claim' WHEN b[4] THEN 'drift-rider' ELSE 'no-edge' END || '.' AS body FROM w8),
+sn AS (SELECT 'symbols' AS folder, symbol AS slug, 'Daily bars: ' || count(*) || ', from ' || strftime(min(ts), '%Y-%m-%d') || ' to ' || strftime(max(ts), '%Y-%m-%d') || '. Part of [[Universe]].' AS body FROM bars GROUP BY symbol),
+nn AS (SELECT folder, trim(regexp_replace(slug, '\\s+', ' ', 'g')) AS slug, body FROM cn UNION ALL SELECT * FROM sn)
+"""
+
+
+def vault(spark, d):
+    """Notes of the symbols and of a part of the grid."""
+    bars = daily_bars(spark, d)
+    sweep = evaluate.sweep(stances.stances(with_folds(bars), SEEDS), [n for n, _, _ in SEEDS])
+    return notes.symbol_notes(bars).unionByName(notes.config_notes(sweep, F.to_date(F.lit("1998-12-01"))))
+
+
+@query("kg1_notes", NOTE_HEAD + "SELECT folder, slug, body FROM nn")
+def vault_notes(spark, d):
+    return vault(spark, d).select("folder", "slug", "body")
+
+
+@query("kg1_index", NOTE_HEAD + "SELECT folder, '## ' || upper(folder[1]) || folder[2:] || ' (' || count(*) || ')' || chr(10) || string_agg('- [[' || slug || ']]', chr(10) ORDER BY slug) AS section FROM nn GROUP BY folder")
+def vault_index(spark, d):
+    return notes.index_note(vault(spark, d))
+
+
+@query("src15_note_sink", DAYS + "SELECT 'symbols' AS folder, symbol AS slug FROM bars WHERE symbol <> 'LARGE' GROUP BY symbol")
+def note_sink(spark, d):
+    """Notes that were to be written, read from their folders; the note on one symbol is fresh."""
+    rows, path = notes.symbol_notes(daily_bars(spark, d)), tables.shared_folder(spark, "vault")
+    day = lambda x: F.to_date(F.lit(x))
+    old = rows.where("slug = 'LARGE'").select("slug", day("2024-01-31").alias("updated"), "data_through", F.lit(False).alias("pinned"))
+    notes.write_notes(rows, graph.decide(rows, old, day("2024-02-01")), path)
+    return spark.read.schema("slug string, ntype string, title string, body string, links array<string>, data_through date, folder string").json(path).select("folder", "slug")
+
+
+@query("vp11_edge_report", NOTE_HEAD + """, ar AS (SELECT count(*) AS rows, count(*) FILTER (real_edge) AS real, count(*) FILTER (raw_60 AND NOT real_edge) AS drift FROM v)
+SELECT rows AS archived, real AS real_edges, drift AS drift_riders, (SELECT string_agg(slug, '; ' ORDER BY e DESC, slug) FROM (SELECT config AS slug, b[2] AS e FROM w8 ORDER BY e DESC, slug LIMIT 10)) AS hall_of_fame, CAST(NULL AS BOOLEAN) AS searched FROM ar""")
+def edge_report(spark, d):
+    """The archive's figures beside the first ten of the hall of fame; what no search has made yet is null."""
+    sweep = evaluate.sweep(stances.stances(with_folds(daily_bars(spark, d)), SEEDS), [n for n, _, _ in SEEDS])
+    best = sweep.groupBy("config").agg(F.max("oos_cond_edge_pp").alias("e")).orderBy(F.desc("e"), "config").limit(10)
+    hall = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("e")).alias("e"), "config"))), lambda x: x["config"]), "; ").alias("hall_of_fame"))
+    figures = sweep.agg(F.count("*").alias("archived"), F.count_if(F.col("real_edge")).alias("real_edges"), F.count_if(F.col("drift_rider")).alias("drift_riders"))
+    return figures.join(hall).withColumn("searched", F.lit(None).cast("boolean"))
+
+
+@query("vp17_top_five", NOTE_HEAD + "SELECT config, round(max(oos_cond_edge_pp), 4) AS edge FROM v GROUP BY config ORDER BY max(oos_cond_edge_pp) DESC, config LIMIT 5")
+def top_five(spark, d):
+    sweep = evaluate.sweep(stances.stances(with_folds(daily_bars(spark, d)), SEEDS), [n for n, _, _ in SEEDS])
+    return sweep.groupBy("config").agg(F.round(F.max("oos_cond_edge_pp"), 4).alias("edge")).orderBy(F.desc("edge"), "config").limit(5)
