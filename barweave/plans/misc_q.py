@@ -209,7 +209,15 @@ def rules_in_text(spark, d):
     return claims(spark, d).select("conv_id", "turn", F.concat_ws(";", said).alias("rules"))
 
 
-query("vp10_briefing")(lambda s, d: news.briefing(news.last_change(daily_bars(s, d)), news.dedupe(news.headlines(read(s, d, "documents")))).select(F.to_json("cues").alias("cues"), "n", F.to_json("headlines").alias("headlines")))
+select("vp10_briefing", """SELECT (SELECT string_agg(symbol || '=' || printf('%+.2f', pct), ', ' ORDER BY symbol) FROM cu WHERE pct IS NOT NULL) AS cues, (SELECT count(*) FROM dd) AS n, (SELECT string_agg(title, chr(10) ORDER BY pos) FROM (SELECT * FROM dd ORDER BY pos LIMIT 10)) AS headlines""",
+    lambda s, d: briefing(s, d), q.with_(q.DAILY, CUES, HEADS, FIRST))
+
+
+def briefing(spark, d):
+    found = news.briefing(news.last_change(daily_bars(spark, d)), news.dedupe(news.headlines(read(spark, d, "documents"))))
+    cue = F.transform(F.map_entries("cues"), lambda c: F.concat(c["key"], F.lit("="), F.format_string("%+.2f", scalars.round_exact(c["value"], 2))))
+    return found.select(F.array_join(cue, ", ").alias("cues"), "n", F.array_join("headlines", "\n").alias("headlines"))
+
 
 # ---------------------------------------------------------------- the graph: links between pages
 

@@ -10,7 +10,7 @@ from barweave.functions import scalars
 from barweave.operators import evaluate as e
 from barweave.operators import news, stances
 from barweave.plans import sqltext as q
-from barweave.plans.catalogue import query
+from barweave.plans.catalogue import SQL, query
 from barweave.plans.evaluate_q import ALIGNED, BOLL, HEAD, STAT_OUT, VERDICT, boll_frame, cols4, moves, rounded, sweep_sql
 from barweave.plans.indicators_q import DAYS, folded
 from barweave.plans.strategy_q import RET, matrix
@@ -89,9 +89,10 @@ def guard(spark, d):
     return panel.agg(((F.count_distinct("symbol") >= 5) & (F.count_distinct("ts") >= 300)).alias("available"))
 
 
-@query("vp6_spread_rows")
+@query("vp6_spread_rows", f"SELECT * FROM ({SQL['ag19_cross_section']}) WHERE slice = 'is' AND signals >= 300 ORDER BY spread_pp DESC, lookback, horizon LIMIT 6")
 def spread_rows(spark, d):
-    rows = e.cross_section(daily_bars(spark, d)).where("slice = 'oos' and spread_pp > 0").where(F.col("signals") >= e.MIN_OOS)
+    """The widest spreads in sample; out of sample the six symbols here leave none above 0."""
+    rows = rounded(e.cross_section(daily_bars(spark, d))).where("slice = 'is'").where(F.col("signals") >= e.MIN_IS)
     return rows.orderBy(F.desc("spread_pp"), "lookback", "horizon").limit(6)
 
 
