@@ -75,6 +75,25 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, label: str, *order, name: str = "number") -> tuple[DataFrame, int]:
+    """``df`` as a stored table with the numbers 0, 1, 2 ... in ``name``, in the order of the given columns (any order if there are
+    none), and its number of rows. Rows are sorted by ranges; the driver sees one count a partition, never a row."""
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = materialise(df.withColumn(name, F.monotonically_increasing_id()), label)
+    part, place = F.shiftrightunsigned(name, 33).cast("int"), F.col(name).bitwiseAND((1 << 33) - 1)
+    sizes = {r.part: r.n for r in stored.groupBy(part.alias("part")).agg((F.max(place) + 1).alias("n")).collect()}
+    before, starts = 0, []
+    for p in range(max(sizes, default=-1) + 1):
+        starts.append(before)
+        before += sizes.get(p, 0)
+    if not before:
+        return stored, 0
+    out = stored.withColumn(name, F.element_at(F.lit(starts).cast("array<long>"), part + 1) + place)
+    out.stored_at = stored.stored_at
+    return out, before
+
+
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow(run, schema)`` for rows with long texts: batches of 8 MB at most, which each task holds several times over,
     unless the session sets another size than Spark's."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barweave.llm import backoff_lm, decontaminate, exact_dedup, html_text, line_dedup, minhash, secrets, sentencepiece_sampling, suffix_dedup, toxicity
+from barweave.llm import backoff_lm, decontaminate, exact_dedup, html_text, importance, line_dedup, minhash, prefix_trie, secrets, sentencepiece_sampling, suffix_dedup, topk_search, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +90,23 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_html_text, op5_line_dedup, op5_line_dedup_all, op6_exact_dedup, op7_minhash, op8_secrets, op9_backoff_lm, op10_suffix_dedup)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the conversations rebuilt with shared openings."""
+    return prefix_trie.trie(*prefix_trie.share_openings(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gumbel top 5 % of the documents of 20 words and more, by hashed n-gram gains towards the benchmark."""
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every row whose vec_id is divisible by 20."""
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_decontamination, op4_html_text, op5_line_dedup, op5_line_dedup_all, op6_exact_dedup, op7_minhash, op8_secrets, op9_backoff_lm, op10_suffix_dedup, op11_prefix_trie, op12_importance, op13_topk_search)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -116,7 +132,38 @@ SELECT doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_remo
 FROM (SELECT doc_id FROM documents) d LEFT JOIN y USING (doc_id)"""
 
 
+#: CRC-32 of a string without other than ASCII characters, from its table made by rule.
+CRC = """
+crc_table AS MATERIALIZED (SELECT list(v ORDER BY i) AS crc_of FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v
+  FROM range(256) r(i)))"""
+
+
+def _crc_sql(column: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({column}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c // 256, crc_of[(xor(c, b) % 256) + 1])), 4294967295)"
+
+
 ORACLES = {
+    "op11_prefix_trie": rf"""
+WITH {CRC},
+t AS (SELECT conv_id AS c, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS m, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list(m ORDER BY p) AS l FROM t GROUP BY c),
+h AS (SELECT c, l, {_crc_sql("CAST(c AS VARCHAR)")} % 4 AS h FROM l, crc_table),
+b AS MATERIALIZED (SELECT h.c, list_concat(coalesce(s.l, [])[1:h.h], h.l[h.h + 1:]) AS l FROM h LEFT JOIN l s ON s.c = h.c - h.c % 20),
+m AS MATERIALIZED (SELECT c, d, l[1:d] AS k, d = len(l) AS ends, CASE WHEN d > 0 THEN len(regexp_extract_all(l[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM b)),
+g AS MATERIALIZED (SELECT d, k, min(c) AS c, count(*) AS n, max(w) AS w, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '') AS ids FROM m GROUP BY d, k),
+n AS MATERIALIZED (SELECT m.c AS member, g.c, g.d FROM m JOIN g ON m.d = g.d AND m.k = g.k),
+p AS (SELECT g.c, g.d, g.n, g.w, g.ids, n.c AS parent FROM g LEFT JOIN n ON n.member = g.c AND n.d = g.d - 1),
+q AS (SELECT p.*, coalesce(x.n_children, 0) AS n_children FROM p LEFT JOIN (SELECT parent, d - 1 AS d, count(*) AS n_children FROM p WHERE d > 0 GROUP BY ALL) x ON x.parent = p.c AND x.d = p.d),
+s AS (SELECT n.c, n.d, count(*) FILTER (q.n_children = 0) AS n_leaves, sum((q.n - 1) * q.w) AS saved FROM q JOIN n ON n.member = q.c AND n.d <= q.d GROUP BY n.c, n.d)
+SELECT q.c AS conv_id, q.d AS depth, q.parent AS parent_conv_id, q.n AS n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(q.ids) AS ends_sha256
+FROM q JOIN s ON s.c = q.c AND s.d = q.d""",
+    "op13_topk_search": """
+WITH v AS (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.i, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.i <> c.i WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op9_backoff_lm": rf"""
 WITH l AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM l)),
