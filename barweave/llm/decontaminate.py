@@ -91,7 +91,9 @@ def _result(ids, starts, begin, end, doc, hit, items: list, with_spans: bool) ->
 
 
 def _listed(n: int, lengths: list[int] | None):
-    """(id, place, gram): the windows of items (their own length, ``lengths`` is None), or of texts in each of ``lengths``, as words."""
+    """(id or row, place, gram): the windows of items (their own length, ``lengths`` is None), or of texts in each of ``lengths``, as words."""
+
+    first = "id" if lengths is None else "row"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,10 +106,10 @@ def _listed(n: int, lengths: list[int] | None):
                         for column, x in zip(rows, (i, at, b" ".join(words[at : at + k]).decode()), strict=True):
                             column.append(x)
                 if len(rows[0]) > 20_000:
-                    yield pa.record_batch([pa.array(rows[0], batch.column(0).type), pa.array(rows[1], pa.int32()), pa.array(rows[2])], names=["id", "place", "gram"])
+                    yield pa.record_batch([pa.array(rows[0], batch.column(0).type), pa.array(rows[1], pa.int32()), pa.array(rows[2])], names=[first, "place", "gram"])
                     rows = [[], [], []]
             if rows[0]:
-                yield pa.record_batch([pa.array(rows[0], batch.column(0).type), pa.array(rows[1], pa.int32()), pa.array(rows[2])], names=["id", "place", "gram"])
+                yield pa.record_batch([pa.array(rows[0], batch.column(0).type), pa.array(rows[1], pa.int32()), pa.array(rows[2])], names=[first, "place", "gram"])
 
     return run
 
@@ -135,16 +137,18 @@ def _marked(with_spans: bool):
 
 
 def _joined(rows: DataFrame, items: DataFrame, n: int, with_spans: bool) -> DataFrame:
-    """The same by a join on the words of windows, for a benchmark of any size. Rows that share an id share their matches."""
+    """The same by a join on the words of windows, for a benchmark of any size."""
     windows = materialise(items.select(F.col("item").cast("string").alias("id"), "text").transform(map_batches, _listed(n, None), "id string, place int, gram string").select("gram", F.col("id").alias("item")).distinct(), "benchmark-windows")
     lengths = [r[0] for r in windows.select((F.length(F.regexp_replace("gram", "[^ ]", "")) + 1).alias("k")).distinct().orderBy("k").collect()]  # n at most
+    # Each row has a key of its own, written with it; ids may repeat or be missing.
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "contamination-rows")
     if not lengths:
-        matches = rows.select("id").where("false").withColumn("matches", F.lit(None).cast(MATCHES))
+        matches = rows.select("row").where("false").withColumn("matches", F.lit(None).cast(MATCHES))
     else:
-        met = rows.transform(map_batches, _listed(n, lengths), "id long, place int, gram string").join(windows.hint("merge"), "gram")
+        met = rows.select("row", "text").transform(map_batches, _listed(n, lengths), "row long, place int, gram string").join(windows.hint("merge"), "gram")
         words = F.length(F.regexp_replace("gram", "[^ ]", "")) + 1
-        matches = met.select("id", F.struct("place", words.alias("words"), "item").alias("m")).groupBy("id").agg(F.collect_set("m").alias("matches"))  # of one document
-    return rows.join(materialise(matches, "benchmark-matches").hint("merge"), "id", "left").select("id", "text", "matches").transform(map_batches, _marked(with_spans), SCHEMA)
+        matches = met.select("row", F.struct("place", words.alias("words"), "item").alias("m")).groupBy("row").agg(F.collect_set("m").alias("matches"))  # of one document
+    return rows.join(materialise(matches, "benchmark-matches").hint("merge"), "row", "left").select("id", "text", "matches").transform(map_batches, _marked(with_spans), SCHEMA)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", spans: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

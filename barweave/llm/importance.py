@@ -242,6 +242,6 @@ def brute_force(docs: list[tuple], target: list, percent: int = 5, least_words:
         h = int(hashlib.sha256(f"{seed}:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
         weight = sum(gain[b] for b in f)
         rows.append((d, words, len(f), weight, weight + floor(-1000 * log(-log((h + 0.5) / 4294967296)))))
-    may = sorted((r for r in rows if r[1] >= least_words), key=lambda r: (-r[4], r[0] is None, r[0] or 0, r[2]))
-    drawn = may[: percent * len(may) // 100]
-    return [(r[0], *r[2:], drawn.index(r) + 1 if r in drawn else None) for r in rows]
+    may = sorted((i for i, r in enumerate(rows) if r[1] >= least_words), key=lambda i: (-rows[i][4], rows[i][0] is None, rows[i][0] or 0, rows[i][2]))
+    drawn = {i: rank for rank, i in enumerate(may[: percent * len(may) // 100], 1)}
+    return [(r[0], *r[2:], drawn.get(i)) for i, r in enumerate(rows)]

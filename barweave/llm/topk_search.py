@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from barweave.llm.common import discard, id_of, key_of, map_batches, materialise, numbered
 
-#: Bins of a round are 2 ** BITS.
+#: A round tells BITS bits of a score, in 2 ** BITS bins.
 BITS = 8
 #: Scores beyond it on either side count as it, so differences fit 64 bits.
 MOST = 1 << 61
@@ -66,7 +66,8 @@ def _counter(wave, state):
     lowest up. Only bins that can hold the wanted place are sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, s, bins = wave.value, state.value, 1 << BITS
+        w, s = wave.value, state.value
+        bins = s["bins"]
         counts = np.zeros((len(w["numbers"]), bins), np.int64)
         for batch in batches:
             for q, numbers, _, scores, own in _blocks(batch, w):
@@ -106,10 +107,10 @@ def _keeper(wave, state):
     return run
 
 
-def _place(vectors: DataFrame, wave, low: np.ndarray, need: np.ndarray, shift: int, **more) -> list:
+def _place(vectors: DataFrame, wave, low: np.ndarray, need: np.ndarray, left: int, shift: int, **more) -> list:
     """(query, bin, before, n) of the bin in which each query's wanted place lies."""
     context = vectors.sparkSession.sparkContext
-    state = context.broadcast({"low": low, "need": need, "shift": shift, "tied": None} | more)
+    state = context.broadcast({"low": low, "need": need, "shift": shift, "bins": 1 << (left - shift), "tied": None} | more)
     rows = vectors.select("number", "id", "vector").transform(map_batches, _counter(wave, state), "query int, bin int, n long, need long")
     rows = rows.groupBy("query", "bin").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     upto = F.sum("n").over(Window.partitionBy("query").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
@@ -135,8 +136,8 @@ def _best(vectors: DataFrame, n_vectors: int, queries: DataFrame, k: int, larges
         left = (2 * reach + 1).bit_length()
         while left > 0 and (k - need + held).max() > 2 * k:
             shift = max(0, left - BITS)
-            for r in _place(vectors, wave, low, need, shift):
-                low[r.query] += ((1 << BITS) - 1 - r.bin) << shift
+            for r in _place(vectors, wave, low, need, left, shift):
+                low[r.query] += ((1 << (left - shift)) - 1 - r.bin) << shift
                 need[r.query] -= r.before
                 held[r.query] = r.n
             left = shift
@@ -144,13 +145,12 @@ def _best(vectors: DataFrame, n_vectors: int, queries: DataFrame, k: int, larges
         first, left = np.zeros(size, np.int64), n_vectors.bit_length()
         while left > 0 and tied.any():
             shift = max(0, left - BITS)
-            for r in _place(vectors, wave, first, need, shift, score=low, tied=tied):
+            for r in _place(vectors, wave, first, need, left, shift, score=low, tied=tied):
                 first[r.query] += r.bin << shift
                 until[r.query] = first[r.query] + (1 << shift)
                 need[r.query] -= r.before
                 held[r.query] = r.n
             left, tied = shift, tied & (k - need + held > 2 * k)
-        # A bin that was split no further holds scores above its lower edge too; those count as above.
     state = spark.sparkContext.broadcast({"score": low, "until": until})
     kept = vectors.select("number", "id", "vector").transform(map_batches, _keeper(wave, state), "query int, query_id long, number long, id long, score long")
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "number"))
