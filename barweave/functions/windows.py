@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+_keys = ["symbol"]
+
+
+@contextmanager
+def keyed(*keys: str):
+    """While it is open, windows are built over these keys instead of the symbol; see ``blocks``."""
+    before, _keys[:] = list(_keys), keys
+    try:
+        yield
+    finally:
+        _keys[:] = before
+
 
 def by_symbol():
-    return Window.partitionBy("symbol").orderBy("ts")
+    return Window.partitionBy(*_keys).orderBy("ts")
 
 
 def col(x) -> Column:
@@ -22,6 +36,7 @@ class Shared:
 
     def __init__(self):
         self.columns: dict[tuple, tuple[str, Column]] = {}
+        self.quantiles: dict[tuple, str] = {}
 
     def __enter__(self) -> "Shared":
         Shared.open = self
@@ -35,7 +50,14 @@ class Shared:
             self.columns[key] = (f"_w{len(self.columns)}", make())
         return F.col(self.columns[key][0])
 
+    def quantile(self, x: str, n: int, q: float) -> Column:
+        return F.col(self.quantiles.setdefault((x, n, q), f"_q{len(self.quantiles)}"))
+
     def on(self, bars):
+        if self.quantiles:
+            from barweave.functions import blocks  # it builds on this module
+
+            bars = blocks.rolling_quantiles(bars, [(*key, name) for key, name in self.quantiles.items()])
         return bars.select("*", *(c.alias(n) for n, c in self.columns.values())) if self.columns else bars
 
 
@@ -70,12 +92,11 @@ def lowest(x, n: int, prior: bool = False) -> Column:
     return _guarded(F.min, x, n, prior)
 
 
-def quantile(x, n: int, q: float) -> Column:
-    """Exact, interpolated between neighbours; the quantiles of one frame read the same sorted array."""
-    values = _shared(("sorted", str(x), n), lambda: F.sort_array(F.collect_list(col(x)).over(by_symbol().rowsBetween(-(n - 1), 0))))
-    place = (n - 1) * q
-    low, high = F.get(values, F.lit(int(place))), F.get(values, F.lit(min(int(place) + 1, n - 1)))
-    return F.when(F.size(values) == n, low + (high - low) * (place - int(place)))
+def quantile(x: str, n: int, q: float) -> Column:
+    """A column that ``Shared.on`` adds: the quantile of the last n bars, exact, interpolated between neighbours."""
+    if Shared.open is None:
+        raise ValueError("quantiles are columns of blocks.rolling_quantiles or of an open Shared")
+    return Shared.open.quantile(x, n, q)
 
 
 def lag(x, n: int = 1) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barweave.functions import blocks
 from barweave.functions.windows import by_symbol, forward_return, lag, lead
 
 # Fixed values of the sweep.
@@ -131,12 +132,10 @@ def rotation(bars: DataFrame, lookback: int = 126, top: int = 5, every: int = 21
 
 
 def curve_stats(returns: DataFrame, column: str, periods: int = 252) -> DataFrame:
-    """total_return_pct, cagr_pct, sharpe and max_dd_pct of one series of returns (a single group: use it on a short series)."""
-    run = Window.partitionBy(F.lit(0)).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    curve = returns.withColumn("_e", F.exp(F.sum(F.log1p(F.col(column))).over(run)))
-    curve = curve.withColumn("_d", F.col("_e") / F.max("_e").over(run) - 1)
-    final, n, sd = F.max_by("_e", "ts"), F.count("*"), F.stddev_samp(column)
-    return curve.agg(((final - 1) * 100).alias("total_return_pct"), ((F.pow(final, periods / n) - 1) * 100).alias("cagr_pct"), F.coalesce(F.avg(column) / F.nullif(sd, F.lit(0.0)) * (periods**0.5), F.lit(0.0)).alias("sharpe"), (F.min("_d") * 100).alias("max_dd_pct"))
+    """total_return_pct, cagr_pct, sharpe and max_dd_pct of one series of returns."""
+    rows = blocks.curve(returns.select("ts", F.coalesce(column, F.lit(0.0)).alias("_r")), "_r")
+    final, n, sd = F.max_by("equity", "ts"), F.count("*"), F.stddev_samp("_r")
+    return rows.agg(((final - 1) * 100).alias("total_return_pct"), ((F.pow(final, periods / n) - 1) * 100).alias("cagr_pct"), F.coalesce(F.avg("_r") / F.nullif(sd, F.lit(0.0)) * (periods**0.5), F.lit(0.0)).alias("sharpe"), (F.min("drawdown") * 100).alias("max_dd_pct"))
 
 
 def hold_trades(frame: DataFrame, horizon: int, cost: float = 0.0) -> DataFrame:

@@ -188,6 +188,18 @@ GRID = {
 }
 
 
+#: What the rules of a family read of ``folds.with_folds``; the others read none of it.
+READS = {
+    "ema_cross": ("ema",), "rsi_reversion": ("rsi",), "rsi_pro_trend": ("rsi",), "gap_fade": ("atr",), "vol_trend": ("ema", "atr"), "vol_reversion": ("atr",), "ensemble": ("ema", "macd", "supertrend"),
+    "adaptive_rsi": ("rsi",), "rsi_ma_vol": ("rsi",),
+}
+
+
+def reads(families) -> tuple[str, ...]:
+    """What the rules of some families read of ``folds.with_folds``, for its ``want``."""
+    return tuple(sorted({x for f in families for x in READS.get(f, ())}))
+
+
 def label(family: str, params: dict) -> str:
     return f"{family}[{','.join(f'{k}={v}' for k, v in params.items())}]"
 
@@ -197,11 +209,15 @@ def configs(families=None) -> list[tuple[str, str, dict]]:
     return [(label(f, p), f, p) for f, (_, grid) in GRID.items() if families is None or f in families for p in grid]
 
 
-def prepare(bars: DataFrame) -> DataFrame:
-    """Adds what several rules read: step (change of the close), r (its relative change), night and tug (overnight return, and what
-    it leads the session's by), and atrp where there is an ``atr``."""
+def changes() -> dict[str, Column]:
+    """step (change of the close), r (its relative change), night and tug (overnight return, and what it leads the session's by)."""
     night = O() / lag("close") - 1
-    out = bars.withColumns({"step": C() - lag("close"), "r": change(1), "night": night, "tug": night - (C() / O() - 1)})
+    return {"step": C() - lag("close"), "r": change(1), "night": night, "tug": night - (C() / O() - 1)}
+
+
+def prepare(bars: DataFrame) -> DataFrame:
+    """Adds what several rules read: ``changes``, and atrp where there is an ``atr``."""
+    out = bars.withColumns(changes())
     return out.withColumn("atrp", ATR() / C()) if "atr" in bars.columns else out
 
 

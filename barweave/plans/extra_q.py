@@ -106,15 +106,34 @@ def claim(spark, d):
 
 # ---------------------------------------------------------------- the search
 
-SEEDS = stances.configs(["momentum", "boll_reversion", "donchian", "drift_rider"])
+SEEDS = stances.configs()
 
 
-@query("fn19_generation", sweep_sql(SEEDS, search.HORIZONS) + VERDICT.replace("is_signals >= 300 AND oos_signals >= 150", "is_signals >= 200 AND oos_signals >= 100") + """, f AS (SELECT config, horizon, least(is_cond_edge_pp, oos_cond_edge_pp) AS fit FROM v WHERE oos_accuracy < 0.8),
-b AS (SELECT config, arg_max(horizon, row(fit, -horizon)) AS horizon, max(fit) AS fit FROM f GROUP BY config)
-SELECT config, horizon, round(fit, 4) AS fitness_pp FROM b ORDER BY fit DESC, config LIMIT 8""")
+#: The rows of a sweep that the search counts, suspects, and each configuration at its fittest horizon.
+FIT = f""", vs AS (SELECT *, least(is_cond_edge_pp, oos_cond_edge_pp) AS fit, oos_accuracy >= 0.8 AS suspect FROM w WHERE is_signals >= 200 AND oos_signals >= 100 AND horizon IN {search.HORIZONS}),
+fb AS (SELECT config, arg_max(horizon, row(fit, -horizon)) AS horizon, max(fit) AS fit, arg_max(oos_cond_edge_pp, row(fit, -horizon)) AS edge, arg_max(oos_signals, row(fit, -horizon)) AS signals FROM vs WHERE NOT suspect GROUP BY config)
+"""
+
+
+def searched(spark, d, generations: int = 1):
+    """The search over the whole grid, in a folder of its own."""
+    return search.evolve(daily_bars(spark, d), tables.shared_folder(spark, "search"), generations)
+
+
+@query("fn19_generation", sweep_sql(SEEDS) + VERDICT + FIT + "SELECT config, horizon, round(fit, 4) AS fitness_pp FROM fb ORDER BY fit DESC, config LIMIT 8")
 def generation(spark, d):
-    """The elites of the search's first generation over a part of the grid."""
-    return rounded(search.elites(search.scored(daily_bars(spark, d), SEEDS)).select("config", "horizon", "fitness_pp"))
+    """The elites of the search's first generation, read from its table."""
+    return rounded(search.elites(searched(spark, d).where("horizon is not null")).select("config", "horizon", "fitness_pp"))
+
+
+@query("fn19_search")
+def search_of_three(spark, d):
+    """Three generations, of which the last is added by a later call; children are drawn by hashes, so tests compare this with a run in one
+    go."""
+    folder = tables.shared_folder(spark, "search")
+    for n in (2, 3):
+        rows = search.evolve(daily_bars(spark, d), folder, n)
+    return rounded(search.hall_of_fame(rows).select("config", "family", "horizon", "fitness_pp", "oos_signals"))
 
 
 # ---------------------------------------------------------------- notes
@@ -154,18 +173,19 @@ def note_sink(spark, d):
     return spark.read.schema("slug string, ntype string, title string, body string, links array<string>, data_through date, folder string").json(path).select("folder", "slug")
 
 
-@query("vp11_edge_report", NOTE_HEAD + """, ar AS (SELECT count(*) AS rows, count(*) FILTER (real_edge) AS real, count(*) FILTER (raw_60 AND NOT real_edge) AS drift FROM v)
-SELECT rows AS archived, real AS real_edges, drift AS drift_riders, (SELECT string_agg(slug, '; ' ORDER BY e DESC, slug) FROM (SELECT config AS slug, b[2] AS e FROM w8 ORDER BY e DESC, slug LIMIT 10)) AS hall_of_fame, CAST(NULL AS BOOLEAN) AS searched FROM ar""")
+@query("vp11_edge_report", NOTE_HEAD + FIT + """, ar AS (SELECT count(*) AS archived, count(*) FILTER (real_edge) AS real_edges, count(*) FILTER (raw_60 AND NOT real_edge) AS drift_riders FROM v),
+ch AS (SELECT * FROM fb ORDER BY fit DESC, config LIMIT 1)
+SELECT archived, real_edges, drift_riders, 1 AS generations, 61 AS configs_tried, (SELECT count(*) FROM vs WHERE suspect) AS suspects, 'budget of 1 generations' AS last_stop,
+  (SELECT string_agg(config, '; ' ORDER BY fit DESC, config) FROM (SELECT * FROM fb ORDER BY fit DESC, config LIMIT 10)) AS hall_of_fame, (SELECT config FROM ch) AS champion,
+  coalesce((SELECT edge / (100 * sqrt(0.25 / greatest(signals, 1))) > sqrt(2 * ln(61)) + 1 FROM ch), false) AS meaningful FROM ar""")
 def edge_report(spark, d):
-    """The archive's figures beside the first ten of the hall of fame; what no search has made yet is null."""
+    """The archive's figures beside the search's: generations, tried, suspects, hall of fame and whether its champion beats luck."""
     sweep = evaluate.sweep(stances.stances(with_folds(daily_bars(spark, d)), SEEDS), [n for n, _, _ in SEEDS])
-    best = sweep.groupBy("config").agg(F.max("oos_cond_edge_pp").alias("e")).orderBy(F.desc("e"), "config").limit(10)
-    hall = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("e")).alias("e"), "config"))), lambda x: x["config"]), "; ").alias("hall_of_fame"))
     figures = sweep.agg(F.count("*").alias("archived"), F.count_if(F.col("real_edge")).alias("real_edges"), F.count_if(F.col("drift_rider")).alias("drift_riders"))
-    return figures.join(hall).withColumn("searched", F.lit(None).cast("boolean"))
+    return figures.join(F.broadcast(search.report(searched(spark, d), 1)))
 
 
-@query("vp17_top_five", NOTE_HEAD + "SELECT config, round(max(oos_cond_edge_pp), 4) AS edge FROM v GROUP BY config ORDER BY max(oos_cond_edge_pp) DESC, config LIMIT 5")
+@query("vp17_top_five", NOTE_HEAD + FIT + "SELECT config, round(edge, 4) AS edge FROM fb ORDER BY fit DESC, config LIMIT 5")
 def top_five(spark, d):
-    sweep = evaluate.sweep(stances.stances(with_folds(daily_bars(spark, d)), SEEDS), [n for n, _, _ in SEEDS])
-    return sweep.groupBy("config").agg(F.round(F.max("oos_cond_edge_pp"), 4).alias("edge")).orderBy(F.desc("edge"), "config").limit(5)
+    """The first five of the search's hall of fame."""
+    return search.hall_of_fame(searched(spark, d), 5).select("config", F.round("oos_cond_edge_pp", 4).alias("edge"))

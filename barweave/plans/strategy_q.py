@@ -214,6 +214,7 @@ def comparison(spark, d):
 
 # ---------------------------------------------------------------- audit
 
+#: None of these reads a recursive indicator.
 SMALL = stances.configs(["momentum", "boll_reversion", "donchian", "drift_rider", "tri_ma"])
 RET = HEAD + q.stance_rows(SMALL) + f""",
 f0 AS (SELECT symbol, ts, lead(close) OVER ({q.W}) / close - 1 AS f FROM base), f1 AS (SELECT symbol, ts, f - avg(f) OVER (PARTITION BY ts) AS f FROM f0),
@@ -223,7 +224,7 @@ m AS (SELECT * FROM m0 WHERE config IN (SELECT config FROM m0 GROUP BY config HA
 
 
 def matrix(spark, d):
-    frame = stances.stances(with_folds(daily_bars(spark, d)), SMALL)
+    frame = stances.stances(daily_bars(spark, d), SMALL)
     return audit.strategy_returns(frame, [n for n, _, _ in SMALL])
 
 
@@ -347,7 +348,7 @@ def full_audit(spark, d):
 
 @query("fn21_search_verdict", sweep_sql(SMALL) + "SELECT config, horizon, cond_edge_pp / (100 * sqrt(0.25 / greatest(signals, 1))) > sqrt(2 * ln(427)) + 1 AS beats_luck FROM stat WHERE slice = 'oos'")
 def search_verdict(spark, d):
-    frame = stances.stances(with_folds(daily_bars(spark, d)), SMALL)
+    frame = stances.stances(daily_bars(spark, d), SMALL)
     counts, base = evaluate.sweep_counts(evaluate.split(frame), [n for n, _, _ in SMALL])
     rows = evaluate.slice_stats(counts, base).where("slice = 'oos'")
     return rows.select("config", "horizon", audit.search_verdict(F.col("cond_edge_pp"), F.col("signals"), F.lit(427.0)).alias("beats_luck"))
@@ -355,7 +356,7 @@ def search_verdict(spark, d):
 
 @query("fn22_significance", sweep_sql(SMALL) + "SELECT config, horizon, slice, CASE WHEN abs(cond_edge_pp) > 2 * sqrt(0.25 / signals) * 100 THEN 'significant' ELSE 'noise' END AS reading FROM stat")
 def significance(spark, d):
-    frame = stances.stances(with_folds(daily_bars(spark, d)), SMALL)
+    frame = stances.stances(daily_bars(spark, d), SMALL)
     counts, base = evaluate.sweep_counts(evaluate.split(frame), [n for n, _, _ in SMALL])
     bar = 2 * F.sqrt(0.25 / F.col("signals")) * 100
     return evaluate.slice_stats(counts, base).select("config", "horizon", "slice", F.when(F.abs("cond_edge_pp") > bar, "significant").otherwise("noise").alias("reading"))

@@ -1,7 +1,6 @@
 """The search for configurations, claims from their text to a verdict, exact rounding and character references."""
 
 import html
-import json
 
 import numpy as np
 import pytest
@@ -20,30 +19,52 @@ def rising(spark):
     return frames[0].unionByName(frames[1]).cache()
 
 
-def test_a_look_ahead_is_kept_apart(rising):
+def test_a_look_ahead_is_kept_apart(rising, tmp_path):
     grid = {"cheat": (lambda: scalars.sign(lead("close", 1) - F.col("close")), [{}])}
-    state = search.evolve(rising, 1, seed=1, horizons=(1,), min_is=50, min_oos=50, grid=grid)
-    assert [s["config"] for s in state["suspects"]] == ["cheat[]"] and state["hall_of_fame"] == [] and not search.verdict(state)["meaningful"]
+    rows = search.evolve(rising, str(tmp_path / "s"), 1, horizons=(1,), min_is=50, min_oos=50, grid=grid)
+    assert [(r.config, r.suspect) for r in rows.collect()] == [("cheat[]", True)] and search.hall_of_fame(rows).count() == 0
+    said = search.report(rows, 1).first()
+    assert (said.suspects, said.configs_tried, said.champion, said.meaningful) == (1, 1, None, False)
 
 
-def test_the_search_goes_on_from_its_state(rising):
+def test_a_search_that_stops_goes_on_as_if_it_had_not(rising, tmp_path):
     grid = {k: stances.GRID[k] for k in ("ema_cross", "drift_rider", "always_long")}
-    state = search.evolve(rising, 2, seed=3, horizons=(3, 5), min_is=50, min_oos=50, grid=grid)
-    fits = [w["fitness_pp"] for w in state["hall_of_fame"]]
-    assert state["generations"] == 2 and state["last_stop"] and fits == sorted(fits, reverse=True) and fits
-    later = search.evolve(rising, 1, seed=4, horizons=(3, 5), min_is=50, min_oos=50, grid=grid, state=json.loads(search.to_json(state)))
-    assert later["configs_tried"] > state["configs_tried"] and later["generations"] == 3
-
-
-def test_changes_repeat_with_their_seed_and_keep_their_order():
-    for family, (_, grid) in stances.GRID.items():
-        for params in grid:
-            one, two = (search.changed(family, params, np.random.default_rng(7)) for _ in range(2))
-            assert one == two and set(one) == set(params)
-            rising = [one[k] for k in search.RISING.get(family, ())]
-            assert all(a < b for a, b in zip(rising, rising[1:]))
-    small = {"hall_of_fame": [{"config": "x", "oos_cond_edge_pp": 2.0, "oos_signals": 200}], "configs_tried": 300}
-    assert not search.verdict(small)["meaningful"]
+    go = lambda name, n: search.evolve(rising, str(tmp_path / name), n, seed=3, horizons=(3, 5), min_is=50, min_oos=50, grid=grid)
+    whole = go("whole", 3)
+    go("parts", 1)
+    # The driver is lost while it writes the second generation: what is there of it has no _SUCCESS.
+    (tmp_path / "parts" / "generation=1").mkdir()
+    (tmp_path / "parts" / "generation=1" / "part-0.parquet").write_bytes(b"torn")
+    parts = go("parts", 3)
+    key = lambda rows: sorted(map(str, rows.collect()))
+    assert key(whole) == key(parts)
+    tried = whole.groupBy("generation").agg(F.count_distinct("config").alias("n")).orderBy("generation").collect()
+    assert [r.generation for r in tried] == list(range(len(tried))) and tried[0].n == 6 and len(tried) >= 2
+    fits = [r.fitness_pp for r in search.hall_of_fame(whole).collect()]
+    assert fits and fits == sorted(fits, reverse=True)
+    assert search.report(whole, 3).first().configs_tried == sum(r.n for r in tried)
+
+
+def test_slow_progress_adds_up():
+    assert search.stalled([1.0, 1.04, 1.08]) == 0 and search.stalled([1.0, 1.04]) == 1 and search.stalled([1.0, 1.04, 1.03]) == 2
+    assert search.stalled([None, None]) == 2 and search.stalled([]) == 0 and search.stalled([None, 0.5, 0.5]) == 1
+
+
+def test_changes_keep_their_limits_and_their_order(spark):
+    every = search.seeds(spark, stances.GRID)
+    labels = {name for name, _, _ in stances.configs()}
+    assert {r.config for r in every.collect()} == labels
+    once, twice, other = (sorted(map(str, search.changed(every, s, 1, children=20).collect())) for s in (7, 7, 8))
+    assert once == twice != other
+    for r in search.changed(every, 7, 1, children=20).collect():
+        params = {p["name"]: p for p in r["params"]}
+        assert r.config == stances.label(r.family, {k: p["text"] if p["text"] is not None else int(p["number"]) if p["whole"] else p["number"] for k, p in params.items()})
+        rising = [params[k]["number"] for k in search.RISING.get(r.family, ())]
+        assert all(a < b for a, b in zip(rising, rising[1:]))
+        for name, p in params.items():
+            if p["text"] is None and name not in search.RISING.get(r.family, ()):
+                least, most = search.BOUNDS.get(r.family, {}).get(name, (2 if p["whole"] else 0.01, 500))
+                assert least <= p["number"] <= most
 
 
 def test_claims(spark, rising):
