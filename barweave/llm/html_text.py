@@ -53,9 +53,12 @@ SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.15, 0.30, 0.2
 
 #: Class names and ids that say what else is on a page or where a part stands, not what it is.
 STATES = frozenset("has with no without is not".split())
+#: A name with one of these is a phrase of its own.
+PHRASE = frozenset("of and the".split())
 INNER = frozenset("entry post article page story section content title".split())
 #: Sentences end, or pause, with these, in any language that has them.
 PAUSE = re.compile(r"[.!?,;:\u3002\uff0c\uff01\uff1f\u3001\u061f\u060c\u0964]")
+ENDING = re.compile(r"[.!?\u3002\uff01\uff1f\u061f\u0964][\"')\u201d\u00bb]*$")
 WIDE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\u0e00-\u0e7f]")
 
 
@@ -113,9 +116,9 @@ class _Tags:
 
 
 def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[int, bool]:
-    """-1 for a container without article text, 1 for an article, else 0; and whether only a class name or an id says so."""
+    """-1 for a container without article text, 1 for an article, else 0; and whether only a class name, an id or a form says so."""
     if tag in BAD_TAGS or tag == "header" and not inside_article:
-        return -1, False
+        return -1, tag == "form"  # whole pages stand in a form
     kind = 1 if tag in GOOD_TAGS else 0
     if attributes:
         if HIDDEN.search(attributes):
@@ -130,7 +133,7 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[int, bool]:
                     found = BAD_NAMES.intersection(words)
                     if inside_article and INNER.intersection(words):
                         found -= {"header", "masthead", "banner"}
-                    if found and words[0] not in STATES:
+                    if found and words[0] not in STATES and not PHRASE.intersection(words):
                         return -1, True
     return kind, False
 
@@ -199,7 +202,7 @@ def blocks(html: str) -> list[Block]:
                 if kind:
                     close()
                 if kind > 0 and not seen_article:
-                    # Wrappers that only their names condemn hold the page's first article: the names were no help.
+                    # Wrappers that only their names condemn, or forms, hold the page's first article: the names were no help.
                     seen_article = True
                     for k, (name, other) in enumerate(stack):
                         if other == -2:
@@ -225,7 +228,8 @@ def classify(found: list[Block], short: int = SHORT, long: int = LONG, stop_low:
         elif article:
             label.append(False if not b.good else True if b.heading or density <= 0.5 else None)
         elif density > links:
-            label.append(False)
+            # A sentence that is not all link goes with its neighbours.
+            label.append(None if density < 1 and ENDING.search(b.text) and len(WORD.findall(b.text)) > 3 else False)
         elif len(b.text) < short:
             label.append(None if not b.linked else False)
         else:

@@ -142,7 +142,25 @@ def _crc_sql(column: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({column}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c // 256, crc_of[(xor(c, b) % 256) + 1])), 4294967295)"
 
 
+WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The table of CRC-32, made by rule.
+CRC_OF = f"[{','.join(map(str, importance.TABLE.tolist()))}]"
+
 ORACLES = {
+    "op12_importance": rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '{WORDS}') AS w FROM documents),
+b AS (SELECT regexp_extract_all({LOWERED}, '{WORDS}') AS w FROM benchmark),
+dg AS MATERIALIZED (SELECT r, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS n FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (VALUES (1), (2), (3)) v(k)) GROUP BY ALL),
+bg AS MATERIALIZED (SELECT array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS n FROM (SELECT w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b, (VALUES (1), (2), (3)) v(k)) GROUP BY ALL),
+h AS (SELECT g, hex(encode(g)) AS x FROM (SELECT g FROM dg UNION SELECT g FROM bg)),
+c AS MATERIALIZED (SELECT g, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c // 256, {CRC_OF}[(xor(c, b) % 256) + 1])), 4294967295) % 10000 AS bucket FROM h),
+s AS (SELECT bucket, sum(n) AS n FROM dg JOIN c USING (g) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS n FROM bg JOIN c USING (g) GROUP BY bucket),
+gain AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1) * ((SELECT sum(n) FROM s) + 10000)::DOUBLE / ((s.n + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (bucket)),
+f AS (SELECT r, sum(dg.n) AS n, sum(dg.n * gain) AS weight FROM dg JOIN c USING (g) JOIN gain USING (bucket) GROUP BY r),
+z AS (SELECT d.r, doc_id, len(w) AS words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+  CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN f USING (r)),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * (SELECT count(*) FROM k) // 100 THEN rank END AS rank FROM z LEFT JOIN k USING (r)""",
     "op11_prefix_trie": rf"""
 WITH {CRC},
 t AS (SELECT conv_id AS c, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS m, row_number() OVER (PARTITION BY conv_id

@@ -5,8 +5,9 @@ smoothing over 54 symbols: the letters of either case, a digit, anything else).
 one whose summed log ratio reaches a threshold, and that no pattern span overlaps, is added as kind ``markov``. Log ratios are
 kept in thousandths as integers, so sums don't depend on their order.
 
-A text is scanned in segments of some 4,000 characters, each ending before white space where no pattern can go on, so the
-work grows with a text's length and not with its square, and no match is cut; a longer run without such a place is one segment.
+A text is scanned in segments of some 4,000 characters, each ending where no pattern can go on: before a character that no match
+contains, such as a comma, a brace or a line break, or before blanks outside an assignment. So the work grows with a text's length and
+not with its square, and no match is cut; a longer run without such a place, such as one of key characters, is one segment.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"  # runs of [0-9a-f]+ of at least 24 characters: the same spans
 TOKEN = "[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
-#: Segments end at the first place after so many characters that no pattern spans: before a line break, or before blanks that stand
-#: between neither a name nor a mark and a mark of assignment.
-SEGMENT = r"(?s).{4000,}?(?:(?=\n)|(?<![:=\x20])(?=\x20+[^:=\x20])|\z)|.+"
+#: Segments end at the first place after so many characters that no pattern spans: before a character that no match contains, or before
+#: blanks that stand between neither a name nor a mark and a mark of assignment.
+SEGMENT = r"""(?s).{4000,}?(?:(?=[^A-Za-z0-9+/_.=:\x20"'-])|(?<![:=\x20])(?=\x20+[^:=\x20])|\z)|.+"""
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SYMBOLS = 54

@@ -44,3 +44,24 @@ def test_clashing_columns_and_nothing(spark):
     got = html_text.main_text(rows)
     assert sorted(got.columns) == ["_html", "html_", "page_id", "text"] and sorted(r.text for r in got.collect()) == ["", "a"]
     assert html_text.main_text(rows.where("false")).count() == 0
+
+
+PROSE = "The council met on Monday, and it was decided that the old bridge is to be repaired before the winter; the work will take three months, as the mayor said. "
+
+
+def test_a_form_around_the_page_does_not_condemn_it():
+    page = f"<form id='aspnetForm'><div class='menu'><a href=/>Home</a></div><div><article><p>{PROSE}</p></article></div><input value=x></form>"
+    assert html_text.extract(page) == PROSE.strip()
+    alone = f"<article><p>{PROSE}</p></article><form><p>Send us your address, please, and we will write.</p></form>"
+    assert html_text.extract(alone) == PROSE.strip()
+
+
+def test_a_linked_sentence_between_paragraphs_goes_with_them():
+    said = "See the long report of the committee on the state of the bridges."
+    page = f"<div><p>{PROSE * 2}</p><p>See <a href=x>the long report of the committee on the state of the bridges</a>.</p><p>{PROSE * 2}</p></div><div><a href=a>Home</a> | <a href=b>About</a></div>"
+    assert html_text.extract(page).split("\n")[1] == said and "Home" not in html_text.extract(page)
+
+
+def test_names_that_are_phrases_do_not_condemn():
+    page = f"<article><div class='tags-of-war'><p>{PROSE}</p></div><div class='post-tags'><p>news, bridges, council</p></div></article>"
+    assert html_text.extract(page) == PROSE.strip()

@@ -49,3 +49,18 @@ def test_ordinary_text_has_no_added_spans(spark):
     words = "The quick brown fox jumps over internationalization_settings and customerAddressLine2 in /usr/local/share/applications/defaults.list".split()
     text = " ".join(words * 300)
     assert [s.kind for s in scanned(spark, [text])[0]] == []
+
+
+def test_minified_json_is_scanned_in_proportion(spark):
+    import time
+
+    def took(n):
+        line = "{" + ",".join(f'"password":"abc{i:05d}xyz"' for i in range(n)) + "}"
+        rows = spark.createDataFrame([(1, line)], "doc_id long, text string")
+        began = time.time()
+        found = secrets.scan(rows).first()["spans"]
+        assert len(found) == n and [line[s["start"] : s["end"]] for s in found[:2]] == ['password":"abc00000xyz', 'password":"abc00001xyz']
+        return time.time() - began
+
+    took(500)
+    assert took(16_000) < 8 * took(4_000) + 2
