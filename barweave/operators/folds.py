@@ -85,7 +85,8 @@ def with_folds(bars: DataFrame, emas: tuple[int, ...] = EMAS, rsi_n: int = 14, a
     added = {f"ema_{n}": full[f"_e{n}"] for n in emas} if "ema" in want else {}
     if signal:
         line = F.col("_sig") + left["_sig"] * F.col("_begin._sig") + F.col("_sig12") * F.col("_begin._e12") - F.col("_sig26") * F.col("_begin._e26")
-        line, macd = F.when(first, 0.0).otherwise(line), full["_e12"] - full["_e26"]
+        macd = full["_e12"] - full["_e26"]
+        line = F.when(macd.isNotNull(), F.when(first, 0.0).otherwise(line))
         added |= {"macd": macd, "macd_signal": line, "macd_hist": macd - line}
     if "rsi" in want:
         added["rsi"] = F.coalesce(100 - 100 / (1 + full["_gain"] / F.nullif(full["_loss"], F.lit(0.0))), F.lit(100.0))

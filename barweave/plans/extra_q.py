@@ -14,6 +14,7 @@ from barweave.plans.catalogue import query
 from barweave.plans.evaluate_q import HOLD, VERDICT, fade, named_frame, rates_sql, rounded, sweep_sql
 from barweave.plans.indicators_q import DAYS
 from barweave.plans.misc_q import BARS
+from barweave.plans.strategy_q import LUCK_SQL, cdf_sql
 from barweave.sources import tables
 from barweave.sources.tables import daily_bars
 
@@ -85,10 +86,12 @@ def trades_of_all(spark, d):
     return rounded(both.groupBy("symbol").agg(F.count("*").alias("trades"), F.sum("net_ret").alias("net")))
 
 
-@query("sc05_exact_rounding", "SELECT i, CAST(printf('%.2f', i * 5 / 1000.0::DOUBLE) AS DOUBLE) AS two, CAST(printf('%.1f', i / 8.0::DOUBLE) AS DOUBLE) AS one, CAST(printf('%.0f', i / 2.0::DOUBLE) AS DOUBLE) AS whole FROM (SELECT range AS i FROM range(4000))")
+@query("sc05_exact_rounding", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(printf('%.2f', l_extendedprice * l_quantity / 1000) AS DOUBLE) AS two, CAST(printf('%.1f', l_quantity / 8) AS DOUBLE) AS one, CAST(printf('%.0f', l_quantity / 2) AS DOUBLE) AS whole FROM lineitem")
 def exact_rounding(spark, d):
-    i = F.col("id")
-    return spark.range(4000).select(i.alias("i"), scalars.round_exact(i * 5 / 1000.0, 2).alias("two"), scalars.round_exact(i / 8.0, 1).alias("one"), scalars.round_exact(i / 2.0, 0).alias("whole"))
+    """Figures of order lines, rounded by their binary value; halves go to the even neighbour."""
+    rows = tables.read(spark, d, "lineitem")
+    two, one, whole = scalars.round_exact(F.col("l_extendedprice") * F.col("l_quantity") / 1000, 2), scalars.round_exact(F.col("l_quantity") / 8, 1), scalars.round_exact(F.col("l_quantity") / 2, 0)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", two.alias("two"), one.alias("one"), whole.alias("whole"))
 
 
 # ---------------------------------------------------------------- claims
@@ -104,6 +107,31 @@ def claim(spark, d):
     return rounded(claims.best_of_each(claims.tested(daily_bars(spark, d), configs)).select("config", "horizon", "oos_cond_edge_pp"))
 
 
+#: The configurations that the texts of the given conversations and ``misc_q.CLAIMS`` speak of.
+CLAIMED = [
+    ("rsi_reversion", {"high": 75, "low": 25}), ("rsi_reversion", {"high": 70, "low": 20}), ("rsi_reversion", {"high": 70, "low": 30}), ("rsi_pro_trend", {"mid": 50}), ("rsi_ma_vol", {"dip": 35, "n": 50, "style": "dip", "vol_mult": 1.0}),
+    ("rsi_ma_vol", {"dip": 35, "n": 200, "style": "dip", "vol_mult": 1.0}), ("ema_cross", {"fast": 50, "slow": 200}), ("tri_ma", {"fast": 9, "mid": 21, "slow": 55}), ("boll_reversion", {"num_std": 2.0, "period": 20}), ("donchian", {"n": 20}), ("donchian", {"n": 52}),
+    ("momentum", {"lookback": 20}), ("momentum", {"lookback": 60}), ("ensemble", {"k": 3}),
+]
+CLAIMED = [(stances.label(f, p), f, p) for f, p in CLAIMED]
+RULES_CTE = misc_q.RULES.strip().removeprefix("WITH ").replace("SELECT conv_id, turn, array_to_string(", "ru AS (SELECT conv_id, turn, array_to_string(").rstrip() + ")"
+RULES_CTE = RULES_CTE.replace("\nru AS", ",\nru AS").replace("c AS (SELECT conv_id", "said AS (SELECT conv_id", 1).replace("FROM c)", "FROM said)").replace("n AS (SELECT *, coalesce", "nums AS (SELECT *, coalesce").replace("AS r FROM n)", "AS r FROM nums)").replace("r AS (SELECT conv_id, turn, [", "rl AS (SELECT conv_id, turn, [").replace(" AS rules FROM r)", " AS rules FROM rl)")
+
+
+@query("sc20_verdicts", sweep_sql(CLAIMED) + VERDICT.replace("is_signals >= 300 AND oos_signals >= 150", "is_signals >= 150 AND oos_signals >= 75").rstrip() + ",\n" + RULES_CTE + f""",
+tc AS (SELECT DISTINCT conv_id, turn, replace(replace(trim(x), '(', '['), ')', ']') AS config FROM (SELECT conv_id, turn, unnest(string_split(rules, ';')) AS x FROM ru) WHERE x <> ''),
+tv AS (SELECT conv_id, turn, arg_max(row(v.config, horizon, oos_signals, oos_cond_edge_pp), row(oos_cond_edge_pp, -horizon, v.config)) AS b, count(*) AS t FROM tc JOIN v ON v.config = tc.config GROUP BY ALL),
+te AS (SELECT conv_id, turn, b[1] AS best, b[2] AS horizon, b[4] AS edge, 100 * sqrt(0.25 / b[3]) AS se, t, CASE WHEN t >= 2 THEN {LUCK_SQL} ELSE 0 END AS luck FROM tv),
+tz AS (SELECT *, edge / se AS z FROM te),
+tw AS (SELECT *, 1 - pow(1 - (1 - ({cdf_sql('z')})), t) < 0.05 AND edge > se * luck AS survives FROM tz)
+SELECT ru.conv_id, ru.turn, tw.best, tw.horizon, coalesce(t, 0) AS trials, coalesce(survives, false) AS edge, CASE WHEN ru.rules = '' THEN 'no rule found' WHEN t IS NULL THEN 'too few signals' WHEN survives THEN 'survives' ELSE 'does not survive' END AS note
+FROM ru LEFT JOIN tw ON tw.conv_id = ru.conv_id AND tw.turn = ru.turn""")
+def verdicts(spark, d):
+    """A verdict on every text of the conversations, from one table of their configurations."""
+    found = claims.verdicts(daily_bars(spark, d), misc_q.claims(spark, d), ["conv_id", "turn"])
+    return found.select("conv_id", "turn", "best", "horizon", "trials", "edge", "note")
+
+
 # ---------------------------------------------------------------- the search
 
 SEEDS = stances.configs()

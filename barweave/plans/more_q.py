@@ -57,9 +57,16 @@ def config_bars(spark, d):
     return stances.unpivot(boll_frame(spark, d), [n for n, _, _ in BOLL], []).groupBy("config", "stance").agg(F.count("*").alias("bars"))
 
 
-@query("jn10_balanced_splits", "SELECT range AS mask FROM range(16384) WHERE bit_count(range::INT) = 7")
+@query("jn10_balanced_splits", "WITH b AS (SELECT CAST(dense_rank() OVER (ORDER BY n_regionkey * 100 + n_nationkey % 3) - 1 AS INT) AS block, CAST(round(c_acctbal * 100) AS BIGINT) AS cents FROM customer JOIN nation ON c_nationkey = n_nationkey), k AS (SELECT CAST(count(DISTINCT block) AS INT) // 2 * 2 AS n FROM b), s AS (SELECT block, sum(cents) AS s FROM b GROUP BY block), m AS (SELECT range AS mask FROM range(65536), k WHERE range < (1 << n) AND bit_count(range::INT) = n // 2) SELECT mask, CAST(sum(CASE WHEN (mask >> block) & 1 = 1 THEN s ELSE 0 END) AS BIGINT) AS one, CAST(sum(CASE WHEN (mask >> block) & 1 = 0 AND block < n THEN s ELSE 0 END) AS BIGINT) AS other FROM m, s, k GROUP BY mask")
 def splits(spark, d):
-    return spark.range(1 << 14).where(F.bit_count("id") == 7).select(F.col("id").alias("mask"))
+    """All balanced splits of the blocks that nations fall into, with the sums of balances, in cents, on either side."""
+    nation = read(spark, d, "nation").withColumn("key", F.col("n_regionkey") * 100 + F.col("n_nationkey") % 3)
+    sums = read(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("key").agg(F.sum(F.round(F.col("c_acctbal") * 100).cast("long")).alias("s"))
+    blocks = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "s"))), lambda x: x["s"]).alias("s"))  # 15 blocks at most
+    n = F.floor(F.size("s") / 2) * 2
+    masks = blocks.select("s", n.alias("n"), F.explode(F.expr("sequence(0, shiftleft(1, cast(floor(size(s) / 2) * 2 as int)) - 1)")).alias("mask")).where(F.bit_count("mask") == F.col("n") / 2)
+    side = lambda bit: F.aggregate(F.sequence(F.lit(0), F.col("n").cast("int") - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.when(F.getbit("mask", i) == bit, F.get("s", i)).otherwise(F.lit(0).cast("long")))
+    return masks.select(F.col("mask").cast("long").alias("mask"), side(1).alias("one"), side(0).alias("other"))
 
 
 @query("jn14_hall_of_fame", sweep_sql(MOM) + "SELECT config, arg_max(horizon, row(cond_edge_pp, -horizon)) AS horizon, round(max(cond_edge_pp), 4) AS edge FROM stat WHERE slice = 'oos' GROUP BY config")

@@ -10,8 +10,8 @@ from barweave.operators.folds import with_folds
 from barweave.plans import sqltext as q
 from barweave.plans.catalogue import query
 from barweave.plans.evaluate_q import HEAD, NUMBERED, VERDICT, full_sweep, rounded, sweep_sql
-from barweave.plans.indicators_q import FOLDED
-from barweave.sources.tables import daily_bars, intraday_bars
+from barweave.plans.indicators_q import DAYS, FOLDED
+from barweave.sources.tables import daily_bars, intraday_bars, read
 
 HOURS, FIVES = q.intraday(60, "hours"), q.intraday(5, "fives")
 DAILY_TREND = f"tr AS (SELECT symbol, ts, lag({q.EMA_CROSS}) OVER ({q.W}) AS trend FROM base)"
@@ -130,9 +130,14 @@ def charge(spark, d):
     return legs(spark, d).select("symbol", "ts", F.round(costs.charges(F.col("open"), F.col("close"), F.lit(10), F.col("side")), 4).alias("charges"))
 
 
-@query("sim4_round_trip_cost", "SELECT round(2 * 0.0003 + 0.00025 + 2 * 0.0000297 + 0.00003 + 2 * 0.0005 + 0.18 * (2 * 0.0003 + 2 * 0.0000297), 8)::DOUBLE AS cost")
+ROUND_TRIP = "(2 * 0.0003 + 0.00025 + 2 * 0.0000297 + 0.00003 + 2 * 0.0005 + 0.18 * (2 * 0.0003 + 2 * 0.0000297))"
+
+
+@query("sim4_round_trip_cost", DAYS + f"SELECT symbol, ts, round(close * {ROUND_TRIP}, 6) AS cost, close / open - 1 > {ROUND_TRIP} AS paid FROM bars")
 def round_trip(spark, d):
-    return spark.range(1).select(F.round(F.lit(costs.round_trip_pct()), 8).alias("cost"))
+    """What a round trip at each close costs a share, and whether the bar's own move would have paid for one."""
+    share = F.lit(costs.round_trip_pct())
+    return daily_bars(spark, d).select("symbol", "ts", F.round(F.col("close") * share, 6).alias("cost"), (F.col("close") / F.col("open") - 1 > share).alias("paid"))
 
 
 @query("sim5_position_size", FOLDED + "SELECT symbol, ts, CAST(CASE WHEN 1.5 * atr > 0 THEN floor(500 / abs(close - (close - side * 1.5 * atr))) ELSE 0 END AS INT) AS qty " + LEGS)
@@ -263,7 +268,7 @@ def overfit(spark, d):
     return rounded(audit.overfitting(matrix(spark, d)))
 
 
-GRID_P = "(SELECT (range + 1) / 100.0 AS p FROM range(99))"
+GRID_P = "(SELECT o_orderkey AS id, (o_orderkey % 997 + 1) / 999.0::DOUBLE AS p FROM orders)"
 A, B, C_, D_ = ((f"{x:.18g}" for x in v) for v in (scalars.PPF_A, scalars.PPF_B, scalars.PPF_C, scalars.PPF_D))
 A, B, C_, D_ = list(A), list(B), list(C_), list(D_)
 
@@ -281,15 +286,21 @@ def ppf_sql(p):
     return f"CASE WHEN {p} < 0.02425 THEN {tail(lo)} WHEN {p} > 0.97575 THEN -({tail(hi)}) ELSE {poly(A, m)} * ({p} - 0.5) / {poly([*B, '1.0'], m)} END"
 
 
-@query("fn2_norm_ppf", f"SELECT CAST(p AS DOUBLE) AS p, round({ppf_sql('p::DOUBLE')}, 6) AS z FROM {GRID_P}")
+@query("fn2_norm_ppf", f"SELECT id, round({ppf_sql('p')}, 6) AS z FROM {GRID_P}")
 def norm_ppf(spark, d):
-    return spark.range(99).select(((F.col("id") + 1) / 100.0).alias("p")).select("p", F.round(audit.norm_ppf(F.col("p")), 6).alias("z"))
+    """The quantile at a share that each order's key stands for."""
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.round(audit.norm_ppf((F.col("o_orderkey") % 997 + 1) / 999.0), 6).alias("z"))
+
+
+TRIALS = "(SELECT o_custkey AS id, count(*) + 1 AS t, var_samp(o_totalprice / 100000) AS v FROM orders GROUP BY o_custkey HAVING count(*) > 1)"
 
 
-@query("fn3_expected_max_sharpe", f"SELECT range + 2 AS trials, round(sqrt(0.04) * ((1 - 0.5772156649015329) * ({ppf_sql('(1 - 1.0::DOUBLE / (range + 2))')}) + 0.5772156649015329 * ({ppf_sql('(1 - 1.0::DOUBLE / ((range + 2) * exp(1)))')})), 6) AS luck FROM range(500)")
+@query("fn3_expected_max_sharpe", f"SELECT id, t AS trials, round(sqrt(v) * ((1 - 0.5772156649015329) * ({ppf_sql('(1 - 1.0::DOUBLE / t)')}) + 0.5772156649015329 * ({ppf_sql('(1 - 1.0::DOUBLE / (t * exp(1)))')})), 5) AS luck FROM {TRIALS}")
 def luck(spark, d):
-    n = F.col("id") + 2
-    return spark.range(500).select(n.alias("trials"), F.round(audit.expected_max_sharpe_column(F.lit(0.04), n), 6).alias("luck"))
+    """The largest ratio that luck shows in as many trials as a customer has orders, with their variance."""
+    n, v = F.count("*"), F.var_samp(F.col("o_totalprice") / 100000)
+    rows = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg((n + 1).alias("trials"), v.alias("v")).where("trials > 2")
+    return rows.select("id", "trials", F.round(audit.expected_max_sharpe_column(F.col("v"), F.col("trials")), 5).alias("luck"))
 
 
 def cdf_sql(x):
@@ -298,9 +309,10 @@ def cdf_sql(x):
     return f"CASE WHEN abs({x}) >= 5 THEN CAST({x} > 0 AS INT)::DOUBLE ELSE 0.5 + 1 / sqrt(pi()) * list_sum(list_transform(range(0, 90), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * pow({z}, 2 * k + 1) / (gamma(k + 1.0) * (2 * k + 1)))) END"
 
 
-@query("fn1_norm_cdf", f"SELECT CAST((range - 400) / 100.0 AS DOUBLE) AS x, round({cdf_sql('(range - 400) / 100.0::DOUBLE')}, 6) AS p FROM range(801)")
+@query("fn1_norm_cdf", f"SELECT id, round({cdf_sql('x')}, 6) AS p FROM (SELECT o_orderkey AS id, (o_totalprice - 250000) / 100000 AS x FROM orders)")
 def norm_cdf(spark, d):
-    return spark.range(801).select(((F.col("id") - 400) / 100.0).alias("x")).select("x", F.round(scalars.norm_cdf(F.col("x")), 6).alias("p"))
+    """The share of a normal distribution below each order's price."""
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.round(scalars.norm_cdf((F.col("o_totalprice") - 250000) / 100000), 6).alias("p"))
 
 
 LUCK_SQL = f"((1 - 0.5772156649015329) * ({ppf_sql('(1 - 1.0::DOUBLE / t)')}) + 0.5772156649015329 * ({ppf_sql('(1 - 1.0::DOUBLE / (t * exp(1)))')}))"
@@ -329,14 +341,14 @@ def family_wise(spark, d):
     return rounded(audit.family_wise(full_sweep(spark, d)).select("config", "p_single", "p_fwe", "luck_edge_pp", "survives"))
 
 
-@query("fn7_readings", """WITH g AS (SELECT CASE WHEN a.range = 10 THEN NULL ELSE (a.range + 0.2) / 10.0::DOUBLE END AS pbo, (b.range + 0.3) / 20.0::DOUBLE AS dsr, c.range = 1 AS fine FROM range(11) a, range(20) b, range(2) c)
-SELECT pbo, dsr, fine, pbo IS NOT NULL AND pbo < 0.5 AND dsr > 0.95 AND fine AS robust,
+@query("fn7_readings", """WITH g AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 10 THEN NULL ELSE (o_orderkey % 11 + 0.2) / 10.0::DOUBLE END AS pbo, (o_custkey % 20 + 0.3) / 20.0::DOUBLE AS dsr, o_orderstatus = 'O' AS fine FROM orders)
+SELECT id, pbo IS NOT NULL AND pbo < 0.5 AND dsr > 0.95 AND fine AS robust,
   concat_ws(' | ', CASE WHEN pbo IS NOT NULL THEN 'PBO ' || printf('%.0f', pbo * 100) || '% (' || CASE WHEN pbo >= 0.5 THEN 'overfit' ELSE 'robust' END || ')' END, 'DSR ' || printf('%.0f', dsr * 100) || '% (' || CASE WHEN dsr > 0.95 THEN 'sig' ELSE 'not sig' END || ')', 'FWE p ' || CASE WHEN fine THEN '0.01 (survives)' ELSE '0.99 (noise)' END) AS summary FROM g""")
 def readings(spark, d):
-    """What is read from grids of the three figures."""
-    grid = spark.range(440).select(F.when(F.col("id") % 11 < 10, (F.col("id") % 11 + 0.2) / 10.0).alias("pbo"), ((F.floor(F.col("id") / 11) % 20 + 0.3) / 20.0).alias("dsr"), (F.col("id") >= 220).alias("fine"))
-    found = audit.reading(grid.withColumns({"significant": F.col("dsr") > audit.SIGNIFICANT, "p_fwe": F.when(F.col("fine"), 0.01).otherwise(0.99), "survives": F.col("fine")}))
-    return found.select("pbo", "dsr", "fine", "robust", "summary")
+    """What is read from three figures that each order stands for."""
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 11 < 10, (F.col("o_orderkey") % 11 + 0.2) / 10.0).alias("pbo"), ((F.col("o_custkey") % 20 + 0.3) / 20.0).alias("dsr"), (F.col("o_orderstatus") == "O").alias("fine"))
+    found = audit.reading(rows.withColumns({"significant": F.col("dsr") > audit.SIGNIFICANT, "p_fwe": F.when(F.col("fine"), 0.01).otherwise(0.99), "survives": F.col("fine")}))
+    return found.select("id", "robust", "summary")
 
 
 @query("fn8_audit")
