@@ -4,8 +4,8 @@ Each text's set of word shingles gives 128 minima. Bands of the full minima give
 bits are kept, packed into four longs, and the similarity of a candidate pair is estimated from the equal two-bit fields by
 ``bit_count``, corrected for chance collisions (``p = J + (1 - J) / 4``). Pairs that pass are confirmed on the full sets.
 
-Hot groups: rows with equal sets are folded into one representative first. Shingles that only one candidate has can be in no intersection, so with ``m`` the least number of other shingles of two
-sets, their similarity is at most ``m / (a + b - m)``; this bound is exact and drops most pairs of a crowd of edited copies. Every
+Hot groups: rows with the same words in the same order, by SHA-256, are folded into one representative first. Shingles that only one
+candidate has can be in no intersection, so with ``m`` the least number of other shingles of two sets, their similarity is at most ``m / (a + b - m)``; this bound is exact and drops most pairs of a crowd of edited copies. Every
 bucket first compares its members with one pivot, the one with the smallest share of such private shingles; links are
 confirmed and connected components taken. Members that are in one component then need no comparison with each other. Of
 those in different ones, two that share a rare shingle are compared, and all others unless the bound, with rare shingles in
@@ -14,6 +14,7 @@ the place of private ones, or the estimate rules it out; so no link is lost.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ BANDS = HASHES // BAND_ROWS
 _SEED = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 MULTIPLIERS, OFFSETS = (_SEED[:HASHES] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (_SEED[HASHES:] >> np.uint64(32)).astype(np.uint32)
 
-SKETCH = "id long, n_shingles long, set_a long, set_b long, bands array<long>, sig array<long>"
+SKETCH = "id long, n_shingles long, words binary, bands array<long>, sig array<long>"
 
 
 def _shingle_sets(ids: np.ndarray, raw: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,11 +66,8 @@ def _sketch(size: int):
             key, counts = _shingle_sets(ids, raw, starts, size)
             some = np.flatnonzero(counts)
             at = np.concatenate([[0], np.cumsum(counts)])[:-1][some]
-            set_a, set_b = np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.uint64)
             minima = np.zeros((HASHES, len(some)), np.uint32)
             if len(some):
-                set_a[some] = np.add.reduceat(mix(key), at)
-                set_b[some] = np.add.reduceat(mix(key ^ np.uint64(0xA5A5A5A55A5A5A5A)), at)
                 folded = (key ^ (key >> np.uint64(32))).astype(np.uint32)
                 for k in range(HASHES):
                     minima[k] = np.minimum.reduceat(folded * MULTIPLIERS[k] + OFFSETS[k], at)
@@ -87,7 +85,8 @@ def _sketch(size: int):
             sizes = np.zeros(len(ids), np.int64)
             sizes[some] = 1
             lists = lambda flat, width: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes * width)]), pa.int32()), pa.array(flat.reshape(-1).view(np.int64)))
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)), lists(bands, BANDS), lists(sig, 4)], names=["id", "n_shingles", "set_a", "set_b", "bands", "sig"])
+            words = [hashlib.sha256(b" ".join(LOWER[raw[a:b]].tobytes().split())).digest() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(words, pa.binary()), lists(bands, BANDS), lists(sig, 4)], names=["id", "n_shingles", "words", "bands", "sig"])
 
     return run
 
@@ -150,11 +149,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     """
     rows = docs.select(key_of(id_col).alias("id"), F.col(text_col).alias("text"))
     sketch = materialise(rows.transform(map_batches, _sketch(shingle_words), SKETCH), "minhash-sketch")
-    same = ["n_shingles", "set_a", "set_b"]
-    classes = sketch.where("n_shingles > 0").groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    repeated = materialise(classes.where("copies > 1").select(*same, "rep"), "minhash-classes")
-    slim = sketch.select("id", *same)
-    member = materialise(slim.join(repeated, same, "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "minhash-members")
+    classes = sketch.where("n_shingles > 0").groupBy("words").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    repeated = materialise(classes.where("copies > 1").select("words", "rep"), "minhash-classes")
+    slim = sketch.select("id", "n_shingles", "words")
+    member = materialise(slim.join(repeated, "words", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep")), "minhash-members")
 
     tokens = sketch.join(member.where("id <> rep").select("id"), "id", "left_anti").where("n_shingles > 0")
     band = tokens.select(F.col("id").alias("rep"), "n_shingles", "sig", F.explode("bands").alias("band"))

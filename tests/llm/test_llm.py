@@ -83,6 +83,16 @@ def test_words_that_collide_modulo_a_power_of_two_are_told_apart(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(i, i) for i, _ in rows}
 
 
+def test_minhash_links_equal_sets_in_another_order_by_their_words(spark):
+    """Only the same words in the same order make a class; equal sets of other texts are candidates and are confirmed."""
+    words = [f"w{i}" for i in range(40)]
+    ring = [" ".join(words[k:] + words[: k + 2]) for k in range(4)]  # the same shingles from another start
+    rows = list(enumerate([*ring, ring[0].upper().replace(" ", "\n"), "go " * 9, "go " * 30, "go go", None, " "]))
+    got = {(r[0], r[1], r[2]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == set(minhash.brute_force(rows, 3, 85))
+    assert {c for i, _, c in got if i < 5} == {0} and {c for i, _, c in got if i in (5, 6)} == {5}
+
+
 def test_minhash_of_rows_that_share_an_id(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text), (1, text), (1, "other words of the same id"), (2, text + " tail"), (None, text), (None, "alone here")]
