@@ -52,14 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, and leaves no shuffle files."""
+def materialise(df: DataFrame, label: str, *folders: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, and leaves no shuffle files.
+    There is a folder for each value of the columns ``folders``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
@@ -67,11 +68,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialise`` that nothing reads any more."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete tables of ``materialise``, or one folder of each, that nothing reads any more."""
     for df in tables:
         jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path = jvm.org.apache.hadoop.fs.Path(f"{df.stored_at}/{part}" if part else df.stored_at)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

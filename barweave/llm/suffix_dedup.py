@@ -4,7 +4,8 @@ A byte is removed if a string of ``length`` bytes that covers it also starts ear
 in the same one. The suffixes that are indexed start at anchors: each window of ``length`` bytes belongs to the smallest hashed
 32-gram in it, so equal windows have their anchor at the same place wherever they stand, and about one suffix in 32 is kept.
 
-Documents come in batches by id, of a fixed number of bytes. A batch's suffixes are range-partitioned and sorted: by their first
+Documents come in batches by id. One pass over the table, whatever their number, finds the suffixes and stores them in a folder a
+batch. A batch's suffixes are range-partitioned and sorted: by their first
 eight bytes, then by a hash of their first 32 (head) and of all windows of the anchor (context), then by document. Neighbours with
 equal head and context are long matches; the later ones are removed and the earliest stays in the array, which becomes a level of
 the family. Levels of equal size are merged after each batch, and the rest at the end, by one scan over both in suffix order that finds
@@ -24,13 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from barweave.llm.common import discard, id_of, key_of, map_batches, materialise, mix, prefix_sums, span_hashes, text_chunks
+from barweave.llm.common import MISSING, discard, id_of, key_of, map_batches, materialise, mix, prefix_sums, span_hashes, text_chunks
 
 GRAM = 32
-#: Bytes of text in a batch, on average, and the least number of batches.
-BATCH, LEAST_BATCHES = 128 << 20, 4
+#: Bytes of text in a batch, on average, and the least and largest number of batches; beyond it batches grow with the corpus.
+BATCH, LEAST_BATCHES, MOST_BATCHES = 128 << 20, 4, 64
 #: A suffix: its order, its document, the windows of its anchor (first << 32 | last). ``holder`` and ``holder_span`` are those of the
 #: earliest suffix with the same bytes, null if it is this one; ``shared`` says that a neighbour has the same head.
 SUFFIXES = "lead long, head long, context long, key long, span long, shared boolean, holder long, holder_span long"
@@ -95,8 +95,12 @@ def _rows(lead, head, context, key, span, shared, holder=None, holder_span=None)
     return pa.record_batch([of(lead), of(head), of(context), of(key), of(span), pa.array(shared, pa.bool_()), of(holder), of(holder_span)], names=NAMES)
 
 
-def _scan(length: int):
-    """The suffixes of a batch of rows (key, text); what is a later one within the batch already comes with its holder."""
+def _scan(length: int, cuts: np.ndarray):
+    """The suffixes of rows (key, text) and the batch of each, which is the number of ``cuts`` below its key; what is a later one within
+    an Arrow batch already comes with its holder."""
+
+    def batched(rows: pa.RecordBatch) -> pa.RecordBatch:
+        return rows.append_column("batch", pa.array(np.searchsorted(cuts, rows.column("key").to_numpy()), pa.int32()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +115,9 @@ def _scan(length: int):
             order = np.lexsort((span, key, context, head))
             lead, head, context, key, span = (x[order] for x in (lead, head, context, key, span))
             new, holder = _groups(head, context)
-            yield _rows(lead[new], head[new], context[new], key[new], span[new], np.zeros(new.sum(), bool))
+            yield batched(_rows(lead[new], head[new], context[new], key[new], span[new], np.zeros(new.sum(), bool)))
             later = ~new
-            yield _rows(None, None, None, key[later], span[later], np.zeros(later.sum(), bool), key[holder[later]], span[holder[later]])
+            yield batched(_rows(None, None, None, key[later], span[later], np.zeros(later.sum(), bool), key[holder[later]], span[holder[later]]))
 
     return run
 
@@ -176,10 +180,9 @@ class SuffixFamily:
         discard(first, later)
 
     def add(self, scanned: DataFrame) -> None:
-        scanned = materialise(scanned, "suffix-batch")
+        """``scanned`` is read twice: it should be a stored table."""
         self._matches(scanned)
         self.levels.append((1, self._sorted(scanned)))
-        discard(scanned)
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             self._merge()
 
@@ -296,20 +299,20 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int | None = Non
 
     Null texts count as empty; texts under ``length`` bytes keep everything. Rows that share an id follow each other like documents,
     in a fixed order of their texts, and rows without an id come last. ``batches`` ranges of ids are indexed one after the other; by
-    default their number follows from the size of the texts. An empty table gives an empty result; other columns are ignored.
+    default their number follows from the size of the texts, up to 64. An empty table gives an empty result; other columns are ignored.
     """
     rows = _keyed(docs, id_col, text_col)
     if batches is None:
-        batches = max(LEAST_BATCHES, ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / BATCH))
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        batches = min(MOST_BATCHES, max(LEAST_BATCHES, ceil(size / BATCH)))
     cuts = sorted(set(rows.approxQuantile("key", [k / batches for k in range(1, batches)], 0.1 / batches))) if batches > 1 else []
+    scan = _scan(length, np.array([min(int(c), MISSING) for c in cuts], np.int64))
+    suffixes = materialise(rows.select("key", "text").transform(map_batches, scan, f"{SUFFIXES}, batch int"), "suffix-batches", "batch")
     family = SuffixFamily()
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        part = rows.select("key", "text")
-        if low is not None:
-            part = part.where(F.col("key") > int(low))
-        if high is not None:
-            part = part.where(F.col("key") <= int(high))
-        family.add(part.transform(map_batches, _scan(length), SUFFIXES))
+    for batch in range(len(cuts) + 1):
+        family.add(suffixes.where(F.col("batch") == batch).drop("batch"))
+        discard(suffixes, part=f"batch={batch}")
+    discard(suffixes)
     level = family.whole()
 
     lo, hi = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.col(c).bitwiseAND(0xFFFFFFFF).cast("int"))
@@ -317,14 +320,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int | None = Non
     edges = materialise(runs, "suffix-edges")
     discard(level)
     windows = rows.join(edges.hint("merge"), "key").select("key", "text", "runs").transform(map_batches, _windows(length), "hash long, key long, place int")
-    first, here = F.min(F.struct("key", "place")).over(Window.partitionBy("hash")), F.struct("key", "place")
-    later = windows.withColumn("first", first).where(here > F.col("first")).select("key", F.col("place").alias("lo"), F.col("place").alias("hi"), F.col("first.key").alias("holder"), F.col("first.place").alias("from"))
+    windows = materialise(windows, "suffix-windows")
+    here = F.struct("key", "place")
+    first = windows.groupBy("hash").agg(F.min(here).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
+    # A join, not a window: the rows of a frequent hash can be split among tasks.
+    later = windows.join(first, "hash").where(here > F.col("first")).select("key", F.col("place").alias("lo"), F.col("place").alias("hi"), F.col("first.key").alias("holder"), F.col("first.place").alias("from"))
     found = materialise(later, "suffix-gone")
     family.gone.append(found)
     for part in family.gone[:-1]:
         found = found.unionByName(part.select("key", lo("span").alias("lo"), hi("span").alias("hi"), "holder", lo("holder_span").alias("from")))
     pairs = materialise(found.groupBy("key", "holder").agg(F.collect_list(F.struct("lo", "hi", "from")).alias("runs")), "suffix-pairs")  # of one document
-    discard(edges, *family.gone)
+    discard(edges, windows, *family.gone)
     # Merge joins whatever the sizes: the plan is the same for a small and a large corpus.
     held = rows.select(F.col("key").alias("holder"), "text").join(pairs.hint("merge"), "holder").select("text", "key", "runs").transform(map_batches, _held(length), f"key long, pieces {PIECES}")
     pieces = materialise(held.groupBy("key").agg(F.flatten(F.collect_list("pieces")).alias("pieces")), "suffix-pieces")  # no more than the document and its matches

@@ -37,9 +37,41 @@ def docs(spark):
     return spark.createDataFrame([(i, t, 0, "n", 1, 2) for i, t in DOCS], "doc_id long, text string, id long, lead string, key int, holder int").repartition(3)
 
 
-@pytest.mark.parametrize("batches", [1, 3])
-def test_against_all_windows(docs, batches):
+@pytest.mark.parametrize("batches", [1, 3, 8])
+def test_against_all_windows(spark, docs, batches, monkeypatch):
+    """The texts are scanned once for suffixes, however many batches there are."""
+    scan, scanned, made = suffix_dedup._scan, spark.sparkContext.accumulator(0), []
+
+    def counted(length, cuts):
+        made.append(len(cuts))
+        run = scan(length, cuts)
+
+        def tell(parts):
+            for part in parts:
+                scanned.add(part.num_rows)
+                yield part
+
+        return lambda parts: run(tell(parts))
+
+    monkeypatch.setattr(suffix_dedup, "_scan", counted)
     assert found(suffix_dedup.remove_repeats(docs, 100, batches)) == WANT
+    assert made == [batches - 1] and scanned.value == len(DOCS)
+
+
+def test_batches_grow_with_the_corpus(docs, monkeypatch):
+    sizes = []
+    add = suffix_dedup.SuffixFamily.add
+    monkeypatch.setattr(suffix_dedup.SuffixFamily, "add", lambda self, scanned: (add(self, scanned), sizes.append(1)))
+    monkeypatch.setattr(suffix_dedup, "BATCH", 100)
+    monkeypatch.setattr(suffix_dedup, "MOST_BATCHES", 5)
+    assert found(suffix_dedup.remove_repeats(docs)) == WANT and len(sizes) == 5
+
+
+def test_a_frequent_window_is_joined(spark):
+    """Runs of one letter in many documents, in contexts that differ."""
+    rows = [(i, f"{i:>7}" + "-" * (120 + i % 9) + f"{i * 7919}") for i in range(60)]
+    got = found(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == set(suffix_dedup.brute_force(rows, 100))
 
 
 def test_levels_merge_geometrically_and_are_in_suffix_order(docs, monkeypatch):
