@@ -67,7 +67,7 @@ def test_batches_grow_with_the_corpus(docs, monkeypatch):
     assert found(suffix_dedup.remove_repeats(docs)) == WANT and len(sizes) == 5
 
 
-def test_a_frequent_window_is_joined(spark):
+def test_a_frequent_window(spark):
     """Runs of one letter in many documents, in contexts that differ."""
     rows = [(i, f"{i:>7}" + "-" * (120 + i % 9) + f"{i * 7919}") for i in range(60)]
     got = found(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
