@@ -83,6 +83,12 @@ def test_rounding_by_the_binary_value(spark):
         assert [r[0] for r in got] == [round(x, digits) for x in xs]
 
 
+def test_a_rounded_zero_keeps_its_sign(spark):
+    xs = [-0.03, -0.05, 0.03, 0.0, -0.0, -0.06, -1e-300, None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(F.format_string("%+.1f", scalars.round_exact(F.col("x"), 1))).collect()
+    assert [r[0] for r in got[:-1]] == [f"{x:+.1f}" for x in xs[:-1]]
+
+
 def test_character_references(spark):
     said = ["a &amp; b", "&lt;p&gt; &quot;x&quot; &#39;y&#x27;", "&copy; &middot; &eacute;&hellip;", "&#128512; &nosuch; &", "&amp;lt;", None, "plain"]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, x string").orderBy("i").select(scalars.unescape(F.col("x"))).collect()
