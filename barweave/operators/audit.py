@@ -40,24 +40,28 @@ def overfitting(returns: DataFrame, blocks: int = BLOCKS) -> DataFrame:
 
     ``returns`` is a matrix: every config has a row at every time. Each run of a config is reduced to count, sum and sum of squares
     (about the config's mean), and a split adds runs up, so the work is splits x configs x blocks whatever the number of rows. Splits
-    are bit masks; they number C(blocks, blocks / 2).
+    are bit masks; they number C(blocks, blocks / 2). A config that is flat in half of the runs has ratio 0 there: that is told by its
+    least and largest return, since a difference of sums leaves a rounding error, of either sign, in place of no variance.
     """
     series = Window.partitionBy("config")
     place = returns.withColumns({"_i": F.row_number().over(series.orderBy("ts")) - 1, "_t": F.count("*").over(series), "_m": F.avg("ret").over(series)})
     # The block of row i is the last whose lower bound, int(b * t / blocks), is not above i.
     bound = F.array(*(F.floor(F.col("_t") * b / F.lit(blocks)) for b in range(blocks)))
     centred = place.select("config", "_m", (F.col("ret") - F.col("_m")).alias("_c"), (F.size(F.filter(bound, lambda x: x <= F.col("_i"))) - 1).alias("block"))
-    runs = centred.groupBy("config", "block").agg(F.count("*").alias("n"), F.sum("_c").alias("s"), F.sum(F.col("_c") * F.col("_c")).alias("q"), F.first("_m").alias("m"))
+    runs = centred.groupBy("config", "block").agg(F.count("*").alias("n"), F.sum("_c").alias("s"), F.sum(F.col("_c") * F.col("_c")).alias("q"), F.min("_c").alias("lo"), F.max("_c").alias("hi"), F.first("_m").alias("m"))
     spark = returns.sparkSession
     masks = spark.range(1 << blocks).where(F.bit_count("id") == blocks // 2).withColumnRenamed("id", "mask")
     inside = F.expr("shiftright(mask, block) & 1") == 1
-    part = lambda c, flag: F.sum(F.when(inside == flag, F.col(c)).otherwise(0))
-    cells = runs.join(F.broadcast(masks)).groupBy("mask", "config").agg(*(part(c, flag).alias(f"{c}_{k}") for c in ("n", "s", "q") for k, flag in (("is", F.lit(True)), ("oos", F.lit(False)))), F.first("m").alias("m"))
+    part = lambda c, flag: F.when(inside == flag, F.col(c))
+    halves = (("is", F.lit(True)), ("oos", F.lit(False)))
+    sums = [F.sum(F.coalesce(part(c, flag), F.lit(0))).alias(f"{c}_{k}") for c in ("n", "s", "q") for k, flag in halves]
+    ranges = [(F.max(part("hi", flag)) - F.min(part("lo", flag))).alias(f"range_{k}") for k, flag in halves]
+    cells = runs.join(F.broadcast(masks)).groupBy("mask", "config").agg(*sums, *ranges, F.first("m").alias("m"))
 
     def sharpe(k: str):
         n, s, q = (F.col(f"{c}_{k}") for c in ("n", "s", "q"))
         sd = F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))
-        return F.when((n >= 2) & (sd > FLAT), (F.col("m") + s / n) / sd).otherwise(0.0)
+        return F.when((n >= 2) & (F.col(f"range_{k}") > FLAT) & (sd > FLAT), (F.col("m") + s / n) / sd).otherwise(0.0)
 
     # A split's configs, some sixty at most, meet in one array.
     rated = cells.groupBy("mask").agg(F.collect_list(F.struct(sharpe("is").alias("x"), F.expr("-crc32(config)").alias("tie"), sharpe("oos").alias("y"))).alias("all"))

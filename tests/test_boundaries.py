@@ -62,3 +62,32 @@ def test_rules(spark):
     said = ["RSI 14, buy below 30", "golden cross", "the 50-day, 100-day and 200-day sma crossover", "new high of 400 days", "roc", None]
     got = column(spark, said, lambda v: F.transform(news.rules_in(v), lambda r: F.concat_ws(":", r["family"], r["params"])))
     assert got == [["rsi_reversion:high=70,low=30"], ["ema_cross:fast=50,slow=200"], ["tri_ma:fast=50,mid=100,slow=200"], ["donchian:n=400"], ["momentum:lookback=20"], []]
+
+
+def test_a_config_that_idles_through_half_of_the_runs(spark):
+    import itertools
+    import random
+    import zlib
+
+    import numpy as np
+
+    rng, blocks, days = random.Random(5), 6, 120
+    rets = {f"idle{k}": [0.0 if i // 20 in (0, 2, 3, 5) or rng.random() < 0.5 else rng.gauss(-0.3, 3) for i in range(days)] for k in range(4)}
+    rets |= {f"busy{k}": [rng.gauss(-0.2, 1) for _ in range(days)] for k in range(2)}
+    rows = [(f"2024-{i:04d}", c, x) for c, xs in rets.items() for i, x in enumerate(xs)]
+    got = audit.overfitting(spark.createDataFrame(rows, "ts string, config string, ret double"), blocks).first()
+
+    def ratio(xs):
+        sd = np.std(xs, ddof=1)
+        return np.mean(xs) / sd if sd > 1e-12 else 0.0
+
+    logits, best = [], []
+    for chosen in itertools.combinations(range(blocks), blocks // 2):
+        half = lambda c, inside: ratio([x for i, x in enumerate(rets[c]) if (i // 20 in chosen) == inside])
+        rated = [(half(c, True), -zlib.crc32(c.encode()), half(c, False)) for c in rets]
+        x, _, y = max(rated)
+        share = sum(z <= y for _, _, z in rated) / (len(rated) + 1)
+        logits.append(math.log(share / (1 - share)))
+        best.append((x, y))
+    assert got.n_splits == len(logits) and got.pbo == pytest.approx(np.mean([v <= 0 for v in logits])) and got.median_logit == pytest.approx(np.median(logits))
+    assert got.prob_oos_loss == pytest.approx(np.mean([y < 0 for _, y in best])) and got.degradation_slope == pytest.approx(np.polyfit(*zip(*best), 1)[0])
