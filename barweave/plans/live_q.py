@@ -44,9 +44,9 @@ def provider_bars(spark, d):
 
 
 def fed_in_two(spark, d, run) -> None:
-    """Records the first half of the ticks as a feed, runs the stream to its end, records the other half and runs it again."""
+    """Records the first half of the ticks, or about that, as a feed, runs the stream to its end, records the rest and runs it again."""
     path, ticks = tables.shared_folder(spark, "feed"), tables.ticks(spark, d).where("symbol is not null and ts is not null")
-    middle = ticks.select(F.timestamp_micros(F.percentile(F.unix_micros("ts"), 0.5).cast("long")).alias("m")).first().m
+    middle = ticks.select(F.timestamp_micros(F.percentile_approx(F.unix_micros("ts"), 0.5)).alias("m")).first().m
     for number, half in enumerate((F.col("ts") < F.lit(middle), F.col("ts") >= F.lit(middle))):
         feed.record_ticks(ticks.where(half), path, number, segments=4)
         run(feed.tick_feed(spark, path))

@@ -144,3 +144,38 @@ def test_late_ticks_and_idle_symbols(spark, tmp_path):
     got = [(r.symbol, f"{r.ts:%H:%M}", r.open, r.close, r.day_bar) for r in spark.read.schema(sessions.SIGNALS).parquet(out).orderBy("symbol", "ts").collect()]
     # The tick of 08:00 is too late, that of 09:35 opens its bar; A was idle from 09:40 on, so its day begins anew.
     assert got == [("A", "09:00", 10.0, 10.0, 1), ("A", "09:30", 11.0, 12.0, 2), ("A", "14:00", 1.0, 1.0, 1), ("B", "14:00", 5.0, 5.0, 1)]
+
+
+def test_parts_of_bars_are_made_before_the_shuffle():
+    import pandas as pd
+
+    size, us = 60_000, lambda *x: [1_700_000_040_000_000 + v for v in x]
+    ticks = pd.DataFrame({"symbol": list("ABAAA"), "us": us(900, 10, 100, 100, 60_000_000), "event_id": [1, 2, 4, 3, 5], "price": [5.0, 9, 7, 6, 1], "volume": [1.0, 1, 2, 3, 4]})
+    got = [tuple(r) for r in sessions.parts(ticks, size).itertuples(index=False)]
+    first, second = 1_700_000_040_000, 1_700_000_100_000
+    # Ticks of one millisecond go by their microseconds, then by their ids.
+    assert got == [
+        ("A", first, *us(100), 3, 6.0, 7.0, 5.0, *us(900), 1, 5.0, 6.0),
+        ("A", second, *us(60_000_000), 5, 1.0, 1.0, 1.0, *us(60_000_000), 5, 1.0, 4.0),
+        ("B", first, *us(10), 2, 9.0, 9.0, 9.0, *us(10), 2, 9.0, 1.0),
+    ]
+
+
+def test_what_a_symbol_merges_does_not_grow_with_its_ticks(spark, tmp_path):
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    class Counting(sessions.SessionBars):
+        def handleInputRows(self, key, rows, timerValues):
+            frames = list(rows)
+            (seen / f"{key[0]}-{sum(map(len, frames))}").touch()
+            yield from super().handleInputRows(key, iter(frames), timerValues)
+
+    plain, sessions.SessionBars = sessions.SessionBars, Counting
+    try:
+        feed.record_ticks(made_ticks(spark, [("A", 1.0, 1.0, f"2024-01-01 09:{i // 60:02d}:{i % 60:02d}") for i in range(1800)]), str(tmp_path / "feed"), 0, segments=1)
+        stream.follow(sessions.session_bars(feed.tick_feed(spark, str(tmp_path / "feed")), minutes=15), str(tmp_path / "rows"), str(tmp_path / "state"))
+    finally:
+        sessions.SessionBars = plain
+    assert [f.name for f in seen.iterdir()] == ["A-2"]
+    assert [(r.close, r.volume) for r in spark.read.schema(sessions.SIGNALS).parquet(str(tmp_path / "rows")).collect()] == [(1.0, 900.0)]
