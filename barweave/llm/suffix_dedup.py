@@ -8,8 +8,9 @@ Documents come in batches by id. One pass over the table, whatever their number,
 batch. A batch's suffixes are range-partitioned and sorted: by their first
 eight bytes, then by a hash of their first 32 (head) and of all windows of the anchor (context), then by document. Neighbours with
 equal head and context are long matches; the later ones are removed and the earliest stays in the array, which becomes a level of
-the family. Levels of equal size are merged after each batch, and the rest at the end, by one scan over both in suffix order that finds
-the matches between them; so a suffix moves a number of times that grows with the logarithm of the number of batches.
+the family. Levels of equal size are merged after each batch, and the rest at the end. A cascade of merges, the new batch included, is one
+scan over all of them in suffix order that finds the matches between them; so a suffix moves a number of times that grows with the
+logarithm of the number of batches.
 
 In the last level, neighbours with equal heads but other contexts may have some windows in common; these windows are compared
 one by one. At last the bytes of every match are fetched from the text that holds them first and compared with those to be removed.
@@ -23,6 +24,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -156,11 +158,11 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class SuffixFamily:
-    """Levels of sorted suffix tables; batches are added in the order of their documents. ``gone`` collects the matches (key, span,
-    holder, holder_span) that were found."""
+    """Levels of sorted suffix tables; batches are added in the order of their documents. A level that was just merged is a list of the
+    tables that it will be made of. ``gone`` collects the matches (key, span, holder, holder_span) that were found."""
 
     def __init__(self):
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[tuple[int, list[DataFrame]]] = []
         self.gone: list[DataFrame] = []
 
     def _matches(self, suffixes: DataFrame) -> None:
@@ -177,21 +179,32 @@ class SuffixFamily:
 
     def _merge(self) -> None:
         (size, later), (other, first) = self.levels.pop(), self.levels.pop()
-        self.levels.append((size + other, self._sorted(first.unionByName(later))))
-        discard(first, later)
+        self.levels.append((size + other, [*first, *later]))
+
+    def _settle(self) -> list[DataFrame]:
+        """Makes one table of the last level; returns those it was made of."""
+        size, tables = self.levels.pop()
+        rows = tables[0]
+        for table in tables[1:]:
+            rows = rows.unionByName(table)
+        self.levels.append((size, [self._sorted(rows)]))
+        return tables
 
     def add(self, scanned: DataFrame) -> None:
         """``scanned`` is read twice: it should be a stored table."""
         self._matches(scanned)
-        self.levels.append((1, self._sorted(scanned)))
+        self.levels.append((1, [scanned]))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             self._merge()
+        discard(*self._settle()[:-1])
 
     def whole(self) -> DataFrame:
         """The one level that is left when all have been merged."""
-        while len(self.levels) > 1:
-            self._merge()
-        return self.levels[0][1]
+        if len(self.levels) > 1:
+            while len(self.levels) > 1:
+                self._merge()
+            discard(*self._settle())
+        return self.levels[0][1][0]
 
 
 def _windows(length: int):
@@ -217,6 +230,31 @@ def _windows(length: int):
     return run
 
 
+PAIRS = "key long, holder long, runs array<struct<lo:int,hi:int,`from`:int>>"
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, holder, runs) of matches (key, holder, lo, hi, from) that are sorted by key and holder; windows that follow each other and are
+    as far from their holder's make one run. A pair that goes on in the next batch is there twice, with other runs."""
+    for batch in batches:
+        key, holder, lo, hi, at = (c.to_numpy().astype(np.int64) for c in batch.columns)
+        if not len(key):
+            continue
+        order = np.lexsort((lo, at - lo, holder, key))
+        key, holder, lo, hi, at = (x[order] for x in (key, holder, lo, hi, at))
+        pair, far = np.ones(len(key), bool), np.ones(len(key), bool)
+        pair[1:] = (key[1:] != key[:-1]) | (holder[1:] != holder[:-1])
+        far[1:] = pair[1:] | (at[1:] - lo[1:] != at[:-1] - lo[:-1])
+        group = np.cumsum(far)
+        reach = np.maximum.accumulate((group << 32) + hi)
+        first = np.flatnonzero(np.concatenate([[True], (group[1:] << 32) + lo[1:] > reach[:-1] + 1]))
+        end = (reach - (group << 32))[np.append(first[1:], len(key)) - 1]
+        runs = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (lo[first], end, at[first])], names=["lo", "hi", "from"])
+        begins = np.flatnonzero(pair[first])
+        named = first[begins]
+        yield pa.record_batch([pa.array(key[named]), pa.array(holder[named]), pa.ListArray.from_arrays(pa.array(np.append(begins, len(first)), pa.int32()), runs)], names=["key", "holder", "runs"])
+
+
 PIECES = "array<struct<start:int,bytes:binary>>"
 
 
@@ -258,29 +296,44 @@ def _equal_runs(raw: np.ndarray, piece: np.ndarray, length: int) -> list[tuple[i
 def _remove(length: int, with_text: bool):
     """Columns id, text, pieces (lists of what it shares with the texts that come first, or null)."""
 
+    kind = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_sha256", pa.string()), ("kept", pa.binary())])
         for batch in batches:
-            rows = []
-            for i, text, pieces in zip(*batch.columns, strict=True):
-                raw, runs = (text.as_py() or "").encode(), []
-                flat = np.frombuffer(raw, np.uint8)
-                for piece in pieces.as_py() or ():
-                    at, held = piece["start"], np.frombuffer(piece["bytes"], np.uint8)
-                    runs += [(at + a, at + b) for a, b in _equal_runs(flat[at : at + len(held)], held, length)]
-                spans: list[list[int]] = []
+            texts, pieces = batch.column(1).fill_null("").cast(pa.large_binary()), batch.column(2)
+            start = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1].tolist()
+            data = texts.buffers()[2]
+            every, flat = np.frombuffer(data if data is not None else b"", np.uint8), pieces.flatten()
+            begins, held = flat.field(0).to_pylist(), flat.field(1).to_pylist()
+            sizes, done = pc.fill_null(pc.list_value_length(pieces), 0).to_pylist(), 0
+            n_bytes, n_removed, spans, digests, left = [], [], [], [], []
+            for row, size in enumerate(sizes):
+                raw, runs = every[start[row] : start[row + 1]], []
+                for at, piece in zip(begins[done : done + size], held[done : done + size], strict=True):
+                    piece = np.frombuffer(piece, np.uint8)
+                    runs += [(at + a, at + b) for a, b in _equal_runs(raw[at : at + len(piece)], piece, length)]
+                done += size
+                gone: list[list[int]] = []
                 for lo, hi in sorted(runs):
-                    if spans and lo <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], hi)
+                    if gone and lo <= gone[-1][1]:
+                        gone[-1][1] = max(gone[-1][1], hi)
                     else:
-                        spans.append([lo, hi])
+                        gone.append([lo, hi])
                 kept, at = [], 0
-                for lo, hi in spans:
+                for lo, hi in gone:
                     kept.append(raw[at:lo])
                     at = hi
-                kept = b"".join([*kept, raw[at:]])
-                rows.append({"id": i.as_py(), "n_bytes": len(raw), "n_removed": len(raw) - len(kept), "spans": [{"start": a, "end": b} for a, b in spans], "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept if with_text else None})
-            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+                kept.append(raw[at:])
+                digest = hashlib.sha256()
+                for part in kept:
+                    digest.update(part)
+                n_bytes.append(len(raw))
+                n_removed.append(len(raw) - sum(map(len, kept)))
+                spans.append([{"start": lo, "end": hi} for lo, hi in gone])
+                digests.append(digest.hexdigest())
+                left.append(b"".join(kept) if with_text else None)
+            columns = (batch.column(0), n_bytes, n_removed, spans, digests, left)
+            yield pa.record_batch([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, kind, strict=True)], schema=kind)
 
     return run
 
@@ -327,7 +380,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int | None = Non
     family.gone.append(found)
     for part in family.gone[:-1]:
         found = found.unionByName(part.select("key", lo("span").alias("lo"), hi("span").alias("hi"), "holder", lo("holder_span").alias("from")))
-    pairs = materialise(found.groupBy("key", "holder").agg(F.collect_list(F.struct("lo", "hi", "from")).alias("runs")), "suffix-pairs")  # of one document
+    matches = found.select("key", "holder", "lo", "hi", "from").repartition("key", "holder").sortWithinPartitions("key", "holder")
+    pairs = materialise(matches.transform(map_batches, _pairs, PAIRS), "suffix-pairs")
     discard(edges, *family.gone)
     # Merge joins whatever the sizes: the plan is the same for a small and a large corpus.
     held = rows.select(F.col("key").alias("holder"), "text").join(pairs.hint("merge"), "holder").select("text", "key", "runs").transform(map_batches, _held(length), f"key long, pieces {PIECES}")

@@ -148,3 +148,22 @@ def test_anchors_of_a_long_text_are_cut_without_harm():
     *_, lo, hi, _, _ = suffix_dedup.anchors(raw, np.array([0, len(raw)]), 100, 32)
     covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi)])
     assert np.array_equal(np.sort(covered), np.arange(len(raw) - 99))
+
+
+def test_a_cascade_of_merges_is_one_sort(spark, monkeypatch):
+    sorts, plain = [], suffix_dedup.SuffixFamily._sorted
+    monkeypatch.setattr(suffix_dedup.SuffixFamily, "_sorted", lambda self, rows: sorts.append(1) or plain(self, rows))
+    docs = [(i, f"{'x y z ' * 30}{i % 7}{'some words that come again ' * 6}{i % 3}") for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(frame, 100, batches=4, with_text=False).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got] == suffix_dedup.brute_force(docs, 100)
+    assert len(sorts) == 4  # one a batch, with what is merged after it
+
+
+def test_windows_of_a_pair_become_runs():
+    import pyarrow as pa
+
+    rows = [(1, 0, 5, 5, 15), (1, 0, 6, 6, 16), (1, 0, 4, 4, 14), (1, 0, 8, 9, 18), (1, 0, 7, 7, 90), (2, 0, 7, 7, 17), (2, 1, 8, 8, 18)]
+    batch = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["key", "holder", "lo", "hi", "from"])
+    got = [r for b in suffix_dedup._pairs(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert [(r["key"], r["holder"], [tuple(x.values()) for x in r["runs"]]) for r in got] == [(1, 0, [(4, 6, 14), (8, 9, 18), (7, 7, 90)]), (2, 0, [(7, 7, 17)]), (2, 1, [(8, 8, 18)])]
