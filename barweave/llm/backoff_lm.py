@@ -1,62 +1,205 @@
-"""Stupid-backoff scores of documents by a word n-gram model counted on the same corpus, computed relationally.
+"""Stupid-backoff scores of documents by a word n-gram model counted on the same corpus: count tables joined to exploded n-grams.
 
-Texts become arrays of word hashes; n-grams are exploded from them, one row an occurrence with one column a word. A count table holds the
-n-grams of one order that are frequent enough, grouped and partitioned by the hash of their words. Backing off is additive: with
-``F(k)`` the log score of a word by n-grams of at most ``k`` words and ``c`` the counts,
+Texts become arrays of word hashes in batches of some 260,000 words, one stored row a batch. An order's n-grams are exploded from
+them, one row for each different n-gram of a batch with the times it occurs there, so that a batch's repeats are summed before any shuffle
+and the most frequent n-gram has no more rows than there are batches. These rows are partitioned once by the n-gram's hash; there they are grouped
+into the count table, which drops what is too rare, and the same partitions are joined to it. The counts go back to their batches, where
+every word takes its longest n-gram that is frequent enough, and a document's score is a sum over its words.
 
-    F(k) = F(k - 1) + log(factor) + gain,   gain = log c(abc) - log c(ab) - log c(bc) + log c(b) - log(factor)
-
-where the gain counts only if ``abc`` (``k`` words) is frequent enough, since then ``bc`` is so too. So a count table with the counts of
-its parts joined to it gives every n-gram one gain, exploded n-grams are joined to the gains they have, and a document's score is a sum.
-
-Counting sums before its shuffle, and the join of occurrences to gains can be split by Spark where an n-gram is hot. A fixed share of the
-n-grams of an order, by hash, is counted and joined at a time, which bounds what is in a shuffle to that share of the corpus.
+An n-gram is known by 96 bits of hash where batches meet and by 64 bits inside a batch. Its row names its batch and its place among the
+batch's sorted n-grams, so counts go back without the hash, as lists. A fixed share of the n-grams of an order, by hash, is counted and joined
+at a time, and a fixed share of the batches is scored at a time, which bounds what is in a shuffle to that share of the corpus; partitions
+are as many as keep a count table's part small enough to be hashed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barweave.llm.common import LOWER, NON_SPACE, discard, id_of, key_of, map_batches, materialise, prefix_sums, span_hashes, text_chunks, word_spans
+from barweave.llm.common import LOWER, NON_SPACE, discard, id_of, key_of, map_batches, materialise, mix, prefix_sums, sequence_hashes, span_hashes, text_chunks, word_spans
+
+#: In how many shares the n-grams of an order are counted and joined; longer ones than these count as the last. In how many batches are scored.
+SHARES, SCORED = {1: 1, 2: 2, 3: 3}, 4
+#: Bits of a place in a batch, and so of a count in it, and the words of a batch; the rest of 63 bits numbers the batches.
+BITS, WORDS = 18, (1 << 18) - 1
+#: Rows of a partition of exploded n-grams, and of counts that are listed by batch at once.
+ROWS = 1 << 19
+
+BATCH = "batch long, own long, ids array<long>, sizes array<int>, leads array<int>, words array<long>"
+
+
+def _lists(values: np.ndarray, kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+
+
+def _words(order: int, limit: int):
+    """Batches of texts: ids, the words of each, how many of them only lead up to the first (it stands in the batch before), and a
+    64-bit hash of each word. A text that is too long for a batch goes on in the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId(), 0
+        texts: list[tuple[int, int, np.ndarray]] = []
+        held = 0
+
+        def batch() -> pa.RecordBatch:
+            nonlocal texts, held, made
+            ids, leads = (np.array([t[k] for t in texts], np.int64) for k in (0, 1))
+            sizes, words = np.array([len(t[2]) for t in texts], np.int64), np.concatenate([t[2] for t in texts])
+            columns = [pa.array([made << 32 | task]), pa.array([int((sizes - leads).sum())]), _lists(ids, pa.int64()), _lists(sizes, pa.int32()), _lists(leads, pa.int32()), _lists(words.view(np.int64), pa.int64())]
+            texts, held, made = [], 0, made + 1
+            return pa.record_batch(columns, names=["batch", "own", "ids", "sizes", "leads", "words"])
+
+        for keys, raw, starts in text_chunks(batches):
+            low = LOWER[raw]
+            begin, end = word_spans(low, starts, NON_SPACE)
+            cuts = np.searchsorted(begin, starts)
+            hashes = span_hashes(prefix_sums(low), begin, end)
+            for key, a, b in zip(keys.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                lead = 0
+                if held and held + b - a > limit or len(texts) >= limit:
+                    yield batch()
+                while b - a > limit:
+                    texts.append((key, lead, hashes[a : a + limit]))
+                    yield batch()
+                    a, lead = a + limit - (order - 1), order - 1
+                texts.append((key, lead, hashes[a:b]))
+                held += b - a
+        if texts:
+            yield batch()
+
+    return run
+
+
+def _row(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+    """Of row ``i``: the words of each text, the words themselves, the place of each in its text, and whether it is one of the batch's own."""
+    sizes, leads, words = (batch.column(name)[i].values.to_numpy(zero_copy_only=False).astype(np.int64) for name in ("sizes", "leads", "words"))
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return sizes, words.view(np.uint64), place, place >= np.repeat(leads, sizes)
+
 
-#: In how many shares the n-grams of an order are counted and joined; longer ones than these count as the last.
-SHARES = {1: 1, 2: 3, 3: 6}
+def _occurrences(words: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place in the batch of the last word of every n-gram of ``k`` words, and the n-gram's hash."""
+    last = np.flatnonzero(place >= k - 1)
+    return last, sequence_hashes(words, k)[last - (k - 1)]
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, words): a 64-bit hash of each word."""
-    for ids, raw, starts in text_chunks(batches):
-        low = LOWER[raw]
-        begin, end = word_spans(low, starts, NON_SPACE)
-        counts = np.bincount(np.searchsorted(starts, begin, side="right") - 1, minlength=len(ids))
-        hashes = span_hashes(prefix_sums(low), begin, end).view(np.int64)
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(hashes))], names=["id", "words"])
+def _sorted(last: np.ndarray, found: np.ndarray, share: int, shares: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of a share in the order of their hashes: last words, hashes, and where a new n-gram begins."""
+    if shares > 1:
+        ours = np.flatnonzero(found % np.uint64(shares) == share)
+        last, found = last[ours], found[ours]
+    order = np.argsort(found)
+    last, found = last[order], found[order]
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    return last, found, new
 
 
-def _names(k: int, first: int = 0) -> list[str]:
-    return [f"g{i}" for i in range(first, first + k)]
+def _grams(k: int, share: int, shares: int):
+    """(gram, rest, at): 96 bits of hash of each different n-gram of a batch; its batch, its place there, and the times it occurs in it."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, words, place, own = _row(batch, i)
+                last, found, new = _sorted(*_occurrences(words, place, k), share, shares)
+                first = np.flatnonzero(new)
+                n = np.add.reduceat(own[last].astype(np.int64), first) if len(first) else first
+                rest = np.zeros(len(first), np.uint64)
+                for j in range(k):
+                    rest = mix(rest * np.uint64(0x9E3779B97F4A7C15) + words[last[first] - (k - 1) + j])
+                at = (batch.column("number")[i].as_py() << 2 * BITS) + (np.arange(len(first)) << BITS) + n
+                yield pa.record_batch([pa.array(found[first].view(np.int64)), pa.array((rest >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(at, pa.int64())], names=["gram", "rest", "at"])
 
-def _grams(words: DataFrame, k: int, share: int, shares: int) -> DataFrame:
-    """The n-grams of ``k`` words of every text, one row an occurrence: id, place (of the last word), g0 .. g(k-1)."""
-    columns = [F.slice("words", i + 1, F.size("words") - (k - 1)) for i in range(k)]
-    rows = words.where(F.size("words") >= k).select("id", F.posexplode(F.arrays_zip(*(c.alias(n) for c, n in zip(columns, _names(k), strict=True)))).alias("place", "g"))
-    rows = rows.select("id", (F.col("place") + (k - 1)).alias("place"), "g.*")
-    return rows.where(F.pmod(F.xxhash64(*_names(k)), F.lit(shares)) == share) if shares > 1 else rows
+    return run
 
 
-def _counted(table: DataFrame, k: int, first: int, name: str) -> DataFrame:
-    """A count table with its columns named for a part of an n-gram that starts at word ``first``."""
-    return table.select(*(F.col(a).alias(b) for a, b in zip(_names(k), _names(k, first), strict=True)), F.col("n").alias(name))
+COUNTS = "number int, part int, places array<int>, counts array<long>"
 
 
-def score(docs: DataFrame, order: int = 3, least: int = 2, factor: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _listed(part: int):
+    """The counts (at, n) as lists by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def lists() -> pa.RecordBatch:
+            at, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(2))
+            order = np.argsort(at)
+            at, n = at[order], n[order]
+            number, place = (at >> 2 * BITS).astype(np.int32), (at >> BITS & WORDS).astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+            offsets = pa.array(np.append(first, len(number)), pa.int32())
+            columns = [pa.array(number[first]), pa.array(np.full(len(first), part, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(place)), pa.ListArray.from_arrays(offsets, pa.array(n))]
+            return pa.record_batch(columns, names=["number", "part", "places", "counts"])
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= ROWS:
+                yield lists()
+                held, size = [], 0
+        if size:
+            yield lists()
+
+    return run
+
+
+def _parts(order: int) -> list[tuple[int, int, int]]:
+    """(words, share, shares) of what is counted at a time."""
+    shares = [(k, SHARES.get(k, max(SHARES.values()))) for k in range(1, order + 1)]
+    return [(k, share, n) for k, n in shares for share in range(n)]
+
+
+def _scored(order: int, least: int, factor: float, tokens: float):
+    """A batch's scores from its words and the counts of its n-grams, by their place; those that are too rare have none."""
+
+    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        ids, n_words, missed, total = ([np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, float))
+        listed: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for batch in counts.to_batches():
+            for i, part in enumerate(batch.column("part").to_pylist()):
+                listed.setdefault(part, []).append(tuple(batch.column(c)[i].values.to_numpy() for c in ("places", "counts")))
+        for batch in texts.to_batches():
+            for i in range(batch.num_rows):
+                sizes, words, place, own = _row(batch, i)
+                before = np.zeros(len(words) + 1)  # of the next shorter n-gram, at the word before
+                value, steps = np.zeros(len(words)), np.zeros(len(words), np.int64)
+                for k in range(1, order + 1):
+                    last, found = _occurrences(words, place, k)
+                    at = np.zeros(len(words) + 1)
+                    for part, (size, share, shares) in enumerate(_parts(order)):
+                        if size == k:
+                            where, _, new = _sorted(last, found, share, shares)
+                            n = np.zeros(np.count_nonzero(new))
+                            for places, many in listed.get(part, ()):
+                                n[places] = many
+                            at[where + 1] = n[np.cumsum(new) - 1]
+                    frequent = last[at[last + 1] >= (least if k > 1 else 1)]
+                    steps[last] += 1
+                    steps[frequent] = 0
+                    value[frequent] = np.log(at[frequent + 1] / (before[frequent] if k > 1 else tokens))
+                    before = at
+                value += steps * log(factor)
+                text = np.repeat(np.arange(len(sizes)), sizes)[own]
+                ids.append(batch.column("ids")[i].values.to_numpy())
+                n_words.append(np.bincount(text, minlength=len(sizes)))
+                missed.append(np.bincount(text[steps[own] > 0], minlength=len(sizes)))
+                total.append(np.bincount(text, value[own], len(sizes)))
+        return pa.table([pa.array(np.concatenate(x)) for x in (ids, n_words, missed, total)], names=["id", "n_words", "n_backoff", "log_score"])
+
+    return run
+
+
+def score(docs: DataFrame, order: int = 3, least: int = 2, factor: float = 0.4, id_col: str = "doc_id", text_col: str = "text", batch_words: int = WORDS) -> DataFrame:
     """One row per id: id, n_words, n_backoff (words whose longest n-gram is too rare), log_score (sum of natural logs),
     mean_log_score (null without words).
 
@@ -64,42 +207,48 @@ def score(docs: DataFrame, order: int = 3, least: int = 2, factor: float = 0.4,
     longest n-gram that ends there, inside the text, and occurs ``least`` times in the corpus; each step to a shorter one costs
     ``factor``, down to the word's share of all words. Counts are over all documents, in 64 bits. Null and empty texts have no words
     and a log_score of 0; rows that share an id are scored together, as are rows without one; an empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored. ``batch_words``, more than ``order``, is how many words are exploded at a time.
     """
+    if not order < batch_words <= WORDS:
+        raise ValueError(f"batch_words must be more than the order and at most {WORDS}")
     rows = docs.select(key_of(id_col).alias("id"), F.col(text_col).alias("text"))
-    words = materialise(rows.transform(map_batches, _words, "id long, words array<long>"), "lm-words")
-    size = F.size("words").cast("long")
-    longer = sum((F.greatest(size - (k - 1), F.lit(0)) for k in range(2, order + 1)), F.lit(0))  # steps down if nothing is frequent
-    sums = [words.groupBy("id").agg(F.sum(size).alias("n_words"), F.sum(F.greatest(size - 1, F.lit(0)) if order > 1 else F.lit(0)).cast("long").alias("n_backoff"), F.sum(longer * log(factor)).alias("log_score"))]
-    tokens = float(words.agg(F.sum(size)).first()[0] or 0)
-    tables: dict[int, DataFrame] = {}
-    for k in range(1, order + 1):
-        shares = SHARES.get(k, max(SHARES.values()))
-        parts = []
-        for share in range(shares):
-            counts = _grams(words, k, share, shares).groupBy(*_names(k)).agg(F.count("*").alias("n"))
-            parts.append(materialise(counts.where(F.col("n") >= (least if k > 1 else 1)), f"lm-counts-{k}"))
-            tables[k] = parts[0] if len(parts) == 1 else tables[k].unionByName(parts[-1])
-        for share, table in enumerate(parts):
-            if k == 1:
-                gain = F.log(F.col("n") / tokens)
-            else:
-                table = table.join(_counted(tables[k - 1], k - 1, 0, "left"), _names(k - 1)).join(_counted(tables[k - 1], k - 1, 1, "right"), _names(k - 1, 1))
-                table = table.join(_counted(tables[k - 2], k - 2, 1, "middle"), _names(k - 2, 1)) if k > 2 else table.withColumn("middle", F.lit(tokens))
-                gain = F.log(F.col("n") / F.col("left")) - F.log(F.col("right") / F.col("middle")) - log(factor)
-            gains = materialise(table.select(*_names(k), gain.alias("gain")), f"lm-gains-{k}")
-            # The longest n-gram that could end at a word: of ``order`` words, or all words up to it.
-            longest = F.lit(k > 1) if k == order else (F.col("place") == k - 1) & (k > 1)
-            met = _grams(words, k, share, shares).join(gains.hint("merge"), _names(k))
-            met = met.groupBy("id").agg(F.sum(F.when(longest, -1).otherwise(0)).cast("long").alias("n_backoff"), F.sum("gain").alias("log_score"))
-            sums.append(materialise(met.select("id", F.lit(0).cast("long").alias("n_words"), "n_backoff", "log_score"), "lm-sums"))
-            discard(gains)
+    words = materialise(rows.transform(map_batches, _words(order, batch_words), BATCH), "lm-words")
+    # Batches are numbered task by task: where a task's numbers begin follows from one count a task.
+    task = F.col("batch").bitwiseAND(0xFFFFFFFF)
+    made = words.groupBy(task.cast("int").alias("task")).agg(F.count("*").alias("n"), F.sum("own").alias("own")).orderBy("task").collect()
+    tokens, starts = float(sum(r.own for r in made)), np.cumsum([0, *(r.n for r in made)]).tolist()
+    if starts[-1] >= 1 << 63 - 2 * BITS:
+        raise ValueError("too many batches")
+    begin = np.zeros(max((r.task for r in made), default=0) + 1, np.int64)
+    for r, start in zip(made, starts, strict=False):
+        begin[r.task] = start
+    number = F.element_at(F.lit(begin.tolist()).cast("array<long>"), (task + 1).cast("int")) + F.shiftright("batch", 32)
+    numbered = words.withColumn("number", number)
+
+    found = []
+    for part, (k, share, shares) in enumerate(_parts(order)):
+        grams = numbered.select("number", "sizes", "leads", "words").transform(map_batches, _grams(k, share, shares), "gram long, rest int, at long")
+        grams = grams.repartition(max(1, ceil(tokens / shares / ROWS)), "gram", "rest")
+        # Both sides of the join read all columns of one exchange, so Spark partitions them once.
+        counts = grams.groupBy("gram", "rest").agg(F.sum(F.col("at").bitwiseAND(WORDS)).alias("n")).where(F.col("n") >= (least if k > 1 else 1))
+        met = grams.join(counts.hint("shuffle_hash"), ["gram", "rest"]).select("at", "n")
+        found.append(materialise(met.transform(map_batches, _listed(part), COUNTS), f"lm-counts-{k}"))
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    sums = []
+    for share in range(SCORED):
+        here = F.col("number") % SCORED == share
+        texts = numbered.where(here).select(F.col("number").cast("int").alias("number"), "ids", "sizes", "leads", "words")
+        scored = texts.groupBy("number").cogroup(every.where(here).groupBy("number")).applyInArrow(_scored(order, least, factor, tokens), "id long, n_words long, n_backoff long, log_score double")
+        sums.append(materialise(scored, "lm-sums"))
+    discard(words, *found)
     every = sums[0]
     for part in sums[1:]:
         every = every.unionByName(part)
-    found = every.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n_words", "n_backoff", "log_score")))
+    scores = every.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n_words", "n_backoff", "log_score")))
     mean = F.col("log_score") / F.nullif(F.col("n_words"), F.lit(0))
-    return found.select(id_of().alias(id_col), "n_words", "n_backoff", "log_score", mean.alias("mean_log_score"))
+    return scores.select(id_of().alias(id_col), "n_words", "n_backoff", "log_score", mean.alias("mean_log_score"))
 
 
 def brute_force(docs: list[tuple], order: int = 2, least: int = 2, factor: float = 0.4) -> list[tuple]:
