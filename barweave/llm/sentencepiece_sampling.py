@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +29,15 @@ UNIT = re.compile(r" *[^ ]+| +")
 CACHE_EDGES = 2_000_000
 #: Characters whose lattices are built at once, and units that are drawn at once; a longer unit makes a block of its own.
 BLOCK_CHARS, BLOCK_UNITS = 50_000, 100_000
+#: Slots of the trie's hash table are two to this power.
+HASH_BITS = 20
 
 SCHEMA = "id long, pieces array<int>, lossless boolean, decoded string"
 
 
 class Lattices:
     """Piece lattices of distinct units, flattened for drawing. Node k is a place in a unit; its incoming edges are first[k] to
-    first[k + 1] - 1, with cumulative probabilities to which k is added, so one sorted search draws for many nodes."""
+    first[k + 1] - 1, with cumulative probabilities to which k is added."""
 
     def __init__(self, vocabulary: list[tuple[str, float, bool]], unigram: bool, alpha: float):
         piece: dict[str, tuple[int, float]] = {}
@@ -48,6 +51,7 @@ class Lattices:
                 self.bytes_of.append(p.replace(SPACE, " ").encode())
                 if p and SPACE not in p.lstrip(SPACE):
                     piece[p] = (i, alpha * (score if unigram else -np.log(i + 1.0)))
+        self.spelt: pa.Array | None = None
         self.fallback = min(w for _, w in piece.values()) - 2 * alpha
         # A trie: children are found by node * 2**21 + character in a sorted list.
         trie: dict[tuple[int, str], int] = {}
@@ -60,11 +64,30 @@ class Lattices:
         keys = np.array([(k << 21) + ord(c) for k, c in trie], np.int64)
         order = np.argsort(keys)
         self.keys, self.child = keys[order], np.array(list(trie.values()), np.int64)[order]
+        # The place of a key by its hash; a slot that more keys want is crowded, and the sorted list is searched.
+        slot = self._slot(self.keys)
+        self.slot, self.crowded = np.full(1 << HASH_BITS, -1, np.int32), np.bincount(slot, minlength=1 << HASH_BITS) > 1
+        self.slot[slot] = np.arange(len(self.keys), dtype=np.int32)
         self.ends_piece, self.weight = np.full(len(trie) + 1, -1, np.int64), np.zeros(len(trie) + 1)
         for k, (i, w) in ends.items():
             self.ends_piece[k], self.weight[k] = i, w
         self.clear()
 
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - HASH_BITS)).view(np.int64)
+
+    def _find(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are in the trie, and the places of these."""
+        slot = self._slot(want)
+        at = self.slot[slot]
+        hit = self.keys[at] == want
+        other = np.flatnonzero(self.crowded[slot] & ~hit)
+        if len(other):
+            at[other] = np.minimum(np.searchsorted(self.keys, want[other]), len(self.keys) - 1)
+            hit[other] = self.keys[at[other]] == want[other]
+        return hit, at
+
     def clear(self) -> None:
         self.unit: dict[str, int] = {}
         self.cum, self.back, self.what, self.first = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int64)
@@ -101,8 +124,8 @@ class Lattices:
             inside = at < ends[start]
             start, node, at = start[inside], node[inside], at[inside]
             want = (node << 21) + code[at]
-            pos = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-            hit = (self.keys[pos] == want) & ~literal[at]
+            hit, pos = self._find(want)
+            hit &= ~literal[at]
             start, node, length = start[hit], self.child[pos[hit]], length + 1
             whole = self.ends_piece[node] >= 0
             found.append((start[whole], start[whole] + length, self.ends_piece[node[whole]], self.weight[node[whole]]))
@@ -144,29 +167,32 @@ class Lattices:
         drawn, counts = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
         block, doc, place = [], [], []
         for d, text in enumerate(texts):
-            for k, unit in enumerate(UNIT.findall(text)):
-                block.append(unit)
-                doc.append(d)
-                place.append(k)
+            units, done = UNIT.findall(text), 0
+            while done < len(units):
+                many = min(len(units) - done, BLOCK_UNITS - len(block))
+                block += units[done : done + many]
+                doc.append(np.full(many, d))
+                place.append(np.arange(done, done + many))
+                done += many
                 if len(block) == BLOCK_UNITS:
-                    drawn.append(self._draw(key, block, doc, place, counts))
+                    drawn.append(self._draw(key, block, np.concatenate(doc), np.concatenate(place), counts))
                     block, doc, place = [], [], []
         if block:
-            drawn.append(self._draw(key, block, doc, place, counts))
+            drawn.append(self._draw(key, block, np.concatenate(doc), np.concatenate(place), counts))
         return np.concatenate(drawn), counts
 
-    def _draw(self, key: np.ndarray, units: list[str], doc: list[int], place: list[int], counts: np.ndarray) -> np.ndarray:
+    def _draw(self, key: np.ndarray, units: list[str], doc: np.ndarray, place: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Backward sampling of units, given the text and the place in it of each; adds to the pieces' counts of the texts."""
         if len(self.cum) > CACHE_EDGES:
             self.clear()
-        fresh = list(dict.fromkeys(u for u in units if u not in self.unit))
+        fresh = [u for u in dict.fromkeys(units) if u not in self.unit]
         if fresh:
             self.add(fresh)
         which = np.fromiter(map(self.unit.__getitem__, units), np.int64, len(units))
         many = self.segment[which + 1] - self.segment[which]
         inner = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         ends = self.ends[np.repeat(self.segment[which], many) + inner]
-        doc, place = np.repeat(np.array(doc, np.int64), many), np.repeat(np.array(place, np.int64), many)
+        doc, place = np.repeat(doc, many), np.repeat(place, many)
         cum, back, what, first = self.cum, self.back, self.what, self.first
         state = mix(mix(key[doc] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) + inner.astype(np.uint64))
         live, at, step = np.arange(len(ends)), ends, 1
@@ -176,7 +202,12 @@ class Lattices:
             lo, hi = first[at], first[at + 1] - 1
             edge, open_ = lo.copy(), np.flatnonzero(lo < hi)
             u = (mix(state[live[open_]] + salt) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            edge[open_] = np.clip(np.searchsorted(cum, at[open_] + u), lo[open_], hi[open_])
+            want, a, b = at[open_] + u, lo[open_], hi[open_]
+            for _ in range(int((b - a).max(initial=0)).bit_length()):  # a node has few edges, so they are searched in place of all
+                half = (a + b) >> 1
+                below = (cum[half] < want) & (a < b)
+                a, b = np.where(below, half + 1, a), np.where(below, b, half)
+            edge[open_] = a
             segment_of.append(live)
             drawn.append(what[edge])
             at = back[edge]
@@ -204,6 +235,16 @@ class Lattices:
     def decode(self, pieces: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, pieces.tolist()))
 
+    def decode_all(self, pieces: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The text of each run of ``counts`` pieces: the pieces' bytes are taken one after the other and cut where a text ends."""
+        if self.spelt is None:
+            self.spelt = pa.array(self.bytes_of, pa.large_binary())
+        spelt = self.spelt.take(pa.array(pieces))
+        begins = np.frombuffer(spelt.buffers()[1], np.int64)[spelt.offset : spelt.offset + len(pieces) + 1]
+        offsets = begins[np.concatenate([[0], np.cumsum(counts)])].copy()
+        joined = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), spelt.buffers()[2]])
+        return joined.cast(pa.large_string())  # fails where it is not UTF-8
+
 
 def load_vocabulary(model_file: str) -> tuple[list[tuple[str, float, bool]], bool]:
     """(piece, score, is a byte) of a SentencePiece model, and whether the scores are log probabilities."""
@@ -220,19 +261,18 @@ def _encode(vocabulary, unigram: bool, alpha: float, seed: int, with_text: bool)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = Lattices(vocabulary, unigram, alpha)
         for batch in batches:
-            ids, texts, i = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), 0
+            ids, texts, i = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).fill_null(""), 0
+            whole = texts.to_pylist()
             while i < len(ids):
-                part, size, j = [], 0, i
-                while j < len(ids) and (not part or size < CHUNK_BYTES):
-                    part.append(texts[j].as_py() or "")
-                    size += len(part[-1])
+                size, j = 0, i
+                while j < len(ids) and (j == i or size < CHUNK_BYTES):
+                    size += len(whole[j])
                     j += 1
-                pieces, counts = lattices.sample(ids[i:j], part, seed)
-                offsets = np.concatenate([[0], np.cumsum(counts)])
-                decoded = [lattices.decode(pieces[a:b]).decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                same = [a == b for a, b in zip(decoded, part, strict=True)]
-                coded = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(pieces, pa.int32()))
-                yield pa.record_batch([pa.array(ids[i:j], pa.int64()), coded, pa.array(same), pa.array(decoded if with_text else [None] * len(same), pa.string())], names=["id", "pieces", "lossless", "decoded"])
+                pieces, counts = lattices.sample(ids[i:j], whole[i:j], seed)
+                decoded = lattices.decode_all(pieces, counts)
+                same = pc.equal(decoded, texts[i:j].cast(pa.large_string()))
+                coded = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(pieces, pa.int32()))
+                yield pa.record_batch([pa.array(ids[i:j], pa.int64()), coded, same, decoded.cast(pa.string()) if with_text else pa.nulls(j - i, pa.string())], names=["id", "pieces", "lossless", "decoded"])
                 i = j
 
     return run

@@ -63,3 +63,19 @@ def test_missing_ids_and_texts(spark):
     rows = [(None, "some text"), (1, None), (1, ""), (2, " ")]
     got = pieces.sample_encode(spark.createDataFrame(rows, "doc_id long, text string"), MODEL, with_text=True).collect()
     assert sorted((r.doc_id or 0, r.decoded) for r in got) == [(0, "some text"), (1, ""), (1, ""), (2, " ")] and all(r.lossless for r in got)
+
+
+def test_the_trie_is_looked_up_by_hash_also_where_slots_are_crowded():
+    import numpy as np
+
+    from barweave.llm import sentencepiece_sampling as pieces
+
+    vocabulary = [("▁", -1.0, False)] + [(chr(0x4E00 + i) + chr(0x61 + j), -1.0, False) for i in range(3000) for j in range(9)] + [(f"<0x{b:02X}>", 0.0, True) for b in range(256)]
+    made = pieces.Lattices(vocabulary, True, 1.0)
+    assert made.crowded.any()
+    want = np.concatenate([made.keys, made.keys + 13, np.array([0, 5], np.int64)])
+    hit, at = made._find(want)
+    assert (hit == np.isin(want, made.keys)).all() and (made.keys[at[hit]] == want[hit]).all()
+    ids, texts = np.arange(3), ["", "一a 一z", "丁b▁x"]
+    drawn, counts = made.sample(ids, texts, 0)
+    assert made.decode_all(drawn, counts).to_pylist() == texts
