@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barweave.llm.common import MISSING, discard, id_of, key_of, map_batches, materialise, mix, prefix_sums, span_hashes, text_chunks
+from barweave.llm.common import MISSING, all_span_hashes, discard, id_of, key_of, map_batches, materialise, mix, prefix_sums, span_hashes, text_chunks
 
 GRAM = 32
 #: Bytes of text in a batch, on average, and the least and largest number of batches; beyond it batches grow with the corpus.
@@ -58,10 +58,9 @@ def anchors(raw: np.ndarray, starts: np.ndarray, length: int, gram: int):
             parts.append((text + first, *(x + a for x in rest[:3]), *rest[3:]))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     sums = prefix_sums(raw)
-    at = np.arange(n - gram + 1)
-    hashes = span_hashes(sums, at, at + gram)
+    hashes = all_span_hashes(sums, gram)
     # Sliding minimum of (hash, place) over ``span`` places, by doubling.
-    low = (hashes & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64)
+    low = (hashes & ~np.uint64((1 << 24) - 1)) | np.arange(len(hashes), dtype=np.uint64)
     size = 1
     while size * 2 <= span:
         low = np.minimum(low[: len(low) - size], low[size:])
@@ -70,12 +69,12 @@ def anchors(raw: np.ndarray, starts: np.ndarray, length: int, gram: int):
     if rest:
         low = np.minimum(low[: len(low) - rest], low[rest:])
     pick = (low & np.uint64((1 << 24) - 1)).astype(np.int64)
-    text = np.searchsorted(starts, np.arange(len(pick)), side="right") - 1
-    valid = np.arange(len(pick)) + length <= starts[text + 1]
-    window = np.flatnonzero(valid)
-    if not len(window):
+    whole = np.maximum(np.diff(starts) - (length - 1), 0)  # windows inside each text
+    if not whole.any():
         return none
-    pick, text = pick[window], text[window]
+    text = np.repeat(np.arange(len(whole)), whole)
+    window = np.arange(len(text)) + np.repeat(starts[:-1] - (np.cumsum(whole) - whole), whole)
+    pick = pick[window]
     new = np.concatenate([[True], (pick[1:] != pick[:-1]) | (window[1:] != window[:-1] + 1)])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(window)) - 1

@@ -167,3 +167,13 @@ def test_windows_of_a_pair_become_runs():
     batch = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["key", "holder", "lo", "hi", "from"])
     got = [r for b in suffix_dedup._pairs(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
     assert [(r["key"], r["holder"], [tuple(x.values()) for x in r["runs"]]) for r in got] == [(1, 0, [(4, 6, 14), (8, 9, 18), (7, 7, 90)]), (2, 0, [(7, 7, 17)]), (2, 1, [(8, 8, 18)])]
+
+
+def test_hashes_of_all_spans_are_those_of_each():
+    import numpy as np
+
+    from barweave.llm import common
+
+    raw = np.random.default_rng(3).integers(0, 256, 5000).astype(np.uint8)
+    sums, at = common.prefix_sums(raw), np.arange(5000 - 32 + 1)
+    assert (common.all_span_hashes(sums, 32) == common.span_hashes(sums, at, at + 32)).all()
