@@ -1,15 +1,16 @@
 """Stupid-backoff scores of documents by a word n-gram model counted on the same corpus: count tables joined to exploded n-grams.
 
-Texts become arrays of word hashes in batches of some 260,000 words, one stored row a batch. An order's n-grams are exploded from
-them, one row for each different n-gram of a batch with the times it occurs there, so that a batch's repeats are summed before any shuffle
-and the most frequent n-gram has no more rows than there are batches. These rows are partitioned once by the n-gram's hash; there they are grouped
-into the count table, which drops what is too rare, and the same partitions are joined to it. The counts go back to their batches, where
-every word takes its longest n-gram that is frequent enough, and a document's score is a sum over its words.
-
-An n-gram is known by 96 bits of hash where batches meet and by 64 bits inside a batch. Its row names its batch and its place among the
-batch's sorted n-grams, so counts go back without the hash, as lists. A fixed share of the n-grams of an order, by hash, is counted and joined
-at a time, and a fixed share of the batches is scored at a time, which bounds what is in a shuffle to that share of the corpus; partitions
-are as many as keep a count table's part small enough to be hashed.
+Texts become arrays of words in batches of some 260,000, one stored row a batch. An order's n-grams are exploded from them, each different
+n-gram of a batch once with the times it occurs there, so that a batch's repeats are summed before any shuffle and the most frequent n-gram
+stands there no more often than there are batches. They are dealt by ranges of their hash: a row has all n-grams of a batch that fall
+into a range, and Spark groups the rows of a range. Each group makes its count table, which drops what is too rare, and joins it to its
+n-grams. The counts go back to their batches, where every word takes its longest n-gram that is frequent enough, and a document's score is a
+sum over its words.
+
+An n-gram is known by 96 bits of hash where batches meet and by 64 bits inside a batch. A batch's n-grams stand in the order of their hashes, so
+counts go back without the hash, as runs. A fixed share of the n-grams of an order, by hash, is counted and joined at a time, and a fixed
+share of the batches is scored at a time, which bounds what is in a shuffle to that share of the corpus; ranges are as many as keep a
+group small. Words, n-grams and counts are stored as bytes, which Spark passes on as they are.
 """
 
 from __future__ import annotations
@@ -29,14 +30,23 @@ from barweave.llm.common import LOWER, NON_SPACE, discard, id_of, key_of, map_ba
 SHARES, SCORED = {1: 1, 2: 2, 3: 3}, 4
 #: Bits of a place in a batch, and so of a count in it, and the words of a batch; the rest of 63 bits numbers the batches.
 BITS, WORDS = 18, (1 << 18) - 1
-#: Rows of a partition of exploded n-grams, and of counts that are listed by batch at once.
-ROWS = 1 << 19
+#: About how many exploded n-grams are in a range of hashes.
+ROWS = 1 << 20
 
-BATCH = "batch long, own long, ids array<long>, sizes array<int>, leads array<int>, words array<long>"
+BATCH = "batch long, own long, ids binary, sizes binary, leads binary, vocabulary binary, words binary"
+#: What of a batch goes to its scores, and the types of its arrays: a word is a number in the batch's sorted vocabulary of hashes.
+KINDS = {"ids": np.int64, "sizes": np.int32, "leads": np.int32, "vocabulary": np.uint64, "words": np.int32}
 
 
-def _lists(values: np.ndarray, kind) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+def _bytes(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The bytes of each values[offsets[i]:offsets[i + 1]]."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _array(batch: pa.RecordBatch, name: str, i: int, kind) -> np.ndarray:
+    """The array of row ``i``, from its bytes or a list."""
+    value = batch.column(name)[i]
+    return np.frombuffer(value.as_buffer(), kind) if pa.types.is_binary(value.type) else value.values.to_numpy(zero_copy_only=False).astype(kind)
 
 
 def _words(order: int, limit: int):
@@ -51,10 +61,12 @@ def _words(order: int, limit: int):
         def batch() -> pa.RecordBatch:
             nonlocal texts, held, made
             ids, leads = (np.array([t[k] for t in texts], np.int64) for k in (0, 1))
-            sizes, words = np.array([len(t[2]) for t in texts], np.int64), np.concatenate([t[2] for t in texts])
-            columns = [pa.array([made << 32 | task]), pa.array([int((sizes - leads).sum())]), _lists(ids, pa.int64()), _lists(sizes, pa.int32()), _lists(leads, pa.int32()), _lists(words.view(np.int64), pa.int64())]
+            sizes = np.array([len(t[2]) for t in texts], np.int64)
+            vocabulary, words = np.unique(np.concatenate([t[2] for t in texts]), return_inverse=True)
+            arrays = [a.astype(kind) for a, kind in zip((ids, sizes, leads, vocabulary, words), KINDS.values(), strict=True)]
+            columns = [pa.array([made << 32 | task]), pa.array([int((sizes - leads).sum())]), *(_bytes(a, np.array([0, len(a)])) for a in arrays)]
             texts, held, made = [], 0, made + 1
-            return pa.record_batch(columns, names=["batch", "own", "ids", "sizes", "leads", "words"])
+            return pa.record_batch(columns, names=["batch", "own", *KINDS])
 
         for keys, raw, starts in text_chunks(batches):
             low = LOWER[raw]
@@ -78,10 +90,14 @@ def _words(order: int, limit: int):
 
 
 def _row(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
-    """Of row ``i``: the words of each text, the words themselves, the place of each in its text, and whether it is one of the batch's own."""
-    sizes, leads, words = (batch.column(name)[i].values.to_numpy(zero_copy_only=False).astype(np.int64) for name in ("sizes", "leads", "words"))
+    """Of row ``i``: the words of each text, the words' hashes, the place of each in its text, and whether it is one of the batch's own."""
+    sizes, leads = (_array(batch, name, i, np.int32).astype(np.int64) for name in ("sizes", "leads"))
+    if "vocabulary" in batch.schema.names:
+        words = _array(batch, "vocabulary", i, np.uint64)[_array(batch, "words", i, np.int32)]
+    else:
+        words = _array(batch, "words", i, np.int64).view(np.uint64)
     place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return sizes, words.view(np.uint64), place, place >= np.repeat(leads, sizes)
+    return sizes, words, place, place >= np.repeat(leads, sizes)
 
 
 def _occurrences(words: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,34 +137,59 @@ def _grams(k: int, share: int, shares: int):
     return run
 
 
-COUNTS = "number int, part int, places array<int>, counts array<long>"
+GRAMS = "range int, number int, start int, grams binary, rests binary, times binary"
 
 
-def _listed(part: int):
-    """The counts (at, n) as lists by batch."""
+def _dealt(k: int, share: int, shares: int, ranges: int):
+    """The n-grams of a batch by ranges of their hash: those from place ``start`` on, 96 bits of hash each and the times it occurs."""
+    bounds = np.array([r * (1 << 64) // ranges for r in range(1, ranges)], np.uint64)
+    explode = _grams(k, share, shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def lists() -> pa.RecordBatch:
-            at, n = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(2))
-            order = np.argsort(at)
-            at, n = at[order], n[order]
-            number, place = (at >> 2 * BITS).astype(np.int32), (at >> BITS & WORDS).astype(np.int32)
-            first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-            offsets = pa.array(np.append(first, len(number)), pa.int32())
-            columns = [pa.array(number[first]), pa.array(np.full(len(first), part, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(place)), pa.ListArray.from_arrays(offsets, pa.array(n))]
-            return pa.record_batch(columns, names=["number", "part", "places", "counts"])
+        for rows in explode(batches):
+            if not rows.num_rows:
+                continue
+            gram, rest, at = (rows.column(c).to_numpy() for c in range(3))
+            ends = np.concatenate([[0], np.searchsorted(gram.view(np.uint64), bounds), [len(gram)]])
+            full = np.flatnonzero(np.diff(ends)).astype(np.int32)
+            offsets = np.append(ends[full], len(gram))
+            number = np.full(len(full), at[0] >> 2 * BITS, np.int32)
+            columns = [pa.array(full), pa.array(number), pa.array(offsets[:-1].astype(np.int32)), _bytes(gram, offsets), _bytes(rest, offsets), _bytes((at & WORDS).astype(np.int32), offsets)]
+            yield pa.record_batch(columns, names=["range", "number", "start", "grams", "rests", "times"])
 
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= ROWS:
-                yield lists()
-                held, size = [], 0
-        if size:
-            yield lists()
+    return run
+
+
+COUNTS = "number int, part int, start int, width int, counts binary"
+
+
+def _joined(part: int, least: int):
+    """The count table of a range of n-grams, joined to them: for each run of a batch's n-grams how often these occur in all, 0 for too rare."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        (batch,) = rows.combine_chunks().to_batches()
+        gram, rest, times = (np.concatenate([_array(batch, c, i, kind) for i in range(batch.num_rows)]) for c, kind in (("grams", np.uint64), ("rests", np.int32), ("times", np.int32)))
+        order = np.argsort(gram)
+        same = gram[order[1:]] == gram[order[:-1]]
+        other = rest[order[1:]] != rest[order[:-1]]
+        if (same & other).any():  # half of the hash is not enough
+            order = np.lexsort((rest, gram))
+            same = gram[order[1:]] == gram[order[:-1]]
+            other = rest[order[1:]] != rest[order[:-1]]
+        first = np.flatnonzero(np.concatenate([[True], ~same | other]))
+        total = np.add.reduceat(times[order].astype(np.int64), first)
+        total[total < least] = 0
+        n = np.empty(len(gram), np.int64)
+        n[order] = np.repeat(total, np.diff(np.append(first, len(gram))))
+        widths, counts, end = [], [], 0
+        for i in range(batch.num_rows):
+            start, end = end, end + len(_array(batch, "rests", i, np.int32))
+            here = n[start:end]
+            here = here.astype(np.min_scalar_type(here.max()))
+            widths.append(here.itemsize)
+            counts.append(here.tobytes())
+        columns = [batch.column("number"), pa.array(np.full(batch.num_rows, part, np.int32)), batch.column("start"), pa.array(widths, pa.int32()), pa.array(counts, pa.binary())]
+        return pa.table(columns, names=["number", "part", "start", "width", "counts"])
 
     return run
 
@@ -159,38 +200,52 @@ def _parts(order: int) -> list[tuple[int, int, int]]:
     return [(k, share, n) for k, n in shares for share in range(n)]
 
 
+def _read(counts: pa.Table) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """The runs of a batch's counts (start, counts) by part."""
+    runs: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for batch in counts.to_batches():
+        parts, starts, widths = (batch.column(c).to_pylist() for c in ("part", "start", "width"))
+        for i, (part, start, width) in enumerate(zip(parts, starts, widths, strict=True)):
+            runs.setdefault(part, []).append((start, _array(batch, "counts", i, f"u{width}")))
+    return runs
+
+
+def _counted(runs: dict[int, list[tuple[int, np.ndarray]]], words: np.ndarray, place: np.ndarray, k: int, order: int) -> np.ndarray:
+    """How often the n-gram of ``k`` words that ends at each word occurs, 0 if there is none or it is too rare. Before the first word stands a 0."""
+    last, found = _occurrences(words, place, k)
+    at = np.zeros(len(words) + 1)
+    for part, (size, share, shares) in enumerate(_parts(order)):
+        if size == k:
+            where, _, new = _sorted(last, found, share, shares)
+            n = np.zeros(np.count_nonzero(new))
+            for start, many in runs.get(part, ()):
+                n[start : start + len(many)] = many
+            at[where + 1] = n[np.cumsum(new) - 1]
+    return at
+
+
 def _scored(order: int, least: int, factor: float, tokens: float):
     """A batch's scores from its words and the counts of its n-grams, by their place; those that are too rare have none."""
 
     def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
         ids, n_words, missed, total = ([np.zeros(0, t)] for t in (np.int64, np.int64, np.int64, float))
-        listed: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in counts.to_batches():
-            for i, part in enumerate(batch.column("part").to_pylist()):
-                listed.setdefault(part, []).append(tuple(batch.column(c)[i].values.to_numpy() for c in ("places", "counts")))
+        runs = _read(counts)
         for batch in texts.to_batches():
             for i in range(batch.num_rows):
                 sizes, words, place, own = _row(batch, i)
                 before = np.zeros(len(words) + 1)  # of the next shorter n-gram, at the word before
                 value, steps = np.zeros(len(words)), np.zeros(len(words), np.int64)
                 for k in range(1, order + 1):
-                    last, found = _occurrences(words, place, k)
-                    at = np.zeros(len(words) + 1)
-                    for part, (size, share, shares) in enumerate(_parts(order)):
-                        if size == k:
-                            where, _, new = _sorted(last, found, share, shares)
-                            n = np.zeros(np.count_nonzero(new))
-                            for places, many in listed.get(part, ()):
-                                n[places] = many
-                            at[where + 1] = n[np.cumsum(new) - 1]
-                    frequent = last[at[last + 1] >= (least if k > 1 else 1)]
+                    at = _counted(runs, words, place, k, order)
+                    last = place >= k - 1
+                    frequent = np.flatnonzero(last & (at[1:] >= (least if k > 1 else 1)))
                     steps[last] += 1
                     steps[frequent] = 0
                     value[frequent] = np.log(at[frequent + 1] / (before[frequent] if k > 1 else tokens))
                     before = at
                 value += steps * log(factor)
                 text = np.repeat(np.arange(len(sizes)), sizes)[own]
-                ids.append(batch.column("ids")[i].values.to_numpy())
+                ids.append(_array(batch, "ids", i, np.int64))
                 n_words.append(np.bincount(text, minlength=len(sizes)))
                 missed.append(np.bincount(text[steps[own] > 0], minlength=len(sizes)))
                 total.append(np.bincount(text, value[own], len(sizes)))
@@ -199,6 +254,13 @@ def _scored(order: int, least: int, factor: float, tokens: float):
     return run
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    every = tables[0]
+    for table in tables[1:]:
+        every = every.unionByName(table)
+    return every
+
+
 def score(docs: DataFrame, order: int = 3, least: int = 2, factor: float = 0.4, id_col: str = "doc_id", text_col: str = "text", batch_words: int = WORDS) -> DataFrame:
     """One row per id: id, n_words, n_backoff (words whose longest n-gram is too rare), log_score (sum of natural logs),
     mean_log_score (null without words).
@@ -223,29 +285,20 @@ def score(docs: DataFrame, order: int = 3, least: int = 2, factor: float = 0.4,
     for r, start in zip(made, starts, strict=False):
         begin[r.task] = start
     number = F.element_at(F.lit(begin.tolist()).cast("array<long>"), (task + 1).cast("int")) + F.shiftright("batch", 32)
-    numbered = words.withColumn("number", number)
+    texts = words.select(number.cast("int").alias("number"), *KINDS)
 
     found = []
     for part, (k, share, shares) in enumerate(_parts(order)):
-        grams = numbered.select("number", "sizes", "leads", "words").transform(map_batches, _grams(k, share, shares), "gram long, rest int, at long")
-        grams = grams.repartition(max(1, ceil(tokens / shares / ROWS)), "gram", "rest")
-        # Both sides of the join read all columns of one exchange, so Spark partitions them once.
-        counts = grams.groupBy("gram", "rest").agg(F.sum(F.col("at").bitwiseAND(WORDS)).alias("n")).where(F.col("n") >= (least if k > 1 else 1))
-        met = grams.join(counts.hint("shuffle_hash"), ["gram", "rest"]).select("at", "n")
-        found.append(materialise(met.transform(map_batches, _listed(part), COUNTS), f"lm-counts-{k}"))
-    every = found[0]
-    for part in found[1:]:
-        every = every.unionByName(part)
-    sums = []
+        grams = texts.drop("ids").transform(map_batches, _dealt(k, share, shares, max(1, ceil(tokens / shares / ROWS))), GRAMS)
+        counts = grams.groupBy("range").applyInArrow(_joined(part, least if k > 1 else 1), COUNTS)
+        found.append(materialise(counts, f"lm-counts-{k}"))
+    every, sums = _union(found), []
     for share in range(SCORED):
         here = F.col("number") % SCORED == share
-        texts = numbered.where(here).select(F.col("number").cast("int").alias("number"), "ids", "sizes", "leads", "words")
-        scored = texts.groupBy("number").cogroup(every.where(here).groupBy("number")).applyInArrow(_scored(order, least, factor, tokens), "id long, n_words long, n_backoff long, log_score double")
+        scored = texts.where(here).groupBy("number").cogroup(every.where(here).groupBy("number")).applyInArrow(_scored(order, least, factor, tokens), "id long, n_words long, n_backoff long, log_score double")
         sums.append(materialise(scored, "lm-sums"))
     discard(words, *found)
-    every = sums[0]
-    for part in sums[1:]:
-        every = every.unionByName(part)
+    every = _union(sums)
     scores = every.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n_words", "n_backoff", "log_score")))
     mean = F.col("log_score") / F.nullif(F.col("n_words"), F.lit(0))
     return scores.select(id_of().alias(id_col), "n_words", "n_backoff", "log_score", mean.alias("mean_log_score"))
