@@ -49,6 +49,13 @@ def _array(batch: pa.RecordBatch, name: str, i: int, kind) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), kind) if pa.types.is_binary(value.type) else value.values.to_numpy(zero_copy_only=False).astype(kind)
 
 
+def _joint(batch: pa.RecordBatch, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The arrays of all rows one after the other, and where each begins and ends; from their bytes."""
+    column = batch.column(name).cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
 def _words(order: int, limit: int):
     """Batches of texts: ids, the words of each, how many of them only lead up to the first (it stands in the batch before), and a
     64-bit hash of each word. A text that is too long for a batch goes on in the next."""
@@ -168,7 +175,7 @@ def _joined(part: int, least: int):
 
     def run(rows: pa.Table) -> pa.Table:
         (batch,) = rows.combine_chunks().to_batches()
-        gram, rest, times = (np.concatenate([_array(batch, c, i, kind) for i in range(batch.num_rows)]) for c, kind in (("grams", np.uint64), ("rests", np.int32), ("times", np.int32)))
+        (gram, offsets), (rest, _), (times, _) = (_joint(batch, c, kind) for c, kind in (("grams", np.uint64), ("rests", np.int32), ("times", np.int32)))
         order = np.argsort(gram)
         same = gram[order[1:]] == gram[order[:-1]]
         other = rest[order[1:]] != rest[order[:-1]]
@@ -181,14 +188,9 @@ def _joined(part: int, least: int):
         total[total < least] = 0
         n = np.empty(len(gram), np.int64)
         n[order] = np.repeat(total, np.diff(np.append(first, len(gram))))
-        widths, counts, end = [], [], 0
-        for i in range(batch.num_rows):
-            start, end = end, end + len(_array(batch, "rests", i, np.int32))
-            here = n[start:end]
-            here = here.astype(np.min_scalar_type(here.max()))
-            widths.append(here.itemsize)
-            counts.append(here.tobytes())
-        columns = [batch.column("number"), pa.array(np.full(batch.num_rows, part, np.int32)), batch.column("start"), pa.array(widths, pa.int32()), pa.array(counts, pa.binary())]
+        n = n.astype(np.min_scalar_type(n.max()))
+        part_of, width = (pa.array(np.full(batch.num_rows, x, np.int32)) for x in (part, n.itemsize))
+        columns = [batch.column("number"), part_of, batch.column("start"), width, _bytes(n, offsets)]
         return pa.table(columns, names=["number", "part", "start", "width", "counts"])
 
     return run
